@@ -38,7 +38,7 @@ CONTENT_TYPES = [
 def title_from_markdown(content) -> Column:
     """Text of the first stripped line starting with '# ', else 'Untitled'."""
     lines = F.filter(F.split(col_(content), "\n"), lambda line: py_strip(line).startswith("# "))
-    first = F.element_at(lines, 1)
+    first = F.try_element_at(lines, F.lit(1))
     return F.when(first.isNotNull(), py_strip(F.substring(py_strip(first), 3, 1 << 30))).otherwise(F.lit("Untitled"))
 
 

@@ -103,7 +103,7 @@ def page_title(body) -> Column:
     """
     b = col_(body)
     cands = F.array(*[py_strip(_extract_or_null(b, p)) for p in title_patterns()])
-    first = F.element_at(F.filter(cands, lambda x: x.isNotNull() & (x != "")), 1)
+    first = F.try_element_at(F.filter(cands, lambda x: x.isNotNull() & (x != "")), F.lit(1))
     return F.coalesce(first, F.lit("Untitled"))
 
 

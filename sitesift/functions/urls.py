@@ -180,7 +180,7 @@ def _remove_dot_segments(segments: Column) -> Column:
         .when(s == ".", acc)
         .otherwise(F.concat(acc, F.array(s))),
     )
-    last = F.element_at(segments, -1)
+    last = F.try_element_at(segments, F.lit(-1))
     folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
     joined = F.array_join(folded, "/")
     return F.when(joined == "", F.lit("/")).otherwise(joined)
@@ -195,7 +195,7 @@ def url_join(base, href) -> Column:
     hn, hp, hpar, hq, hf = url_netloc(h), url_path(h), url_params(h), url_query(h), url_fragment(h)
 
     base_parts = F.split(bp, "/")
-    base_dir = F.when(F.element_at(base_parts, -1) != "", F.slice(base_parts, 1, F.size(base_parts) - 1)).otherwise(
+    base_dir = F.when(F.try_element_at(base_parts, F.lit(-1)) != "", F.slice(base_parts, 1, F.size(base_parts) - 1)).otherwise(
         base_parts
     )
     rel = F.concat(base_dir, F.split(hp, "/"))
