@@ -23,8 +23,17 @@ TABLES = [
 ]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Scan one table. Parse work is CPU-heavy per row, so an input that
+    arrives in fewer splits than there are task slots (one large row group)
+    is spread round-robin over the slots. On a large input the scan already
+    has far more splits than slots and nothing is added to the plan."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        slots = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:
+            df = df.repartition(slots)
+    return df
 
 
 def pages_with_site(pages: DataFrame) -> DataFrame:
