@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chunk import DEFAULT_CHUNK_SIZE, chunk_item
+from ..functions.chunk import DEFAULT_CHUNK_SIZE, PARAGRAPH_SEP, chunk_starts, chunks_from_starts, eligible, pieces
 
 
 def chunk_items(items: DataFrame, chunk_size=DEFAULT_CHUNK_SIZE) -> DataFrame:
@@ -17,10 +17,14 @@ def chunk_items(items: DataFrame, chunk_size=DEFAULT_CHUNK_SIZE) -> DataFrame:
         F.col(chunk_size) if isinstance(chunk_size, str) else F.lit(chunk_size)
     )
     cols = [c for c in items.columns if c not in ("title", "content")]
-    return items.select(
-        *cols,
-        F.posexplode(chunk_item(F.col("title"), F.col("content"), size)).alias("part0", "piece"),
-    ).select(
+    t = "__ck_"
+    d = items.withColumn(t + "m", size)
+    # only eligible items are split; each step is its own projection
+    d = d.withColumn(t + "paras", F.when(eligible(F.col("content"), F.col(t + "m")), F.split("content", PARAGRAPH_SEP)))
+    d = d.withColumn(t + "starts", chunk_starts(F.col(t + "paras"), F.col(t + "m")))
+    d = d.withColumn(t + "chunks", chunks_from_starts(F.col(t + "paras"), F.col(t + "starts")))
+    d = d.withColumn(t + "pieces", pieces(F.col("title"), F.col("content"), F.col(t + "chunks"), F.col(t + "m")))
+    return d.select(*cols, F.posexplode(t + "pieces").alias("part0", "piece")).select(
         *cols,
         (F.col("part0") + 1).alias("part"),
         F.col("piece.title").alias("title"),
