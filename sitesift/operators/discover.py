@@ -262,16 +262,16 @@ def api_payload_urls(fetches: DataFrame, sites: DataFrame) -> DataFrame:
         )
         kv = frontier.select("site", "base_url", "domain", "api_url", F.explode(entries).alias("kv")).select(
             "site", "base_url", "domain", "api_url", F.col("kv.key").alias("key"), F.col("kv.value").alias("value"))
-        # each level is read twice (hits, next level): materialize it
-        kv = cut_lineage(kv)
         hit = kv.where(F.col("key").isin(*keys) & (F.schema_of_variant("value") == "STRING")).select(
             "site", "base_url", "domain", "api_url", F.col("value").cast("string").alias("raw"))
         found = hit if found is None else found.unionByName(hit)
         frontier = kv.where(~F.coalesce(F.col("key").isin(*keys), F.lit(False)) & F.col("value").isNotNull()).select(
             "site", "base_url", "domain", "api_url", F.col("value").alias("v"))
-    u = found.withColumn("url", U.url_join(F.col("base_url"), F.col("raw")))
-    return u.where(U.is_same_domain(F.col("url"), F.col("domain")) & U.is_rendered_content_url(F.col("url"))).select(
-        "site", "url")
+    # resolve and test inside a one-element array: a row filter on the
+    # resolved URL would get the whole urljoin expression substituted into it
+    ok = F.filter(F.array(U.url_join(F.col("base_url"), F.col("raw"))),
+                  lambda u: U.is_same_domain(u, F.col("domain")) & U.is_rendered_content_url(u))
+    return found.select("site", F.explode(ok).alias("url"))
 
 
 def discover_rendered(probes: DataFrame, fetches: DataFrame, sites: DataFrame) -> DataFrame:
@@ -283,9 +283,9 @@ def discover_rendered(probes: DataFrame, fetches: DataFrame, sites: DataFrame) -
     a = home.select("site", F.explode(keep).alias("l")).select("site", F.col("l.full_url").alias("url"))
     d = data_attribute_urls(home.select("site", "domain", "base_url", "rendered_html"), "rendered_html",
                             ["site", "domain", "base_url"])
-    d = d.withColumn("url", U.url_join(F.col("base_url"), F.col("value")))
-    b = d.withColumn("ok", U.is_same_domain(F.col("url"), F.col("domain")) & U.is_rendered_content_url(F.col("url")))
-    b = b.where("ok").select("site", "url")
+    ok = F.filter(F.array(U.url_join(F.col("base_url"), F.col("value"))),
+                  lambda u: U.is_same_domain(u, F.col("domain")) & U.is_rendered_content_url(u))
+    b = d.select("site", F.explode(ok).alias("url"))
     return a.unionByName(b).unionByName(api_payload_urls(fetches, sites)).distinct().select(
         "site", F.lit("rendered").alias("source"), "url", F.lit(None).cast("date").alias("lastmod"),
         F.struct(F.lit(0).alias("k")).alias("src_order"))

@@ -50,7 +50,9 @@ def crawl_fixture(pages: DataFrame, max_items: int = 100, chunk_size: int = 8000
     home = p.where(F.col("k") == 1)
     anchors = F.regexp_extract_all("html", F.lit(ANCHOR_RE), 1)
     base = F.concat(root, F.lit("/"))
-    locs = F.transform(anchors, lambda h: url_join(base, h))
+    # the resolved link list feeds four documents: compute it once
+    home = home.withColumn("locs", F.transform(anchors, lambda h: url_join(base, h)))
+    locs = F.col("locs")
     entries = F.transform(
         locs, lambda u, i: F.concat(F.lit("<url><loc>"), u, F.lit("</loc><lastmod>"),
                                     F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i * 37) % 90), "yyyy-MM-dd"),
