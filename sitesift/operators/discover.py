@@ -150,10 +150,39 @@ def discover_sitemaps(probes: DataFrame, fetches: DataFrame) -> DataFrame:
             "site", "domain", "branch", F.concat("path", F.lpad(F.col("pos").cast("string"), 2, "0"), F.lit(".")).alias("path"),
             F.col("loc").alias("url"))
         frontier = lookup(kids, fetches).select("site", "domain", "branch", "path", "url", "body")
+    found = apply_child_stop(found)
     return found.select("site", F.lit("sitemap").alias("source"), F.col("cand").alias("url"), "lastmod",
                         F.struct("branch", "path", "rank").alias("src_order"))
 
 
+def apply_child_stop(found: DataFrame) -> DataFrame:
+    """An index stops reading children once more than 1,000 URLs came
+    from the children read so far; later children (and their subtrees) drop.
+
+    ``path`` is the chain of child positions ('00.01.'). Each row is
+    counted once for every child node on its chain; a node is cut when its
+    earlier siblings' subtree totals exceed the limit. Rows are candidate
+    URLs (bounded per document), so this stays a narrow aggregation.
+    """
+    n_levels = SITEMAP_DEPTH
+    nodes = found.select(
+        "site", "branch",
+        F.explode(F.array(*[F.when(F.length("path") >= 3 * (i + 1), F.substring("path", 1, 3 * (i + 1)))
+                            for i in range(n_levels)])).alias("node"),
+    ).where(F.col("node").isNotNull())
+    sub = nodes.groupBy("site", "branch", "node").agg(F.count(F.lit(1)).alias("n"))
+    sub = sub.withColumn("parent", F.expr("substring(node, 1, length(node) - 3)")).withColumn(
+        "pos", F.expr("substring(node, length(node) - 2, 2)"))
+    w = Window.partitionBy("site", "branch", "parent").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    cut = sub.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") > SITEMAP_CHILD_STOP)
+    cut = cut.select("site", "branch", F.col("node").alias("cut_node"))
+    # a row is dropped when any node on its chain was cut
+    flagged = found.join(cut, ["site", "branch"], "left").where(
+        F.col("cut_node").isNotNull() & F.col("path").startswith(F.col("cut_node"))
+    ).select("site", "branch", "path", "rank", "cand").distinct()
+    return found.join(flagged, ["site", "branch", "path", "rank", "cand"], "left_anti")
+
+
 # -------------------------------------------------------------------- feeds
 
 FEED_SCHEMA = "channel struct<item: array<struct<link: string>>>, entry array<struct<link: struct<_href: string>>>"

@@ -69,3 +69,29 @@ def test_rank_candidates(spark):
         "lastmod", F.to_date("lastmod"))
     got = [(r.url, r.source, r.ord) for r in D.rank_candidates(df).orderBy("ord").collect()]
     assert got == [("https://s.example/b", "sitemap", 1), ("https://s.example/a", "sitemap", 2), ("https://s.example/c", "feed", 3)]
+
+
+def test_index_child_stop(spark):
+    """W6 with nested indexes: children 0 and 1 bring 900 URLs each, so child 2 is not read."""
+    def leaf(tag):
+        return "<urlset>" + "".join(f"<url><loc>https://s.example/blog/{tag}-{i}</loc></url>" for i in range(150)) + "</urlset>"
+
+    def index(locs):
+        return "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in locs) + "</sitemapindex>"
+
+    docs = {"https://s.example/sitemap.xml": index([f"https://s.example/c{a}.xml" for a in range(3)])}
+    for a in range(3):
+        docs[f"https://s.example/c{a}.xml"] = index([f"https://s.example/c{a}{b}.xml" for b in range(3)])
+        for b in range(3):
+            docs[f"https://s.example/c{a}{b}.xml"] = index([f"https://s.example/c{a}{b}{c}.xml" for c in range(3)])
+            for c in range(3):
+                docs[f"https://s.example/c{a}{b}{c}.xml"] = leaf(f"{a}{b}{c}")
+    fetches = spark.createDataFrame([(u, 200, b, None, None) for u, b in docs.items()],
+                                    "url string, status int, body string, rendered_html string, render_error string")
+    probes = spark.createDataFrame([("s", "s.example", "sitemap", 0, "https://s.example/sitemap.xml",
+                                     docs["https://s.example/sitemap.xml"])],
+                                   "site string, domain string, role string, probe_idx int, url string, body string")
+    got = D.discover_sitemaps(probes, fetches)
+    urls = [r.url for r in got.collect()]
+    assert len(urls) == 1800
+    assert not any("/blog/2" in u for u in urls)
