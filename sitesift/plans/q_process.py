@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators.chunking import chunk_items, process_items
 from ..operators.dedup import deduplicate, hash_counts, template_hashes
 from ..sources.archive import items_all_template, items_long, items_template, items_tie, read_table
-from . import sqlparts as S
 from . import sqlplans as P
 from .catalog import register
 
@@ -193,5 +192,3 @@ def a5_stage_counts(spark, sf_dir):
                 F.coalesce("chunked", F.lit(0)).alias("chunked"))
     )
 
-
-_ = S  # sqlparts kept for symmetry with the other catalog modules

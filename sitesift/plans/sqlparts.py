@@ -7,7 +7,6 @@ it next to the Spark plan. Helpers here only build SQL text.
 
 from __future__ import annotations
 
-from ..functions import chunk as CH
 from ..functions import classify as CL
 from ..functions import html as H
 from ..functions import quality as Q
@@ -337,17 +336,3 @@ def url_join(base: str, href: str) -> str:
         f"WHEN {hp} = '' AND {hpar} = '' THEN {_unparse(hs, bn, bp, bpar, f'(CASE WHEN {hq} <> {chr(39)*2} THEN {hq} ELSE {bq} END)', hf)} "
         f"ELSE {_unparse(hs, bn, remove_dot_segments(segs), hpar, hq, hf)} END)"
     )
-
-
-# -------------------------------------------------------------------- chunk
-
-def chunk_ids(paras: str, max_size: str) -> str:
-    return (
-        f"list_reduce({paras}, lambda acc, p: CASE WHEN acc.cur_len + length(p) > {max_size} AND acc.n_cur > 0 "
-        "THEN struct_pack(ids := list_append(acc.ids, acc.k + 1), cur_len := length(p)::BIGINT, k := acc.k + 1, n_cur := 1) "
-        "ELSE struct_pack(ids := list_append(acc.ids, acc.k), cur_len := acc.cur_len + length(p) + 2, k := acc.k, n_cur := acc.n_cur + 1) END, "
-        "struct_pack(ids := []::INT[], cur_len := 0::BIGINT, k := 0, n_cur := 0)).ids"
-    )
-
-
-CHUNK = CH

@@ -29,11 +29,6 @@ def fetches_derived() -> str:
     )
 
 
-def _parts(html: str) -> str:
-    """(title, content) of one copy as two SQL expressions over a CTE column ``bd``."""
-    return html
-
-
 def extracted(fetches_sql: str, use_browser: bool) -> str:
     """SQL mirror of operators.extract.extract -> site, page_id, url, gate, source, title, content, content_type."""
     ub = "true" if use_browser else "false"
