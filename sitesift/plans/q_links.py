@@ -59,3 +59,111 @@ def p1_source_counts(spark, sf_dir):
     sites, fetches = _crawl(spark, sf_dir)
     c = D.discover(sites, fetches)
     return c.groupBy("site", "source").agg(F.count(F.lit(1)).alias("n_urls"))
+
+
+# ------------------------------------------- single-page discovery steps
+# Each page is taken as the fetched home / section page of its own host, with
+# a quarter of its links rewritten to blog and dated paths (crawl._variant).
+
+def _as_probe_pages(spark, sf_dir):
+    from ..functions.urls import url_scheme
+    from ..sources.crawl import _variant
+
+    p = read_table(spark, sf_dir, "pages")
+    return p.select(
+        "page_id", url_netloc("url").alias("site"), url_netloc("url").alias("domain"),
+        F.concat(url_scheme("url"), F.lit("://"), url_netloc("url"), F.lit("/")).alias("base_url"),
+        F.col("url"), _variant(F.col("html"), F.col("page_id")).alias("body"),
+        F.lit("home").alias("role"), F.col("page_id").alias("probe_idx"))
+
+
+_VARIANT_SQL = """
+SELECT page_id, url, {netloc} AS site, {netloc} AS domain, {scheme} || '://' || {netloc} || '/' AS base_url,
+  CASE WHEN page_id % 4 = 0 THEN replace(html, 'href="/', 'href="/blog/')
+       WHEN page_id % 4 = 1 THEN replace(html, 'href="/', 'href="/2024/05/') ELSE html END AS body
+FROM pages
+""".format(netloc=S.url_netloc("url"), scheme=S.url_scheme("url"))
+
+_LINKS_OF = """
+x AS (SELECT page_id, site, domain, base_url, url, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS pos
+      FROM (SELECT *, regexp_extract_all({clean}, {anchor}, 0) AS l FROM v)),
+y AS (SELECT page_id, site, domain, base_url, url, pos, {href} AS href FROM x),
+z AS (SELECT *, {full} AS full_url FROM y)
+""".format(clean=S.remove_noise("body"), anchor=S.q(ANCHOR_RE), href=S.decode(S.rext("a", ANCHOR_RE, 1)),
+           full=S.url_join("url", "href"))
+
+
+@register(
+    "p4_section_links",
+    f"""WITH v AS ({_VARIANT_SQL}), {_LINKS_OF.strip()}
+SELECT page_id, pos, full_url AS url FROM z WHERE {S.is_content_url('full_url', 'domain')}""",
+)
+def p4_section_links(spark, sf_dir):
+    """P4 step (H1 + U2 + F1): links of a section page kept when they look like content."""
+    pg = _as_probe_pages(spark, sf_dir).withColumn("role", F.lit("section"))
+    out = D.discover_sections(pg)
+    return out.select(F.col("src_order.probe_idx").cast("long").alias("page_id"),
+                      F.col("src_order.i").alias("pos"), "url")
+
+
+_SPA_SQL = f"""
+WITH v AS ({_VARIANT_SQL}),
+m AS (
+  SELECT page_id, 0 AS pat, unnest(l) AS raw, generate_subscripts(l, 1) AS pos, base_url, domain
+  FROM (SELECT *, regexp_extract_all(body, {S.q(D.SPA_HREF_RES[0])}, 1) AS l FROM v)
+  UNION ALL
+  SELECT page_id, 1, unnest(l), generate_subscripts(l, 1), base_url, domain
+  FROM (SELECT *, regexp_extract_all(body, {S.q(D.SPA_HREF_RES[1])}, 1) AS l FROM v)
+  UNION ALL
+  SELECT page_id, 2, unnest(l), generate_subscripts(l, 1), base_url, domain
+  FROM (SELECT *, regexp_extract_all(body, {S.q(D.SPA_JSON_RE)}, 1) AS l FROM v)
+),
+r AS (SELECT *, {S.url_join('base_url', 'raw')} AS u FROM m),
+k AS (
+  SELECT * FROM r WHERE (pat < 2 AND {S.is_content_url('u', 'domain')})
+     OR (pat = 2 AND starts_with(raw, '/') AND {S.any_('lower(raw)', D.SPA_JSON_WORDS)})
+)
+SELECT page_id, u AS url, (row_number() OVER (PARTITION BY page_id ORDER BY pat, pos) - 1)::INTEGER AS i
+FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY page_id, u ORDER BY pat, pos) = 1)
+"""
+
+
+@register("p5_spa_urls", _SPA_SQL)
+def p5_spa_urls(spark, sf_dir):
+    """P5 + T4: href patterns (F1) then JSON hrefs, ordered append-if-absent, per page."""
+    pg = _as_probe_pages(spark, sf_dir)
+    out = D.discover_spa(pg.withColumn("site", F.col("page_id").cast("string")))
+    return out.select(F.col("site").cast("long").alias("page_id"), "url", F.col("src_order.i").alias("i"))
+
+
+_NAV_SQL = f"""
+WITH v AS ({_VARIANT_SQL}),
+c AS (SELECT page_id, site, domain, base_url, url, {S.remove_noise('body')} AS clean FROM v),
+n AS (SELECT *, array_to_string(regexp_extract_all(clean, {S.q(NAV_SPAN_RE)}, 0), ' ') AS nav FROM c),
+arr AS (
+  SELECT page_id, domain, base_url,
+         list_concat(list_transform(regexp_extract_all(nav, {S.q(ANCHOR_RE)}, 0), lambda a: struct_pack(from_nav := true, a := a)),
+                     list_transform(regexp_extract_all(clean, {S.q(ANCHOR_RE)}, 0), lambda a: struct_pack(from_nav := false, a := a))) AS l
+  FROM n
+),
+x AS (SELECT page_id, domain, base_url, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM arr),
+y AS (SELECT page_id, domain, base_url, pos, {S.decode(S.rext('e.a', ANCHOR_RE, 1))} AS href,
+             {S.strip(S.text_of(S.rext('e.a', ANCHOR_RE, 2)))} AS text FROM x),
+z AS (SELECT *, {S.url_join('base_url', 'href')} AS full_url FROM y),
+k AS (SELECT * FROM z WHERE {S.is_nav_link('text', 'href')} AND {S.url_netloc('full_url')} = domain)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INTEGER AS sec_no, full_url AS section_url
+FROM k QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 3
+"""
+
+
+@register("p3_nav_sections", _NAV_SQL)
+def p3_nav_sections(spark, sf_dir):
+    """P3 steps T2 + F16 + W7: nav/header/menu links first, keyword match, same domain, first 3."""
+    from ..operators.links import with_link_array
+    from ..functions import urls as U
+
+    home = _as_probe_pages(spark, sf_dir).select("page_id", "domain", "base_url", "body")
+    home = with_link_array(home, "body", "base_url", "links", with_nav=True)
+    cand = F.filter("links", lambda e: U.is_nav_link(e["text"], e["href"]) & U.is_same_domain(e["full_url"], F.col("domain")))
+    x = home.select("page_id", F.posexplode(F.slice(cand, 1, D.NAV_SECTIONS)).alias("sec_no", "l"))
+    return x.select("page_id", "sec_no", F.col("l.full_url").alias("section_url"))
