@@ -21,9 +21,12 @@ def _direct_run(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
     fetches = pages_as_fetches(pages)
     keys = pages.select("page_id", "url", url_netloc("url").alias("site"))
+    # rank <= literal limit: Spark plans a WindowGroupLimit, i.e. a partial
+    # top-k per task before the shuffle, so a host with a third of all pages
+    # ships only MAX_ITEMS rows per task to the window
     cands = keys.select(
         "site", "url", F.lit("direct").alias("source"), F.lit(None).cast("date").alias("lastmod"),
-        F.row_number().over(Window.partitionBy("site").orderBy("page_id")).alias("ord"))
+        F.row_number().over(Window.partitionBy("site").orderBy("page_id")).alias("ord")).where(F.col("ord") <= MAX_ITEMS)
     sites = keys.select("site").distinct().select(
         "site", F.col("site").alias("base_url"), F.lit(MAX_ITEMS).alias("max_items"),
         F.lit(8000).alias("chunk_size"), F.lit(False).alias("use_browser"))

@@ -9,8 +9,8 @@ Shuffles: the URL lookup (join on url; the candidate side is bounded per
 site), the dedup aggregates on (site, hash) with map-side combine, the
 join back on the unique (site, ord) key, and one grouping per site to nest
 the result. The nested record holds a site's items in one row; that is the
-output format of the reference. ``write_results`` streams the flat items
-instead, which is the form to use for very large sites.
+output format of the reference; each group is bounded by the O1 limit, and ``write_partitioned`` streams the flat items
+for unbounded item tables.
 """
 
 from __future__ import annotations
@@ -55,7 +55,12 @@ def scrape_items(sites: DataFrame, fetches: DataFrame, cands: DataFrame | None =
 
 
 def nest(sites: DataFrame, items: DataFrame) -> DataFrame:
-    """K2 + F19: {site, items:[{title, content, content_type, source_url}]} in item order."""
+    """K2 + F19: {site, items:[{title, content, content_type, source_url}]} in item order.
+
+    Only for ``scrape_items`` output: a site holds at most max_items x 3
+    pieces (O1 limit, at most three chunks per item), so each group is
+    bounded. Unbounded item tables go through ``write_partitioned``.
+    """
     per = items.groupBy("site").agg(
         F.sort_array(F.collect_list(F.struct("ord", "part", "title", "content", "content_type", "source_url"))).alias("x"))
     per = per.select("site", F.transform("x", lambda i: F.struct(
