@@ -150,7 +150,8 @@ def discover_sitemaps(probes: DataFrame, fetches: DataFrame) -> DataFrame:
             "site", "domain", "branch", F.concat("path", F.lpad(F.col("pos").cast("string"), 2, "0"), F.lit(".")).alias("path"),
             F.col("loc").alias("url"))
         frontier = lookup(kids, fetches).select("site", "domain", "branch", "path", "url", "body")
-    found = apply_child_stop(found)
+    # narrow candidate rows, read three times by the child-stop rule
+    found = apply_child_stop(cut_lineage(found))
     return found.select("site", F.lit("sitemap").alias("source"), F.col("cand").alias("url"), "lastmod",
                         F.struct("branch", "path", "rank").alias("src_order"))
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.urls import url_join, url_netloc, url_scheme
 from ..operators.links import ANCHOR_RE
@@ -30,10 +29,14 @@ def crawl_fixture(pages: DataFrame, max_items: int = 100, chunk_size: int = 8000
     pid = F.col("page_id")
     p = pages.select("page_id", url_netloc("url").alias("host"), url_scheme("url").alias("scheme"),
                      _variant(F.col("html"), pid).alias("html"))
-    keys = p.select("page_id", "host")
-    w = Window.partitionBy("host").orderBy("page_id")
-    ranks = keys.withColumn("k", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("host")))
-    p = p.join(ranks.select("page_id", "k", "n"), "page_id")
+    # home page of a host = its smallest page id (partial aggregation, no
+    # per-host window); linked and section bodies are taken from other pages
+    # by a join on the unique page id, so a host holding a third of all
+    # pages never lands in one task
+    homes = p.groupBy("host").agg(F.min("page_id").alias("page_id"))
+    n_pages = p.agg(F.max("page_id") + 1).scalar()
+    p = p.join(homes.select("page_id", F.lit(1).alias("k")), "page_id", "left").fillna(0, ["k"])
+    bodies = p.select(F.col("page_id").alias("src_id"), F.col("html").alias("src_html"))
     root = F.concat("scheme", F.lit("://"), "host")
 
     sites = p.where(F.col("k") == 1).select(
@@ -76,12 +79,13 @@ def crawl_fixture(pages: DataFrame, max_items: int = 100, chunk_size: int = 8000
         fetch(home.where(pid % 2 == 1), F.concat(root, F.lit("/sitemap_index.xml")), index, "application/xml", prio=0),
         fetch(home.where(pid % 3 == 0), F.concat(root, F.lit("/feed")), rss, "application/rss+xml", prio=0),
         fetch(home.where(pid % 3 == 1), F.concat(root, F.lit("/atom.xml")), atom, "application/atom+xml", prio=0),
-        fetch(p.where(F.col("k") == F.least(F.lit(2), F.col("n"))), F.concat(root, F.lit("/blog")), F.col("html"), prio=1),
+        fetch(home.withColumn("src_id", (pid + 1) % n_pages).join(bodies, "src_id", "left")
+              .withColumn("html", F.coalesce("src_html", "html")), F.concat(root, F.lit("/blog")), F.col("html"), prio=1),
     ]
-    # every home link resolves to one of the host's other pages
-    links = home.select("host", "scheme", "n", F.posexplode(locs).alias("pos", "url"))
-    target_k = F.when(F.col("n") > 1, (F.col("pos") % (F.col("n") - 1)) + 2).otherwise(F.lit(1))
-    linked = links.select("host", "url", "pos", target_k.alias("k")).join(p.select("host", "k", "page_id", "html"), ["host", "k"])
+    # every home link resolves to a stored page body (another page of the archive)
+    links = home.select("page_id", "host", F.posexplode(locs).alias("pos", "url"))
+    linked = links.withColumn("src_id", (F.col("page_id") + F.col("pos") + 1) % n_pages).join(bodies, "src_id") \
+        .select(F.col("src_id").alias("page_id"), "url", F.col("src_html").alias("html"))
     parts.append(fetch(linked, F.col("url"), F.col("html"), prio=2))
     allf = parts[0]
     for x in parts[1:]:
