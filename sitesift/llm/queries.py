@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q01_mix  # noqa: F401
+from . import q01_mix, q02_url, q03_tokens  # noqa: F401
 from .registry import QUERIES
 
 
