@@ -35,9 +35,9 @@ TASK_WORDS = 400_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split(), but not sure to be so for the tokenizer.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Here lower() and the letter classes agree in all libraries, and NFC changes nothing.
-_PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-įı-ɏ]+")
+_PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]+")
 
 
 class PreTokenizer:
