@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +29,25 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@lru_cache(maxsize=8)
+def _ship(application: str) -> None:
+    """Give the package to the Python workers of the application, once."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="sitesift-"), "sitesift.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    SparkContext.getOrCreate().addPyFile(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for one intermediate table or file set, in the shared
     folder that ``spark.checkpoint.dir`` names; it lives as long as its user
     keeps it (all of one application lie under ``<application id>``)."""
+    _ship(spark.sparkContext.applicationId)
     return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 

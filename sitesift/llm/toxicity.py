@@ -13,17 +13,19 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import stage
+from .common import fresh, stage
 
 #: Labelled rows that a model is fitted on at most (smallest hashes first).
 MAX_LABELS = 200_000
@@ -142,73 +144,109 @@ def learn_lexicon(labelled: DataFrame, text: str = "text", toxic: str = "toxic")
     return {r.stem: r.odds for r in best.select("stem", "odds").collect()}
 
 
-def document_features(docs: DataFrame, key: str, text: str, lexicon: dict[str, float]) -> DataFrame:
-    """(key, features array) of every row."""
+def with_features(docs: DataFrame, text: str, lexicon: dict[str, float], name: str) -> DataFrame:
+    """``docs`` plus the feature array ``name``, row by row."""
     words = docs.sparkSession.sparkContext.broadcast(lexicon)
-    arrow_key = to_arrow_type(docs.schema[key].dataType)
+    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
+    at, fields = docs.columns.index(text), [*docs.columns, name]
+    types = [to_arrow_type(f.dataType) for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = WordInfo(words.value)
         for b in batches:
-            rows = [features(t or "", info) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow_key), pa.array(rows, pa.list_(pa.float64()))], ["key", "features"])
-
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, features array<double>")
+            rows = [features(t or "", info) for t in b.column(at).to_pylist()]
+            kept = [c.cast(t) for c, t in zip(b.columns, types)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, pa.list_(pa.float64()))], fields)
+
+    return docs.mapInArrow(run, schema)
+
+
+@dataclass
+class Model:
+    """Lexicon, trees and calibration; without trees every score is ``share``."""
+
+    lexicon: dict[str, float]
+    trees: GBTClassificationModel | None
+    calibration: IsotonicRegressionModel | None
+    share: float
+
+    def raw(self, rows: DataFrame, vector: str, p: str) -> DataFrame:
+        """``rows`` plus the trees' probability ``p`` from the feature array ``vector``."""
+        names = [fresh(rows, c) for c in ("tox_vector", "tox_raw", "tox_probability", "tox_label")]
+        trees = self.trees.copy({self.trees.featuresCol: names[0], self.trees.rawPredictionCol: names[1],
+                                 self.trees.probabilityCol: names[2], self.trees.predictionCol: names[3]})
+        out = trees.transform(rows.withColumn(names[0], array_to_vector(vector)))
+        return out.withColumn(p, vector_to_array(names[2])[1]).drop(*names, vector)
+
+    def apply(self, docs: DataFrame, score: str, text: str = "text") -> DataFrame:
+        """``docs`` plus the column ``score``; no shuffle, no join."""
+        if self.trees is None:
+            return docs.withColumn(score, F.lit(self.share))
+        vector, level = fresh(docs, "tox_features"), fresh(docs, "tox_level")
+        out = self.raw(with_features(docs, text, self.lexicon, vector), vector, score)
+        if self.calibration:
+            # a little of the raw score keeps the order within a level
+            out = self.calibration.copy({self.calibration.featuresCol: score, self.calibration.predictionCol: level}).transform(out)
+            out = out.withColumn(score, F.lit(0.99) * F.col(level) + F.lit(0.01) * F.col(score)).drop(level)
+        return out.withColumn(score, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
 
 
-def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
-          max_labels: int = MAX_LABELS, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
-    """One row per input row: key, held_out, score (0 to 1), predicted.
+def fold_of(key: str) -> Column:
+    return F.crc32(F.col(key).cast("string")) % 5
 
-    Rows whose crc32(key as text) mod 5 is 0 are held out; of the rest,
-    remainder 4 calibrates, 1 to 3 give lexicon and trees, from at most
-    ``max_labels`` labelled documents (those with the smallest hashes). A key
-    with several labels is toxic if one of them is 1.
 
-    Null or empty text is scored from an all-zero vector. Null key: scored,
-    never labelled, not held out. Repeated rows are scored one by one. Without
-    labels of both classes every score is the toxic share of the labels (0
-    without labels). Empty table: empty result. Other columns are not looked at.
-    """
-    fold = F.crc32(F.col(key).cast("string")) % 5
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
+        max_labels: int = MAX_LABELS, trees: int = 20, depth: int = 4, seed: int = 7) -> Model:
+    """Learn from rows whose crc32(key as text) mod 5 is not 0: remainders 1
+    to 3 give lexicon and trees, 4 the calibration, from at most
+    ``max_labels`` labelled keys (those with the smallest hashes). A key with
+    several labels is toxic if one of them is 1; null labels count as none."""
     known = (
-        labels.where(F.col(toxic).isNotNull() & (fold != 0)).groupBy(F.col(key).alias("label_key"), fold.alias("fold"))
+        labels.where(F.col(toxic).isNotNull() & (fold_of(key) != 0)).groupBy(F.col(key).alias("label_key"), fold_of(key).alias("fold"))
         .agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
         .orderBy(F.xxhash64("label_key"), "label_key").limit(max_labels)
     )
     known = stage(known, "labels")  # at most max_labels narrow rows, so they can be broadcast
-    on = F.col("label_key") == F.col(key)
-    lexicon = learn_lexicon(docs.join(F.broadcast(known.where("fold <> 4")), on).select(F.col(text).alias("text"), "toxic"))
-    rows = stage(document_features(docs, key, text, lexicon), "toxicity-features")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), F.col("label_key") == F.col("key"))
+    rows = stage(rows.select("fold", "toxic", "text"), "labelled-texts")
+    lexicon = learn_lexicon(rows.where("fold <> 4"))
     train = stage(
-        rows.join(F.broadcast(known), F.col("label_key") == F.col("key"))
-        .select("fold", F.col("toxic").cast("double").alias("label"), "features"), "toxicity-train"
-    ).withColumn("vector", array_to_vector("features"))
-    held_out = F.coalesce(F.crc32(F.col("key").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
-    counts = {r.fit: (r.n, r.y) for r in train.groupBy((F.col("fold") != 4).alias("fit")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).collect()}
-    n, y = counts.get(True, (0, 0.0))
-    if not n or not 0 < y < n:
-        share = sum(c[1] for c in counts.values()) / max(1, sum(c[0] for c in counts.values()))
-        out = rows.select("key", held_out, F.lit(share).alias("score"))
-    else:
-        trained = GBTClassifier(
-            featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, subsamplingRate=1.0, seed=seed,
-            minInstancesPerNode=max(1, min(5, n // 100)),
-        ).fit(train.where("fold <> 4"))
-        p = vector_to_array("probability")[1].alias("p")
-        m, z = counts.get(False, (0, 0.0))
-        scored = trained.transform(rows.withColumn("vector", array_to_vector("features"))).select("key", held_out, p)
-        if 0 < z < m:
-            held = trained.transform(train.where("fold = 4")).select("label", p)
-            iso = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(held)
-            # a little of the raw score keeps the order within a level
-            scored = iso.transform(scored).withColumn("p", F.lit(0.99) * F.col("calibrated") + F.lit(0.01) * F.col("p"))
-        out = scored.select("key", "held_out", F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)).alias("score"))
-    return out.select(F.col("key").alias(key), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        with_features(rows, "text", lexicon, "features").select("fold", F.col("toxic").cast("double").alias("label"), "features"),
+        "toxicity-train",
+    )
+    split = train.groupBy((F.col("fold") != 4).alias("fit")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y"))
+    counts = {r.fit: (r.n, r.y) for r in split.collect()}
+    share = sum(c[1] for c in counts.values()) / max(1, sum(c[0] for c in counts.values()))
+    (n, y), (m, z) = counts.get(True, (0, 0.0)), counts.get(False, (0, 0.0))
+    if not 0 < y < n:
+        return Model(lexicon, None, None, share)
+    gbt = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed,
+                        minInstancesPerNode=max(1, min(5, n // 100)))
+    model = Model(lexicon, gbt.fit(train.where("fold <> 4").withColumn("vector", array_to_vector("features"))), None, share)
+    if 0 < z < m:
+        held = model.raw(train.where("fold = 4").select("label", "features"), "features", "p")
+        model.calibration = IsotonicRegression(featuresCol="p", labelCol="label").fit(held)
+    return model
+
+
+def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per input row: key, held_out, score (0 to 1), predicted.
+
+    Null or empty text is scored from an all-zero vector. Null key: scored,
+    never labelled, not held out. Repeated rows are scored one by one. Without
+    training labels of both classes every score is the toxic share of the
+    labels (0 without labels). Empty table: empty result. Other columns are
+    not looked at.
+    """
+    model = fit(docs, labels, key=key, text=text, **options)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return model.apply(rows, "score").select(
+        F.col("key").alias(key), F.coalesce(fold_of("key") == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the score does not predict to be toxic, all columns
-    kept. Rows of one key share their fate if any of them is predicted."""
-    bad = score(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("toxic_key")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("toxic_key"), "left_anti")
+    """The rows that the score does not predict to be toxic, all columns kept."""
+    name = fresh(docs, "tox_score")
+    return fit(docs, labels, **options).apply(docs, name).where(F.col(name) < 0.5).select(*docs.columns)
