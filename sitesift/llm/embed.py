@@ -67,7 +67,7 @@ def tile_links(threshold: float):
         unit = x / np.linalg.norm(x, axis=1)[:, None]
         everything = np.arange(len(cid))
         rows = everything[side == 0]
-        cols = rows if (side == 0).all() else everything[side == 1]
+        cols = rows if table["t0"][0] == table["t1"][0] else everything[side == 1]
         links, left, right = np.zeros(len(cid), np.int64), [], []
         for i, j in close_pairs(unit, rows, cols, threshold):
             np.add.at(links, i, copies[j])

@@ -42,7 +42,7 @@ SECOND_PERSON = frozenset(
     "tú ti tus usted ustedes vosotros os vuestro".split()
 )
 # Characters that stand for letters.
-LOOKALIKES = str.maketrans("0134578@$!|", "oleastbasil")
+LOOKALIKES = str.maketrans("0134578@$!|", "oieastbasil")
 FEATURES = (
     "hits_100", "log_hits", "weight", "distinct_hits", "hidden_100", "burst", "near_you", "you_100", "near_gap",
     "caps_words", "caps_letters", "exclaims", "punctuation", "runs", "mixed_words", "log_words",
@@ -65,7 +65,7 @@ def plain(word: str) -> str:
 
 def unmasked(word: str) -> str:
     """The word a writer may have hidden: lookalikes, inner marks and stretched letters undone."""
-    return re.sub(r"(\w)\1{2,}", r"\1", _SPLITTERS.sub("", _EDGE.sub("", word.lower().translate(LOOKALIKES))))
+    return re.sub(r"(\w)\1{2,}", r"\1", _SPLITTERS.sub("", _EDGE.sub("", word.lower()).translate(LOOKALIKES)))
 
 
 class WordInfo:
