@@ -58,10 +58,6 @@ def element_re(tag: str) -> str:
     return r"(?is)<" + tag + r"\b[^>]*>(.*?)</" + tag + r"\s*>"
 
 
-def has_element(html, tag: str) -> Column:
-    return col_(html).rlike(r"(?is)<" + tag + r"\b[^>]*>.*?</" + tag + r"\s*>")
-
-
 def remove_noise(html) -> Column:
     return F.regexp_replace(col_(html), NOISE_RE, "")
 
@@ -117,24 +113,30 @@ def semantic_main(body) -> Column:
     return out
 
 
-def _block_fold(closes: Column, segs: Column) -> Column:
-    init = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit("").alias("cur"),
-        F.array().cast("array<string>").alias("blocks"),
-    )
+def _block_fold(tags: str, lens: str) -> Column:
+    """Best outermost block as (first, end) segment numbers. The accumulator is
+    a few numbers, so the fold is linear in the number of tags: ``lens`` holds
+    the text length after each tag, and a block's text is the sum of its
+    segments' (tags never split a segment's text)."""
+    names = ("depth", "start", "size", "best", "first", "end")
+    init = F.struct(*(F.lit(v).alias(n) for n, v in zip(names, (0, 0, 0, -1, 0, 0))))
 
     def step(acc, i):
-        is_close = F.element_at(closes, i + 1) == "/"
-        seg = F.element_at(segs, i + 2)
+        closes = F.get(tags, i) == "/"
         d0 = acc["depth"]
-        d1 = F.when(is_close, F.greatest(d0 - 1, F.lit(0))).otherwise(d0 + 1)
-        finished = is_close & (d0 == 1)
-        cur = F.when(~is_close & (d0 == 0), seg).when(d1 > 0, F.concat(acc["cur"], seg)).otherwise(F.lit(""))
-        blocks = F.when(finished, F.concat(acc["blocks"], F.array(acc["cur"]))).otherwise(acc["blocks"])
-        return F.struct(d1.alias("depth"), cur.alias("cur"), blocks.alias("blocks"))
+        d1 = F.when(closes, F.greatest(d0 - 1, F.lit(0))).otherwise(d0 + 1)
+        done = closes & (d0 == 1) & (acc["size"] > acc["best"])
+        opens = ~closes & (d0 == 0)
+        return F.struct(
+            d1.alias("depth"),
+            F.when(opens, i + 1).otherwise(acc["start"]).alias("start"),
+            F.when(opens, F.get(lens, i + 1)).when(d1 > 0, acc["size"] + F.get(lens, i + 1)).otherwise(F.lit(0)).alias("size"),
+            F.when(done, acc["size"]).otherwise(acc["best"]).alias("best"),
+            F.when(done, acc["start"]).otherwise(acc["first"]).alias("first"),
+            F.when(done, i + 1).otherwise(acc["end"]).alias("end"),
+        )
 
-    idx = F.when(F.size(closes) > 0, F.sequence(F.lit(0), F.size(closes) - 1)).otherwise(F.array().cast("array<int>"))
+    idx = F.when(F.size(tags) > 0, F.sequence(F.lit(0), F.size(tags) - 1)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(idx, init, step)
 
 
@@ -143,28 +145,24 @@ def with_largest_block(df: DataFrame, body: str, out: str) -> DataFrame:
     text (first on ties) when that text exceeds 200 characters, else NULL.
 
     A parent's text contains its children's, so the longest block is always
-    an outermost one. The tag list and the text between tags are folded with
-    a depth counter (nesting handled without a parser; an unclosed block runs
-    to the end). Each step is its own projection so that no regex is
-    re-evaluated inside the fold.
+    an outermost one. The tag list is folded with a depth counter (nesting
+    handled without a parser; an unclosed block runs to the end) and the
+    winner is cut out once. Each step is its own projection so that no regex
+    is re-evaluated inside the fold.
     """
     t = "__lb_"
-    df = df.withColumn(t + "closes", F.regexp_extract_all(F.col(body), F.lit(BLOCK_TAG_RE), 1)).withColumn(
+    df = df.withColumn(t + "tags", F.regexp_extract_all(F.col(body), F.lit(BLOCK_TAG_RE), 1)).withColumn(
         t + "segs", F.split(F.col(body), BLOCK_TAG_RE)
     )
-    df = df.withColumn(t + "fold", _block_fold(F.col(t + "closes"), F.col(t + "segs")))
-    res = F.col(t + "fold")
-    df = df.withColumn(
-        t + "blocks", F.when(res["depth"] > 0, F.concat(res["blocks"], F.array(res["cur"]))).otherwise(res["blocks"])
-    )
-    scored = F.transform(
-        F.col(t + "blocks"),
-        lambda x, i: F.struct(F.length(text_of(x)).alias("n"), (-i).alias("neg_pos"), x.alias("html")),
-    )
-    df = df.withColumn(t + "best", F.array_max(scored))
-    best = F.col(t + "best")
-    df = df.withColumn(out, F.when(best["n"] > 200, best["html"]))
-    return df.drop(t + "closes", t + "segs", t + "fold", t + "blocks", t + "best")
+    df = df.withColumn(t + "lens", F.transform(t + "segs", lambda x: F.length(text_of(x))))
+    df = df.withColumn(t + "fold", _block_fold(t + "tags", t + "lens"))
+    f = F.col(t + "fold")
+    is_open = (f["depth"] > 0) & (f["size"] > f["best"])  # an unclosed block
+    best = F.when(is_open, f["size"]).otherwise(f["best"])
+    first = F.when(is_open, f["start"]).otherwise(f["first"])
+    end = F.when(is_open, F.size(t + "segs")).otherwise(f["end"])
+    df = df.withColumn(out, F.when(best > 200, F.array_join(F.slice(t + "segs", first + 1, F.greatest(end - first, F.lit(0))), "")))
+    return df.drop(t + "tags", t + "segs", t + "lens", t + "fold")
 
 
 # Markdown rewrites, applied in this order to the main element's inner HTML.
@@ -182,12 +180,8 @@ def to_markdown(fragment) -> Column:
     return text_of(x)
 
 
-def stripped_len(c) -> Column:
-    return F.length(py_strip(c))
-
-
 __all__ = [
     "NOISE_RE", "CHROME_RE", "PY_WHITESPACE", "remove_noise", "remove_chrome", "text_of", "visible_text",
-    "page_title", "semantic_main", "with_largest_block", "to_markdown", "stripped_len",
-    "has_element", "selector_re", "element_re",
+    "page_title", "semantic_main", "with_largest_block", "to_markdown",
+    "selector_re", "element_re",
 ]

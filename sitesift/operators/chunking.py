@@ -24,7 +24,8 @@ def chunk_items(items: DataFrame, chunk_size=DEFAULT_CHUNK_SIZE) -> DataFrame:
     d = d.withColumn(t + "starts", chunk_starts(F.col(t + "paras"), F.col(t + "m")))
     d = d.withColumn(t + "chunks", chunks_from_starts(F.col(t + "paras"), F.col(t + "starts")))
     d = d.withColumn(t + "pieces", pieces(F.col("title"), F.col("content"), F.col(t + "chunks"), F.col(t + "m")))
-    return d.select(*cols, F.posexplode(t + "pieces").alias("part0", "piece")).select(
+    # an outer generator: an inner one would push a non-empty test, with all steps inlined, down to the scan
+    return d.select(*cols, F.posexplode_outer(t + "pieces").alias("part0", "piece")).where("part0 is not null").select(
         *cols,
         (F.col("part0") + 1).alias("part"),
         F.col("piece.title").alias("title"),

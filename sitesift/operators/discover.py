@@ -7,12 +7,15 @@ per site, so Catalyst/AQE broadcast it when its runtime size allows and the
 archive is scanned once (only ``url, status, body`` columns). Child
 sitemaps and navigation sections need a second lookup of the same shape.
 
-Candidate lists are bounded by construction (fixed probes, per-document
-caps), so the per-site ranking window runs over narrow rows only.
+All rows are kept unless a ``Limits`` argument says otherwise. Generators are
+outer ones with a filter on the generated column: Spark pushes an inner
+generator's non-empty test below the staged projections, every alias inlined.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,15 +28,26 @@ from .links import data_attribute_urls, page_links, with_link_array
 # Source priority used for the documented candidate order.
 SOURCE_PRIORITY = {"direct": 0, "sitemap": 1, "feed": 2, "section": 3, "spa": 4, "navigation": 5, "rendered": 6}
 WATERFALL_MIN = 5            # run the next source only while fewer URLs are known
-SITEMAP_MAX_CHARS = 10_000_000
-SITEMAP_URL_TAGS = 2000      # url tags read per sitemap document
-SITEMAP_KEEP = 100           # newest entries kept per sitemap document
-SITEMAP_CHILDREN = 3         # child sitemaps read per index
-SITEMAP_CHILD_STOP = 1000    # stop reading children after this many URLs
-SITEMAP_DEPTH = 3            # index nesting followed (the reference has no bound)
-NAV_SECTIONS = 3
-LOOSE_LINKS = 10
 
+
+@dataclass(frozen=True)
+class Limits:
+    """Optional bounds of a discovery run; None means all rows."""
+
+    sitemap_chars: int | None = None     # longer sitemap documents are not read (F15)
+    sitemap_tags: int | None = None      # url tags read per sitemap document
+    sitemap_keep: int | None = None      # newest entries kept per sitemap document (W3)
+    sitemap_children: int | None = None  # child sitemaps read per index (W4)
+    child_stop: int | None = None        # an index reads no more children after this many URLs (W6)
+    nav_sections: int | None = None      # navigation sections looked up per home page (W7)
+    loose_links: int | None = None       # loose links taken where a section has no strict one (W8)
+
+
+ALL = Limits()
+# The bounds of the one-site profile.
+SINGLE_SITE = Limits(10_000_000, 2000, 100, 3, 1000, 3, 10)
+
+# Patterns and words of links in page scripts and API responses.
 SPA_HREF_RES = [r'(?i)href="([^"]*(?:blog|article|post)[^"]*)"', r'(?i)href="(/[^"]*)"']
 SPA_JSON_RE = r'"href":\s*"([^"]*)"'
 SPA_JSON_WORDS = ["blog", "article", "post"]
@@ -82,27 +96,33 @@ def parse_lastmod(c) -> F.Column:
     return F.to_date(F.try_to_timestamp(d, F.lit("yyyy-M-d")))
 
 
-def parse_sitemap(docs: DataFrame, keys) -> DataFrame:
-    """Urlset entries (first 2,000) and index children (first 3) of each document.
+def parse_sitemap(docs: DataFrame, keys, limits: Limits = ALL) -> DataFrame:
+    """Urlset entries and index children of each document, parsed once.
 
-    Returns keys..., kind ('url'|'child'), pos, loc, lastmod. Documents over
-    10,000,000 characters or not parseable give no rows (F15).
+    Returns keys..., kind ('url'|'child'), pos, loc, lastmod. Documents that
+    cannot be parsed, or are longer than ``limits`` allow (F15), give no rows.
     """
     keys = list(keys)
-    d = docs.where(F.length("body") <= SITEMAP_MAX_CHARS).select(
-        *keys, F.from_xml(F.col("body"), SITEMAP_SCHEMA, {"mode": "PERMISSIVE"}).alias("x")
-    )
-    urls = d.select(*keys, F.posexplode(F.slice(F.coalesce(F.col("x.url"), F.array().cast("array<struct<loc:string,lastmod:string>>")), 1, SITEMAP_URL_TAGS)).alias("pos", "u")) \
-        .select(*keys, F.lit("url").alias("kind"), "pos", F.btrim(F.col("u.loc"), F.lit(PY_WHITESPACE)).alias("loc"),
-                parse_lastmod(F.col("u.lastmod")).alias("lastmod"))
-    kids = d.select(*keys, F.posexplode(F.slice(F.coalesce(F.col("x.sitemap"), F.array().cast("array<struct<loc:string>>")), 1, SITEMAP_CHILDREN)).alias("pos", "s")) \
-        .select(*keys, F.lit("child").alias("kind"), "pos", F.btrim(F.col("s.loc"), F.lit(PY_WHITESPACE)).alias("loc"),
-                F.lit(None).cast("date").alias("lastmod"))
-    return urls.unionByName(kids).where(F.col("loc").isNotNull() & (F.col("loc") != ""))
+    if limits.sitemap_chars is not None:
+        docs = docs.where(F.length("body") <= limits.sitemap_chars)
+    d = docs.select(*keys, F.from_xml(F.col("body"), SITEMAP_SCHEMA, {"mode": "PERMISSIVE"}).alias("x"))
+    entry = "array<struct<kind:string,pos:int,loc:string,lastmod:string>>"
+
+    def listed(column: str, kind: str, most: int | None):
+        found = F.col(column) if most is None else F.slice(F.col(column), 1, most)
+        rows = F.transform(found, lambda e, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("pos"), e["loc"].alias("loc"),
+            (e["lastmod"] if kind == "url" else F.lit(None).cast("string")).alias("lastmod")))
+        return F.coalesce(rows, F.array()).cast(entry)
 
+    entries = F.concat(listed("x.url", "url", limits.sitemap_tags), listed("x.sitemap", "child", limits.sitemap_children))
+    x = d.select(*keys, F.inline_outer(entries)).where("kind is not null")
+    x = x.select(*keys, "kind", "pos", F.btrim("loc", F.lit(PY_WHITESPACE)).alias("loc"), parse_lastmod(F.col("lastmod")).alias("lastmod"))
+    return x.where(F.col("loc").isNotNull() & (F.col("loc") != ""))
 
-def sitemap_entries(entries: DataFrame, doc_keys) -> DataFrame:
-    """Per document, content URLs (F1) ranked newest first, first 100 kept.
+
+def sitemap_entries(entries: DataFrame, doc_keys, limits: Limits = ALL) -> DataFrame:
+    """Per document, content URLs (F1) ranked newest first, cut if ``limits`` say so.
 
     Ties keep document order; a missing date counts as 1900-01-01.
     """
@@ -111,77 +131,77 @@ def sitemap_entries(entries: DataFrame, doc_keys) -> DataFrame:
     w = Window.partitionBy(*doc_keys).orderBy(
         F.coalesce("lastmod", F.lit("1900-01-01").cast("date")).desc(), F.col("pos").asc()
     )
-    return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SITEMAP_KEEP)
+    ranked = e.withColumn("rank", F.row_number().over(w))
+    return ranked if limits.sitemap_keep is None else ranked.where(F.col("rank") <= limits.sitemap_keep)
 
 
 def robots_sitemaps(robots: DataFrame, keys) -> DataFrame:
     """S4: 'sitemap:' lines (any case) of robots.txt -> sitemap URL after the first ':'."""
     keys = list(keys)
-    lines = robots.select(*keys, F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    lines = robots.select(*keys, F.posexplode_outer(F.split("body", "\n")).alias("line_no", "line"))
     return lines.where(F.lower("line").startswith("sitemap:")).select(
         *keys, "line_no",
         F.btrim(F.regexp_extract("line", r"(?s)^[^:]*:(.*)$", 1), F.lit(PY_WHITESPACE)).alias("loc"),
     )
 
 
-def discover_sitemaps(probes: DataFrame, fetches: DataFrame) -> DataFrame:
+def discover_sitemaps(probes: DataFrame, fetches: DataFrame, limits: Limits = ALL) -> DataFrame:
     """Sitemap source: /sitemap.xml, /sitemap_index.xml, robots.txt references,
-    index children followed up to SITEMAP_DEPTH levels (J3, W4, W6)."""
+    and the children of indexes, level by level until no new one is stored
+    (J3, W4, W6). Each level is written once; a document that a branch has
+    already read ends there, so indexes may name each other."""
     docs = probes.where(F.col("role").isin("sitemap", "robots"))
     robots = robots_sitemaps(docs.where(F.col("role") == "robots"), ["site", "domain", "probe_idx"])
+    keys = ["site", "domain", "branch", "path", "url"]
     level0 = docs.where(F.col("role") == "sitemap").select(
-        "site", "domain", F.col("probe_idx").cast("long").alias("branch"), F.lit("").alias("path"), "url", "body"
+        "site", "domain", F.col("probe_idx").cast("long").alias("branch"), F.array().cast("array<int>").alias("path"), "url", "body"
     )
     robot_docs = lookup(
-        robots.select("site", "domain", (F.col("probe_idx") * 1000 + F.col("line_no")).cast("long").alias("branch"),
-                      F.lit("").alias("path"), F.col("loc").alias("url")),
+        robots.select("site", "domain", (F.lit(1 << 40) * (F.col("probe_idx") + 1) + F.col("line_no")).alias("branch"),
+                      F.array().cast("array<int>").alias("path"), F.col("loc").alias("url")),
         fetches,
-    ).select("site", "domain", "branch", "path", "url", "body")
+    ).select(*keys, "body")
+    found = read = None
     frontier = level0.unionByName(robot_docs)
-    found = None
-    for depth in range(SITEMAP_DEPTH + 1):
-        ent = parse_sitemap(frontier, ["site", "domain", "branch", "path", "url"])
-        urls = sitemap_entries(ent, ["site", "branch", "path", "url"]).select(
+    while True:
+        entries = cut_lineage(parse_sitemap(frontier, keys, limits))
+        if found is not None and entries.isEmpty():
+            break
+        urls = sitemap_entries(entries, ["site", "branch", "path", "url"], limits).select(
             "site", "branch", "path", "rank", F.col("loc").alias("cand"), "lastmod")
         found = urls if found is None else found.unionByName(urls)
-        if depth == SITEMAP_DEPTH:
-            break
-        kids = ent.where(F.col("kind") == "child").select(
-            "site", "domain", "branch", F.concat("path", F.lpad(F.col("pos").cast("string"), 2, "0"), F.lit(".")).alias("path"),
-            F.col("loc").alias("url"))
-        frontier = lookup(kids, fetches).select("site", "domain", "branch", "path", "url", "body")
-    # narrow candidate rows, read three times by the child-stop rule
-    found = apply_child_stop(cut_lineage(found))
+        here = entries.select("site", "branch", "url").distinct()
+        read = here if read is None else read.unionByName(here)
+        kids = entries.where(F.col("kind") == "child").select(
+            "site", "domain", "branch", F.array_append("path", F.col("pos")).alias("path"), F.col("loc").alias("url"))
+        frontier = lookup(kids.join(read, ["site", "branch", "url"], "left_anti"), fetches).select(*keys, "body")
+    if limits.child_stop is not None:
+        found = apply_child_stop(cut_lineage(found), limits.child_stop)
     return found.select("site", F.lit("sitemap").alias("source"), F.col("cand").alias("url"), "lastmod",
                         F.struct("branch", "path", "rank").alias("src_order"))
 
 
-def apply_child_stop(found: DataFrame) -> DataFrame:
-    """An index stops reading children once more than 1,000 URLs came
+def apply_child_stop(found: DataFrame, stop: int) -> DataFrame:
+    """An index stops reading children once more than ``stop`` URLs came
     from the children read so far; later children (and their subtrees) drop.
 
-    ``path`` is the chain of child positions ('00.01.'). Each row is
-    counted once for every child node on its chain; a node is cut when its
-    earlier siblings' subtree totals exceed the limit. Rows are candidate
-    URLs (bounded per document), so this stays a narrow aggregation.
+    ``path`` is the chain of child positions. Each row is counted once for
+    every child node on its chain; a node is cut when its earlier siblings'
+    subtree totals exceed the limit.
     """
-    n_levels = SITEMAP_DEPTH
-    nodes = found.select(
-        "site", "branch",
-        F.explode(F.array(*[F.when(F.length("path") >= 3 * (i + 1), F.substring("path", 1, 3 * (i + 1)))
-                            for i in range(n_levels)])).alias("node"),
-    ).where(F.col("node").isNotNull())
+    levels = F.sequence(F.lit(1), F.size("path"))
+    chain = F.when(F.size("path") > 0, F.transform(levels, lambda k: F.slice("path", 1, k)))
+    nodes = found.select("site", "branch", F.explode_outer(chain).alias("node")).where("node is not null")
     sub = nodes.groupBy("site", "branch", "node").agg(F.count(F.lit(1)).alias("n"))
-    sub = sub.withColumn("parent", F.expr("substring(node, 1, length(node) - 3)")).withColumn(
-        "pos", F.expr("substring(node, length(node) - 2, 2)"))
+    sub = sub.withColumn("parent", F.slice("node", 1, F.size("node") - 1)).withColumn("pos", F.element_at("node", -1))
     w = Window.partitionBy("site", "branch", "parent").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    cut = sub.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") > SITEMAP_CHILD_STOP)
+    cut = sub.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") > stop)
     cut = cut.select("site", "branch", F.col("node").alias("cut_node"))
     # a row is dropped when any node on its chain was cut
-    flagged = found.join(cut, ["site", "branch"], "left").where(
-        F.col("cut_node").isNotNull() & F.col("path").startswith(F.col("cut_node"))
-    ).select("site", "branch", "path", "rank", "cand").distinct()
-    return found.join(flagged, ["site", "branch", "path", "rank", "cand"], "left_anti")
+    rows = found.withColumn("cut_node", F.explode_outer(chain)).join(cut.withColumn("hit", F.lit(True)), ["site", "branch", "cut_node"], "left")
+    order = ["site", "branch", "path", "rank", "cand", "lastmod"]
+    kept = rows.groupBy(*order).agg(F.count("hit").alias("hits"))
+    return kept.where("hits = 0").select(*order)
 
 
 # -------------------------------------------------------------------- feeds
@@ -198,7 +218,7 @@ def discover_feeds(probes: DataFrame) -> DataFrame:
         F.coalesce(F.transform(F.col("x.channel.item"), lambda i: i["link"]), F.array().cast("array<string>")),
         F.coalesce(F.transform(F.col("x.entry"), lambda e: e["link"]["_href"]), F.array().cast("array<string>")),
     )
-    x = docs.select("site", "probe_idx", F.posexplode(links).alias("pos", "u"))
+    x = docs.select("site", "probe_idx", F.posexplode_outer(links).alias("pos", "u"))
     return x.where(F.col("u").isNotNull() & (F.col("u") != "")).select(
         "site", F.lit("feed").alias("source"), F.btrim("u", F.lit(PY_WHITESPACE)).alias("url"),
         F.lit(None).cast("date").alias("lastmod"), F.struct("probe_idx", "pos").alias("src_order"))
@@ -208,7 +228,7 @@ def discover_feeds(probes: DataFrame) -> DataFrame:
 
 def _emit(df: DataFrame, arr, source: str, order_field: str = "pos") -> DataFrame:
     """Explode an array of link structs into candidate rows."""
-    x = df.select("site", F.posexplode(arr).alias("i", "l"))
+    x = df.select("site", F.posexplode_outer(arr).alias("i", "l")).where("i is not null")
     return x.select("site", F.lit(source).alias("source"), F.col("l.full_url").alias("url"),
                     F.lit(None).cast("date").alias("lastmod"), F.struct("i").alias("src_order"))
 
@@ -218,7 +238,7 @@ def discover_sections(probes: DataFrame) -> DataFrame:
     pages = probes.where(F.col("role") == "section").select("site", "domain", "url", "body", "probe_idx")
     pages = with_link_array(pages, "body", "url", "links", with_nav=False)
     keep = F.filter("links", lambda e: U.is_content_url(e["full_url"], F.col("domain")))
-    x = pages.select("site", "probe_idx", F.posexplode(keep).alias("i", "l"))
+    x = pages.select("site", "probe_idx", F.posexplode_outer(keep).alias("i", "l")).where("i is not null")
     return x.select("site", F.lit("section").alias("source"), F.col("l.full_url").alias("url"),
                     F.lit(None).cast("date").alias("lastmod"), F.struct("probe_idx", "i").alias("src_order"))
 
@@ -238,29 +258,33 @@ def discover_spa(probes: DataFrame) -> DataFrame:
                  lambda x: x.startswith("/") & F.exists(_lit_array(SPA_JSON_WORDS), lambda k: F.lower(x).contains(k)))
     arrs.append(F.transform(j, lambda x: U.url_join(F.col("base_url"), x)))
     home = home.withColumn("spa", F.array_distinct(F.concat(*arrs)))
-    x = home.select("site", F.posexplode("spa").alias("i", "url"))
+    x = home.select("site", F.posexplode_outer("spa").alias("i", "url")).where("i is not null")
     return x.select("site", F.lit("spa").alias("source"), "url", F.lit(None).cast("date").alias("lastmod"),
                     F.struct("i").alias("src_order"))
 
 
 # --------------------------------------------------------------- navigation
 
-def discover_navigation(probes: DataFrame, fetches: DataFrame) -> DataFrame:
+def _first(array, most: int | None):
+    return array if most is None else F.slice(array, 1, most)
+
+
+def discover_navigation(probes: DataFrame, fetches: DataFrame, limits: Limits = ALL) -> DataFrame:
     """Nav links (nav/header/menu first, then all; duplicates count), keyword
-    match on text else href (F16), same domain; the first 3 (W7) are looked up
-    (J4); their links pass F2, or when none does, the first 10 loose links
-    (F17, W8); set semantics at the end (T3)."""
+    match on text else href (F16), same domain; they (the first few, W7) are
+    looked up (J4); their links pass F2, or when none does, the loose links
+    (the first few, F17, W8); set semantics at the end (T3)."""
     home = probes.where(F.col("role") == "home").select("site", "domain", "base_url", "body")
     home = with_link_array(home, "body", "base_url", "links", with_nav=True)
     cand = F.filter("links", lambda e: U.is_nav_link(e["text"], e["href"]) & U.is_same_domain(e["full_url"], F.col("domain")))
-    secs = home.select("site", "domain", F.posexplode(F.slice(cand, 1, NAV_SECTIONS)).alias("sec_no", "l"))
+    secs = home.select("site", "domain", F.posexplode_outer(_first(cand, limits.nav_sections)).alias("sec_no", "l")).where("sec_no is not null")
     sec_pages = lookup(secs.select("site", "domain", "sec_no", F.col("l.full_url").alias("url")), fetches)
     sp = with_link_array(sec_pages.select("site", "domain", "sec_no", "url", "body"), "body", "url", "links", with_nav=False)
     strict = F.filter("links", lambda e: U.is_section_content_url(e["full_url"], F.col("url"), F.col("domain")))
-    loose = F.slice(F.filter("links", lambda e: U.is_loose_link(e["href"], e["full_url"], F.col("url"), F.col("domain"))),
-                    1, LOOSE_LINKS)
+    loose = _first(F.filter("links", lambda e: U.is_loose_link(e["href"], e["full_url"], F.col("url"), F.col("domain"))),
+                   limits.loose_links)
     sp = sp.withColumn("strict", strict).withColumn("picked", F.when(F.size("strict") > 0, F.col("strict")).otherwise(loose))
-    x = sp.select("site", "sec_no", F.posexplode("picked").alias("i", "l"))
+    x = sp.select("site", "sec_no", F.posexplode_outer("picked").alias("i", "l")).where("i is not null")
     return x.select("site", F.lit("navigation").alias("source"), F.col("l.full_url").alias("url"),
                     F.lit(None).cast("date").alias("lastmod"), F.struct("sec_no", "i").alias("src_order"))
 
@@ -271,8 +295,8 @@ def api_payload_urls(fetches: DataFrame, sites: DataFrame) -> DataFrame:
     """S6 + C10: JSON API responses of a site -> string values under url/link/href/slug/path.
 
     Values under other keys are searched recursively; a non-string value under
-    one of those keys is not descended into. Nesting is followed with a
-    bounded loop of explodes (depth 6) over VARIANT.
+    one of those keys is not descended into. One level of nesting is opened
+    at a time, as VARIANT, until no object or array is left.
     """
     keys = ["url", "link", "href", "slug", "path"]
     s = sites.select("site", "base_url", U.url_netloc("base_url").alias("domain"))
@@ -283,25 +307,29 @@ def api_payload_urls(fetches: DataFrame, sites: DataFrame) -> DataFrame:
     ).select(U.url_netloc("url").alias("domain"), "url", F.try_parse_json("body").alias("v"))
     frontier = api.join(s, "domain").select("site", "base_url", "domain", F.col("url").alias("api_url"), "v")
     found = None
-    for _ in range(6):
+    while True:
+        frontier = cut_lineage(frontier)
+        if found is not None and frontier.isEmpty():
+            break
         obj = F.try_variant_get("v", "$", "map<string,variant>")
         arr = F.try_variant_get("v", "$", "array<variant>")
         entries = F.coalesce(
             F.map_entries(obj),
             F.transform(arr, lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))),
         )
-        kv = frontier.select("site", "base_url", "domain", "api_url", F.explode(entries).alias("kv")).select(
+        kv = frontier.select("site", "base_url", "domain", "api_url", F.explode_outer(entries).alias("kv")).select(
             "site", "base_url", "domain", "api_url", F.col("kv.key").alias("key"), F.col("kv.value").alias("value"))
         hit = kv.where(F.col("key").isin(*keys) & (F.schema_of_variant("value") == "STRING")).select(
             "site", "base_url", "domain", "api_url", F.col("value").cast("string").alias("raw"))
         found = hit if found is None else found.unionByName(hit)
-        frontier = kv.where(~F.coalesce(F.col("key").isin(*keys), F.lit(False)) & F.col("value").isNotNull()).select(
+        nested = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
+        frontier = kv.where(~F.coalesce(F.col("key").isin(*keys), F.lit(False)) & F.col("value").isNotNull() & nested).select(
             "site", "base_url", "domain", "api_url", F.col("value").alias("v"))
     # resolve and test inside a one-element array: a row filter on the
     # resolved URL would get the whole urljoin expression substituted into it
     ok = F.filter(F.array(U.url_join(F.col("base_url"), F.col("raw"))),
                   lambda u: U.is_same_domain(u, F.col("domain")) & U.is_rendered_content_url(u))
-    return found.select("site", F.explode(ok).alias("url"))
+    return found.select("site", F.explode_outer(ok).alias("url")).where("url is not null")
 
 
 def discover_rendered(probes: DataFrame, fetches: DataFrame, sites: DataFrame) -> DataFrame:
@@ -310,12 +338,12 @@ def discover_rendered(probes: DataFrame, fetches: DataFrame, sites: DataFrame) -
     home = with_link_array(home.select("site", "domain", "base_url", "rendered_html"), "rendered_html", "base_url",
                            "links", with_nav=False)
     keep = F.filter("links", lambda e: U.is_same_domain(e["full_url"], F.col("domain")) & U.is_rendered_content_url(e["full_url"]))
-    a = home.select("site", F.explode(keep).alias("l")).select("site", F.col("l.full_url").alias("url"))
+    a = home.select("site", F.explode_outer(keep).alias("l")).where("l is not null").select("site", F.col("l.full_url").alias("url"))
     d = data_attribute_urls(home.select("site", "domain", "base_url", "rendered_html"), "rendered_html",
                             ["site", "domain", "base_url"])
     ok = F.filter(F.array(U.url_join(F.col("base_url"), F.col("value"))),
                   lambda u: U.is_same_domain(u, F.col("domain")) & U.is_rendered_content_url(u))
-    b = d.select("site", F.explode(ok).alias("url"))
+    b = d.select("site", F.explode_outer(ok).alias("url")).where("url is not null")
     return a.unionByName(b).unionByName(api_payload_urls(fetches, sites)).distinct().select(
         "site", F.lit("rendered").alias("source"), "url", F.lit(None).cast("date").alias("lastmod"),
         F.struct(F.lit(0).alias("k")).alias("src_order"))
@@ -327,15 +355,16 @@ def _distinct_count(df: DataFrame, name: str) -> DataFrame:
     return df.select("site", "url").distinct().groupBy("site").agg(F.count(F.lit(1)).alias(name))
 
 
-def discover(sites: DataFrame, fetches: DataFrame) -> DataFrame:
+def discover(sites: DataFrame, fetches: DataFrame, limits: Limits = ALL) -> DataFrame:
     """All sources with the <5 waterfall (W9), union-distinct (T1), ordered.
+    All rows by default; ``SINGLE_SITE`` holds the one-site profile's limits.
 
     Output: site, url, source, lastmod, ord (1-based per site).
     """
     # the probe pages feed five branches: materialize them once (reliable
     # checkpoint in the shared folder) instead of re-reading the archive
     probes = cut_lineage(lookup(probe_table(sites), fetches))
-    base = discover_sitemaps(probes, fetches).select("site", "url", "source", "lastmod") \
+    base = discover_sitemaps(probes, fetches, limits).select("site", "url", "source", "lastmod") \
         .unionByName(discover_feeds(probes).select("site", "url", "source", "lastmod")) \
         .unionByName(discover_sections(probes).select("site", "url", "source", "lastmod"))
     # candidate tables are narrow and each feeds a gate and the union: materialize
@@ -347,7 +376,7 @@ def discover(sites: DataFrame, fetches: DataFrame) -> DataFrame:
     acc1 = cut_lineage(base.unionByName(spa))
     n1 = s.join(_distinct_count(acc1, "n1"), "site", "left").fillna(0, ["n1"])
     nav_sites = n1.where(F.col("n1") < WATERFALL_MIN).select("site")
-    nav = discover_navigation(probes.join(nav_sites, "site", "left_semi"), fetches).select("site", "url", "source", "lastmod")
+    nav = discover_navigation(probes.join(nav_sites, "site", "left_semi"), fetches, limits).select("site", "url", "source", "lastmod")
     acc2 = cut_lineage(acc1.unionByName(nav))
     n2 = s.join(_distinct_count(acc2, "n2"), "site", "left").fillna(0, ["n2"])
     r_sites = n2.where((F.col("n2") < WATERFALL_MIN) & F.col("use_browser")).select("site")

@@ -101,4 +101,4 @@ def items_of(extracted: DataFrame, keys=("site", "ord")) -> DataFrame:
     projections with every alias substituted into it.
     """
     keep = [k for k in keys if k in extracted.columns]
-    return extracted.select(*keep, F.inline(F.array_compact(F.array("item"))))
+    return extracted.select(*keep, F.inline_outer(F.array_compact(F.array("item")))).where("content is not null")

@@ -57,14 +57,14 @@ def page_links(df: DataFrame, html: str, page_url: str, keys, with_nav: bool = T
     keys = list(keys)
     d = with_link_array(df.select(*keys, F.col(page_url).alias("page_url"), F.col(html).alias("__html")),
                         "__html", "page_url", "__links", with_nav)
-    return d.select(*keys, "page_url", F.inline("__links"))
+    return d.select(*keys, "page_url", F.inline_outer("__links")).where("pos is not null")
 
 
 def data_attribute_urls(df: DataFrame, html: str, keys) -> DataFrame:
     """Per element with data-href/url/link/slug, the first non-empty value."""
     keys = list(keys)
     tags = F.regexp_extract_all(remove_noise(F.col(html)), F.lit(DATA_TAG_RE), 0)
-    x = df.select(*keys, F.posexplode(tags).alias("pos", "tag"))
+    x = df.select(*keys, F.posexplode_outer(tags).alias("pos", "tag")).where("pos is not null")
     vals = [
         F.nullif(F.regexp_extract("tag", r'(?is)\bdata-' + a + r'\s*=\s*"([^"]*)"', 1), F.lit("")) for a in DATA_ATTRS
     ]

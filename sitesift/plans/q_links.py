@@ -165,5 +165,5 @@ def p3_nav_sections(spark, sf_dir):
     home = _as_probe_pages(spark, sf_dir).select("page_id", "domain", "base_url", "body")
     home = with_link_array(home, "body", "base_url", "links", with_nav=True)
     cand = F.filter("links", lambda e: U.is_nav_link(e["text"], e["href"]) & U.is_same_domain(e["full_url"], F.col("domain")))
-    x = home.select("page_id", F.posexplode(F.slice(cand, 1, D.NAV_SECTIONS)).alias("sec_no", "l"))
+    x = home.select("page_id", F.posexplode_outer(F.slice(cand, 1, D.SINGLE_SITE.nav_sections)).alias("sec_no", "l")).where("sec_no is not null")
     return x.select("page_id", "sec_no", F.col("l.full_url").alias("section_url"))

@@ -12,27 +12,35 @@ from . import sqlparts as S
 from . import sqlplans as P
 from .catalog import register
 
-MAX_ITEMS = 10  # the web API's default request size
+MAX_ITEMS = 10  # the web API's default request size (O2), used where that limit is the feature
 
 
-def _direct_run(spark, sf_dir):
+def _direct_run(spark, sf_dir, max_items=None):
     """Sites = hosts; each host's archived pages are its given URL list (S7),
-    in page order; at most MAX_ITEMS per site are extracted (O1)."""
+    in page order; with ``max_items`` only so many per site are extracted (O1)."""
     pages = read_table(spark, sf_dir, "pages")
     fetches = pages_as_fetches(pages)
     keys = pages.select("page_id", "url", url_netloc("url").alias("site"))
-    # rank <= literal limit: Spark plans a WindowGroupLimit, i.e. a partial
-    # top-k per task before the shuffle, so a host with a third of all pages
-    # ships only MAX_ITEMS rows per task to the window
+    # the page id is the order: a number per site is only needed for a limit,
+    # where a literal bound makes it a WindowGroupLimit, i.e. a partial top-k
+    # per task before the shuffle
+    ord_ = F.col("page_id") if max_items is None else F.row_number().over(Window.partitionBy("site").orderBy("page_id"))
     cands = keys.select(
-        "site", "url", F.lit("direct").alias("source"), F.lit(None).cast("date").alias("lastmod"),
-        F.row_number().over(Window.partitionBy("site").orderBy("page_id")).alias("ord")).where(F.col("ord") <= MAX_ITEMS)
+        "site", "url", F.lit("direct").alias("source"), F.lit(None).cast("date").alias("lastmod"), ord_.alias("ord"))
+    if max_items is not None:
+        cands = cands.where(F.col("ord") <= max_items)
     sites = keys.select("site").distinct().select(
-        "site", F.col("site").alias("base_url"), F.lit(MAX_ITEMS).alias("max_items"),
+        "site", F.col("site").alias("base_url"), F.lit(max_items).cast("int").alias("max_items"),
         F.lit(8000).alias("chunk_size"), F.lit(False).alias("use_browser"))
     return sites, fetches, cands
 
 
+_ALL_SQL = f"""
+  SELECT {S.url_netloc('url')} AS site, page_id, url, 200 AS status, html AS body,
+         CAST(NULL AS VARCHAR) AS rendered_html, CAST(NULL AS VARCHAR) AS render_error
+  FROM pages
+"""
+
 _FETCH_SQL = f"""
 SELECT site, rk AS page_id, url, status, body, rendered_html, render_error FROM (
   SELECT {S.url_netloc('url')} AS site, url, 200 AS status, html AS body,
@@ -41,56 +49,62 @@ SELECT site, rk AS page_id, url, status, body, rendered_html, render_error FROM
   FROM pages) WHERE rk <= {MAX_ITEMS}
 """
 
-SCRAPE_SQL = f"""
-WITH RECURSIVE {P.extracted(_FETCH_SQL, use_browser=False).strip()},
+def _scrape_sql(fetch_sql):
+    return f"""
+WITH RECURSIVE {P.extracted(fetch_sql, use_browser=False).strip()},
 {P.dedup('items').strip()},
 {P.chunked('deduped', 8000).strip()}
 SELECT site, ord, part, title, md5(content) AS content_md5, content_type, source_url FROM chunked
 """
 
 
-@register("p8_scrape_items", SCRAPE_SQL)
+@register("p8_scrape_items", _scrape_sql(_ALL_SQL))
 def p8_scrape_items(spark, sf_dir):
-    """P8 flat: O1 limit -> J2 lookup -> P6 extract -> P7 dedup + chunk."""
+    """P8 flat over all pages: J2 lookup -> P6 extract -> P7 dedup + chunk."""
     sites, fetches, cands = _direct_run(spark, sf_dir)
     it = SC.scrape_items(sites, fetches, cands)
     return it.select("site", "ord", "part", "title", F.md5("content").alias("content_md5"), "content_type", "source_url")
 
 
+@register("o1_scrape_items_10", _scrape_sql(_FETCH_SQL))
+def o1_scrape_items_10(spark, sf_dir):
+    """The same with the O1 limit of ten items per site."""
+    sites, fetches, cands = _direct_run(spark, sf_dir, MAX_ITEMS)
+    it = SC.scrape_items(sites, fetches, cands)
+    return it.select("site", "ord", "part", "title", F.md5("content").alias("content_md5"), "content_type", "source_url")
+
+
 API_SQL = f"""
 WITH RECURSIVE {P.extracted(_FETCH_SQL, use_browser=False).strip()},
 {P.dedup('items').strip()},
 {P.chunked('deduped', 8000).strip()},
 sites AS (SELECT DISTINCT {S.url_netloc('url')} AS site FROM pages)
 SELECT s.site, count(c.site)::INTEGER AS total_items,
-       coalesce(sum(length(substring(c.content, 1, 5000))), 0)::BIGINT AS api_chars,
-       coalesce(max(c.ord), 0)::BIGINT AS last_ord
+       coalesce(sum(length(substring(c.content, 1, 5000))), 0)::BIGINT AS api_chars
 FROM sites s LEFT JOIN chunked c ON s.site = c.site GROUP BY s.site
 """
 
 
 @register("k2_k4_site_results", API_SQL)
 def k2_k4_site_results(spark, sf_dir):
-    """K2 nested result per site (empty sites kept, F19) -> K4 API shape, summarised."""
-    sites, fetches, cands = _direct_run(spark, sf_dir)
+    """K2 nested result per site (empty sites kept, F19) -> K4 API shape, summarised;
+    the API's ten items per site are the feature here."""
+    sites, fetches, cands = _direct_run(spark, sf_dir, MAX_ITEMS)
     nested = SC.nest(sites, SC.scrape_items(sites, fetches, cands))
     api = SC.api_result(nested)
     return api.select(
         "site", F.col("total_items").cast("int").alias("total_items"),
         F.aggregate("items", F.lit(0).cast("long"), lambda acc, i: acc + F.length(i["content"])).alias("api_chars"),
-        F.lit(None).cast("long").alias("last_ord"),
-    ).drop("last_ord").join(
-        SC.scrape_items(sites, fetches, cands).groupBy("site").agg(F.max("ord").cast("long").alias("last_ord")),
-        "site", "left").fillna(0, ["last_ord"])
+    )
 
 
 @register("p8_scrape_crawl")
 def p8_scrape_crawl(spark, sf_dir):
-    """P8 on the derived crawl: route, discovery waterfall, limit, extract, process, nest (K2)."""
+    """P8 on the derived crawl: route, discovery waterfall, extract, process; all candidates."""
     from ..session import cut_lineage
     from ..sources.crawl import crawl_fixture
 
-    sites, fetches = crawl_fixture(read_table(spark, sf_dir, "pages"), max_items=5)
+    sites, fetches = crawl_fixture(read_table(spark, sf_dir, "pages"), max_items=None)
     sites, fetches = cut_lineage(sites), cut_lineage(fetches)
-    nested = SC.scrape(sites, fetches)
-    return nested.select("site", F.size("items").alias("n_items"), F.to_json("items").alias("items_json"))
+    it = SC.scrape_items(sites, fetches)
+    return it.select("site", "ord", "part", "title", F.md5("content").alias("content_md5"), "content_type", "source_url")

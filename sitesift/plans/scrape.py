@@ -42,10 +42,11 @@ def candidates(sites: DataFrame, fetches: DataFrame) -> DataFrame:
 
 
 def scrape_items(sites: DataFrame, fetches: DataFrame, cands: DataFrame | None = None) -> DataFrame:
-    """Flat processed items: site, ord, part, title, content, content_type, source_url."""
+    """Flat processed items: site, ord, part, title, content, content_type,
+    source_url. A null ``max_items`` takes all candidates of its site."""
     cands = candidates(sites, fetches) if cands is None else cands
     limited = cands.join(sites.select("site", "max_items", "use_browser", "chunk_size"), "site") \
-        .where(F.col("ord") <= F.col("max_items"))                                   # O1
+        .where(F.col("max_items").isNull() | (F.col("ord") <= F.col("max_items")))                                   # O1
     f = fetches.select("url", "status", "content_type", "body", "rendered_html", "render_error")
     looked = limited.join(f, "url", "inner")                                         # J2
     items = items_of(extract(looked, use_browser="use_browser"), keys=("site", "ord", "chunk_size"))
@@ -57,9 +58,8 @@ def scrape_items(sites: DataFrame, fetches: DataFrame, cands: DataFrame | None =
 def nest(sites: DataFrame, items: DataFrame) -> DataFrame:
     """K2 + F19: {site, items:[{title, content, content_type, source_url}]} in item order.
 
-    Only for ``scrape_items`` output: a site holds at most max_items x 3
-    pieces (O1 limit, at most three chunks per item), so each group is
-    bounded. Unbounded item tables go through ``write_partitioned``.
+    Only for sites with a ``max_items`` (O1), whose groups that bounds; item
+    tables without one stay flat or go through ``write_partitioned``.
     """
     per = items.groupBy("site").agg(
         F.sort_array(F.collect_list(F.struct("ord", "part", "title", "content", "content_type", "source_url"))).alias("x"))

@@ -23,17 +23,16 @@ TABLES = [
 ]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Scan one table. Parse work is CPU-heavy per row, so an input that
-    arrives in fewer splits than there are task slots (one large row group)
-    is spread round-robin over the slots. On a large input the scan already
-    has far more splits than slots and nothing is added to the plan."""
+READ_PARTITIONS = "spark.sitesift.readPartitions"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan one table, as the session's split settings deal it out. A session
+    that reads a few files of one large row group each (bench.py) may set
+    ``spark.sitesift.readPartitions`` to have their rows dealt out anew."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots)
-    return df
+    n = spark.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def pages_with_site(pages: DataFrame) -> DataFrame:
@@ -81,7 +80,7 @@ def derived_fetches(pages: DataFrame) -> DataFrame:
     )
 
 
-def sites_from_pages(pages: DataFrame, max_items: int = 100, chunk_size: int = 8000,
+def sites_from_pages(pages: DataFrame, max_items: int | None = None, chunk_size: int = 8000,
                      use_browser: bool = True) -> DataFrame:
     """One site row per host, base URL = scheme://host/."""
     return (
@@ -91,7 +90,7 @@ def sites_from_pages(pages: DataFrame, max_items: int = 100, chunk_size: int = 8
         .select(
             "site",
             F.concat("scheme", F.lit("://"), "site", F.lit("/")).alias("base_url"),
-            F.lit(max_items).alias("max_items"),
+            F.lit(max_items).cast("int").alias("max_items"),
             F.lit(chunk_size).alias("chunk_size"),
             F.lit(use_browser).alias("use_browser"),
         )

@@ -24,7 +24,7 @@ def _variant(html, pid):
     )
 
 
-def crawl_fixture(pages: DataFrame, max_items: int = 100, chunk_size: int = 8000, use_browser: bool = True):
+def crawl_fixture(pages: DataFrame, max_items: int | None = None, chunk_size: int = 8000, use_browser: bool = True):
     """-> (sites, fetches)."""
     pid = F.col("page_id")
     p = pages.select("page_id", url_netloc("url").alias("host"), url_scheme("url").alias("scheme"),
@@ -41,7 +41,7 @@ def crawl_fixture(pages: DataFrame, max_items: int = 100, chunk_size: int = 8000
 
     sites = p.where(F.col("k") == 1).select(
         F.concat(root, F.lit("/")).alias("site"), F.concat(root, F.lit("/")).alias("base_url"),
-        F.lit(max_items).alias("max_items"), F.lit(chunk_size).alias("chunk_size"),
+        F.lit(max_items).cast("int").alias("max_items"), F.lit(chunk_size).alias("chunk_size"),
         (F.lit(use_browser) & (pid % 2 == 0)).alias("use_browser"))
 
     def fetch(df, url, body, ctype="text/html", rendered=None, prio=0):
@@ -83,9 +83,10 @@ def crawl_fixture(pages: DataFrame, max_items: int = 100, chunk_size: int = 8000
               .withColumn("html", F.coalesce("src_html", "html")), F.concat(root, F.lit("/blog")), F.col("html"), prio=1),
     ]
     # every home link resolves to a stored page body (another page of the archive)
-    links = home.select("page_id", "host", F.posexplode(locs).alias("pos", "url"))
-    linked = links.withColumn("src_id", (F.col("page_id") + F.col("pos") + 1) % n_pages).join(bodies, "src_id") \
-        .select(F.col("src_id").alias("page_id"), "url", F.col("src_html").alias("html"))
+    links = home.select("page_id", "host", F.posexplode_outer(locs).alias("pos", "url")).where("pos is not null")
+    # (an id that the table lacks gives an empty body, not a lost link)
+    linked = links.withColumn("src_id", (F.col("page_id") + F.col("pos") + 1) % n_pages).join(bodies, "src_id", "left") \
+        .select(F.col("src_id").alias("page_id"), "url", F.coalesce("src_html", F.lit("")).alias("html"))
     parts.append(fetch(linked, F.col("url"), F.col("html"), prio=2))
     allf = parts[0]
     for x in parts[1:]:

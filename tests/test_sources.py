@@ -32,9 +32,13 @@ def test_sitemap_caps(spark):
     idx = "<sitemapindex>" + "".join(f"<sitemap><loc>https://s.example/s{i}.xml</loc></sitemap>" for i in range(4)) + "</sitemapindex>"
     docs = _docs(spark, [("s", "s.example", 0, "<urlset>" + many + "</urlset>"), ("s", "s.example", 1, idx)])
     ent = D.parse_sitemap(docs, ["site", "domain", "probe_idx"])
+    assert ent.where("kind = 'url'").count() == 2100          # no limit by default
+    assert ent.where("kind = 'child'").count() == 4
+    assert D.sitemap_entries(ent, ["site", "probe_idx"]).count() == 2100
+    ent = D.parse_sitemap(docs, ["site", "domain", "probe_idx"], D.SINGLE_SITE)
     assert ent.where("kind = 'url'").count() == 2000          # W5: first 2,000 tags
     assert ent.where("kind = 'child'").count() == 3           # W4: first 3 children
-    assert D.sitemap_entries(ent, ["site", "probe_idx"]).count() == 100   # W3: newest 100
+    assert D.sitemap_entries(ent, ["site", "probe_idx"], D.SINGLE_SITE).count() == 100   # W3: newest 100
 
 
 def test_robots_lines(spark):
