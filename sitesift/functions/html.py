@@ -49,9 +49,18 @@ def _attr_re(attr: str, value: str) -> str:
     return r"\b" + attr + r'="' + value + r'"'
 
 
+def start_re(tag: str) -> str:
+    """A start tag of the element."""
+    return r"(?is)<" + tag + r"(?:[\s/][^>]*)?>"
+
+
 def selector_re(attr: str, value: str) -> str:
-    """First div/section with the attribute; its inner HTML is group 1."""
-    return r"(?is)<(?:div|section)\b[^>]*" + _attr_re(attr, value) + r"[^>]*>(.*?)</(?:div|section)\s*>"
+    """A start tag of any element with the attribute, in either kind of quotes."""
+    if attr == "class":
+        quoted = r'"(?:[^"]*\s)?' + value + r'(?:\s[^"]*)?"' + r"|'(?:[^']*\s)?" + value + r"(?:\s[^']*)?'"
+    else:
+        quoted = f'"{value}"|' + f"'{value}'"
+    return r"(?is)<[a-z][a-z0-9]*\s(?:[^>]*\s)?" + attr + r"\s*=\s*(?:" + quoted + r")[^>]*>"
 
 
 def element_re(tag: str) -> str:
@@ -103,14 +112,40 @@ def page_title(body) -> Column:
     return F.coalesce(first, F.lit("Untitled"))
 
 
-def semantic_main(body) -> Column:
-    """Inner HTML of <main>, else <article>, else the first selector hit; NULL if none."""
-    b = col_(body)
-    out = F.lit(None).cast("string")
-    pats = [element_re("main"), element_re("article")] + [selector_re(a, v) for a, v in CONTENT_SELECTORS]
-    for p in reversed(pats):
-        out = F.when(b.rlike(p), F.regexp_extract(b, p, 1)).otherwise(out)
-    return out
+def with_semantic_main(df: DataFrame, body: str, out: str) -> DataFrame:
+    """Add ``out``: inner HTML of <main>, else <article>, else the first
+    element of the first selector that hits; NULL if none.
+
+    From the start tag on, the tags of the same name are folded with a depth
+    counter, and the element ends where the depth returns to zero (at the end
+    of the page if it never does). The accumulator is two numbers and the
+    content is cut once, so the work is linear in the page.
+    """
+    t = "__sm_"
+    pats = [start_re("main"), start_re("article")] + [selector_re(a, v) for a, v in CONTENT_SELECTORS]
+    b = F.col(body)
+    df = df.withColumn(t + "open", F.coalesce(*(F.nullif(F.regexp_extract(b, p, 0), F.lit("")) for p in pats)))
+    opened = F.col(t + "open")
+    df = df.withColumn(t + "rest", F.substr(b, F.position(opened, b) + F.length(opened)))
+    tag = F.lower(F.regexp_extract(opened, r"<([a-zA-Z][a-zA-Z0-9]*)", 1))
+    df = df.withColumn(t + "re", F.concat(F.lit(r"(?is)<(/?)"), tag, F.lit(r"(?:[\s/][^>]*)?>")))
+    rest, pattern = F.col(t + "rest"), F.col(t + "re")
+    df = df.withColumn(t + "close", F.regexp_extract_all(rest, pattern, F.lit(1)))
+    df = df.withColumn(t + "tags", F.regexp_extract_all(rest, pattern, F.lit(0)))
+    df = df.withColumn(t + "segs", F.split(rest, pattern))
+
+    def step(acc, i):
+        depth = acc["depth"] + F.when(F.get(t + "close", i) == "/", F.lit(-1)).otherwise(F.lit(1))
+        found = acc["end"].isNull() & (depth == 0)
+        return F.struct(depth.alias("depth"), F.when(found, i).otherwise(acc["end"]).alias("end"))
+
+    idx = F.when(F.size(t + "close") > 0, F.sequence(F.lit(0), F.size(t + "close") - 1)).otherwise(F.array().cast("array<int>"))
+    init = F.struct(F.lit(1).alias("depth"), F.lit(None).cast("int").alias("end"))
+    df = df.withColumn(t + "end", F.aggregate(idx, init, step, lambda acc: acc["end"]))
+    end = F.col(t + "end")
+    inner = F.array_join(F.zip_with(F.slice(t + "segs", 1, end + 1), F.slice(t + "tags", 1, end), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    df = df.withColumn(out, F.when(opened.isNotNull(), F.coalesce(inner, rest)))
+    return df.drop(*(t + c for c in ("open", "rest", "re", "close", "tags", "segs", "end")))
 
 
 def _block_fold(tags: str, lens: str) -> Column:
@@ -182,6 +217,6 @@ def to_markdown(fragment) -> Column:
 
 __all__ = [
     "NOISE_RE", "CHROME_RE", "PY_WHITESPACE", "remove_noise", "remove_chrome", "text_of", "visible_text",
-    "page_title", "semantic_main", "with_largest_block", "to_markdown",
-    "selector_re", "element_re",
+    "page_title", "with_semantic_main", "with_largest_block", "to_markdown",
+    "selector_re", "element_re", "start_re",
 ]

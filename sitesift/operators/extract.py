@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import with_content_type
-from ..functions.html import page_title, remove_chrome, remove_noise, semantic_main, to_markdown, with_largest_block
+from ..functions.html import page_title, remove_chrome, remove_noise, to_markdown, with_largest_block, with_semantic_main
 from ..functions.quality import ITEM_MIN_CHARS, is_error_content, with_error_page, with_fetch_gate
 from ..functions.text import py_strip
 
@@ -35,7 +35,7 @@ def with_extracted(df: DataFrame, html: str, prefix: str) -> DataFrame:
     """
     p = prefix
     df = df.withColumn(p + "bd", remove_chrome(remove_noise(F.col(html))))
-    df = df.withColumn(p + "main", semantic_main(F.col(p + "bd")))
+    df = with_semantic_main(df, p + "bd", p + "main")
     df = df.withColumn(p + "pmd", to_markdown(F.col(p + "main")))
     df = df.withColumn(p + "precise", _accepted(p + "pmd"))
     df = df.withColumn(p + "bd2", F.when(F.col(p + "precise").isNull(), F.col(p + "bd")))

@@ -144,7 +144,7 @@ def html_jobs(spark, sf_dir):
     """H2 title, H3 chrome removal, H4 main content (semantic + largest block), H6 markdown."""
     v = _variant_html_spark(read_table(spark, sf_dir, "pages"))
     b = v.select("page_id", H.remove_chrome(H.remove_noise("html")).alias("bd"))
-    m = H.with_largest_block(b.withColumn("main_html", H.semantic_main("bd")), "bd", "block_html")
+    m = H.with_largest_block(H.with_semantic_main(b, "bd", "main_html"), "bd", "block_html")
     return m.select(
         "page_id",
         H.page_title("bd").alias("title"),
@@ -156,6 +156,39 @@ def html_jobs(spark, sf_dir):
     )
 
 
+# Main elements that hold elements of their own name, other tags and quotes, and no end: (start, end) for <article>.
+NESTED = [
+    ("<article><article>teaser</article>", "</article>"),
+    ("<div class='lead content'><div>intro</div><DIV><div>deep</div></DIV>", "<div>tail</div></div><div>after</div>"),
+    ('<table><tr><td data-x=1 id="content"><table><tr><td>cell</td></tr></table>', "</td></tr></table>"),
+    ("<main class=x><main-nav>n</main-nav>", "<p>never closed"),
+    ("<section role = 'main'><section></section><p>s</p>", "</section></section>"),
+]
+
+NESTED_SQL = "SELECT page_id, CASE page_id % 5 " + " ".join(
+    f"WHEN {k} THEN replace(replace(html, '<article>', {S.q(a)}), '</article>', {S.q(b)})" for k, (a, b) in enumerate(NESTED)
+) + " END AS html FROM pages"
+
+NESTED_MAIN_SQL = f"""
+WITH v AS ({NESTED_SQL}),
+b AS (SELECT page_id, {S.remove_chrome(S.remove_noise('html'))} AS bd FROM v)
+SELECT page_id, page_id % 5 AS shape, {S.semantic_main('bd')} AS main_html FROM b
+"""
+
+
+@register("h4_nested_main", NESTED_MAIN_SQL)
+def nested_main(spark, sf_dir):
+    """The main element up to its own end tag, in five shapes of nesting."""
+    pages = read_table(spark, sf_dir, "pages")
+    shape = F.col("page_id") % 5
+    html = F.coalesce(*(
+        F.when(shape == k, F.replace(F.replace(F.col("html"), F.lit("<article>"), F.lit(a)), F.lit("</article>"), F.lit(b)))
+        for k, (a, b) in enumerate(NESTED)
+    ))
+    v = pages.select("page_id", shape.alias("shape"), H.remove_chrome(H.remove_noise(html)).alias("bd"))
+    return H.with_semantic_main(v, "bd", "main_html").select("page_id", "shape", "main_html")
+
+
 VISIBLE_SQL = f"""
 SELECT page_id, {S.visible_text('html')} AS visible_text,
        length({S.strip(S.visible_text('html'))})::BIGINT AS visible_len

@@ -109,10 +109,31 @@ def page_title(b: str) -> str:
     return f"(CASE {whens} ELSE 'Untitled' END)"
 
 
+def _quoted(attr: str, value: str) -> str:
+    if attr == "id" or attr == "role":
+        return rf"""(?is)<[a-z][a-z0-9]*\s(?:[^>]*\s)?{attr}\s*=\s*["']{value}["'][^>]*>"""
+    return rf"""(?is)<[a-z][a-z0-9]*\s(?:[^>]*\s)?{attr}\s*=\s*(?:"(?:[^"]*\s)?{value}(?:\s[^"]*)?"|'(?:[^']*\s)?{value}(?:\s[^']*)?')[^>]*>"""
+
+
 def semantic_main(b: str) -> str:
-    pats = [H.element_re("main"), H.element_re("article")] + [H.selector_re(a, v) for a, v in H.CONTENT_SELECTORS]
-    whens = " ".join(f"WHEN {rx(b, p)} THEN {rext(b, p, 1)}" for p in pats)
-    return f"(CASE {whens} END)"
+    """Element end = first same-name tag at which the running sum of +1/-1 reaches zero."""
+    classes = ("content", "main-content", "post-content", "article-content", "blog-content")
+    pats = [r"(?is)<main(?:[\s/][^>]*)?>", r"(?is)<article(?:[\s/][^>]*)?>", _quoted("role", "main")]
+    pats += [_quoted("class", c) for c in classes] + [_quoted("id", "content"), _quoted("id", "main")]
+    pats += [_quoted("class", c) for c in ("entry-content", "post-body")]
+    whens = " ".join(f"WHEN {rx(b, p)} THEN {rext(b, p, 0)}" for p in pats)
+    tok = "'(?is)<(/?)' || tag || '(?:[\\s/][^>]*)?>'"
+    depth = "1 + list_sum(list_transform(c[1:i], lambda x: CASE WHEN x = '/' THEN -1 ELSE 1 END))"
+    return (
+        "(SELECT CASE WHEN opened IS NULL THEN NULL WHEN e IS NULL OR e = 0 THEN rest "
+        "ELSE array_to_string(list_transform(range(1, e + 1), lambda k: s[k] || CASE WHEN k < e THEN w[k] ELSE '' END), '') END "
+        f"FROM (SELECT *, list_position(list_transform(range(1, len(c) + 1), lambda i: {depth}), 0) AS e "
+        f"FROM (SELECT opened, rest, regexp_extract_all(rest, {tok}, 1) AS c, regexp_extract_all(rest, {tok}, 0) AS w, "
+        f"regexp_split_to_array(rest, {tok}) AS s "
+        "FROM (SELECT opened, lower(regexp_extract(opened, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, "
+        f"substr({b}, position(opened IN {b}) + length(opened)) AS rest "
+        f"FROM (SELECT CASE {whens} END AS opened)))))"
+    )
 
 
 def top_level_blocks(b: str) -> str:
