@@ -8,10 +8,12 @@ the chosen miss probability. Survivors are verified on their full sets.
 
 Only components are asked for, so not every candidate pair needs a verdict:
 first each bucket's members meet its smallest one; then, in buckets that still
-hold several components, tiles of members meet, and each tile pair proposes
-the most similar pairs that would join its components, as long as one is left
-that was not refused before. When no bucket proposes a pair, every candidate
-pair is within a component, pruned, or refused on the full sets.
+hold several components, tiles of members meet, with their texts. A tile pair
+goes through its pairs of different components, most similar first, prunes
+them by signature, verifies the rest on full sets, and skips those that links
+found on the way have connected. Each pair is looked at in the first band it
+shares. So at the end every candidate pair is within a component, pruned, or
+refused on its full sets.
 """
 
 from __future__ import annotations
@@ -87,6 +89,16 @@ def signature(own: np.ndarray) -> np.ndarray:
     return low
 
 
+def similar(u: np.ndarray, v: np.ndarray, part: int, whole: int) -> bool:
+    """Exact verdict on two sorted sets; the sizes alone refuse most far pairs."""
+    small, large = (u, v) if len(u) <= len(v) else (v, u)
+    if whole * len(small) < part * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return whole * both >= part * (len(u) + len(v) - both)
+
+
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     """(hashes seen, fewest matches to go on) after each batch: with a uniform
     prior, below that P(similarity >= threshold | matches) < miss."""
@@ -142,7 +154,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = (x ^ sig[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(30)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x.view(np.int64).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["bucket", "rid"])
+            [pa.array(x.view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int16), len(sig))),
+             pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["bucket", "band", "rid"])
 
 
 def _prune(steps):
@@ -171,8 +184,7 @@ def _verify(part: int, whole: int):
             linked = []
             for a, x, s, t in zip(*(c.to_pylist() for c in b.columns)):
                 u, v = own(a, s), own(x, t)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                linked.append(whole * both >= part * (len(u) + len(v) - both))
+                linked.append(similar(u, v, part, whole))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     return run
@@ -185,52 +197,64 @@ def _same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(2).filter(pa.array(keep))], ["rid", "text"])
 
 
-def _propose(steps):
-    """Over rows sorted by tile pair: pairs of different components, of the
-    highest similarity first, that would join all components they connect."""
-
-    def pairs_of(rid, root, side, sig, other) -> list[tuple[int, int]]:
-        member = np.array([o is None for o in other])
-        refused = {(r, o) for r, o in zip(rid, other) if o is not None}
-        rid, root, side = (np.array(v, np.int64)[member] for v in (rid, root, side))
-        sig = np.frombuffer(b"".join(s for s in sig if s is not None), np.uint32).reshape(-1, HASHES)
-        rows = np.flatnonzero(side == 0)
-        cols = np.flatnonzero(side == 1) if (side == 1).any() else rows
-        found = []
-        for k in range(0, len(rows), 128):
-            r = rows[k: k + 128]
-            i, j = np.nonzero(root[r][:, None] != root[cols])
-            i, j = r[i], cols[j]
-            if cols is rows:
-                i, j = i[i < j], j[i < j]
-            found.append(surviving(sig, sig, i, j, steps))
-        i, j, matches = (np.concatenate(v) for v in zip(*found)) if found else (np.empty(0, np.int64),) * 3
-        up: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while up.get(x, x) != x:
-                up[x] = up.get(up[x], up[x])
-                x = up[x]
-            return x
-
-        out = []
-        for x in np.argsort(-matches, kind="stable"):
-            a, b = sorted((int(rid[i[x]]), int(rid[j[x]])))
-            u, v = top(int(root[i[x]])), top(int(root[j[x]]))
-            if u != v and (a, b) not in refused:
-                up[u] = v
-                out.append((a, b))
-        return out
+def _linked(rid: np.ndarray, root: np.ndarray, side: np.ndarray, sig: np.ndarray, texts: list, one: bool, band: int, steps, part: int, whole: int,
+            known: dict) -> list[tuple[int, int]]:
+    """Links that join different components within one tile (``one``) or between its two sides."""
+    rows = np.flatnonzero(side == 0)
+    cols = rows if one else np.flatnonzero(side == 1)
+    parts = []
+    for k in range(0, len(rows), 128):
+        r = rows[k: k + 128]
+        i, j = np.nonzero(root[r][:, None] != root[cols])
+        i, j = r[i], cols[j]
+        if one:
+            i, j = i[i < j], j[i < j]
+        i, j, matches = surviving(sig, sig, i, j, steps)
+        shared = (sig[i].reshape(-1, BANDS, ROWS) == sig[j].reshape(-1, BANDS, ROWS)).all(axis=2)
+        here = shared.any(axis=1) & (shared.argmax(axis=1) == band)
+        parts.append((i[here], j[here], matches[here]))
+    if not parts:
+        return []
+    i, j, matches = (np.concatenate(v) for v in zip(*parts))
+    order = np.argsort(-matches, kind="stable")
+    sets: dict[int, np.ndarray] = {}
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    def own(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingles(normal_words(texts[k]), known)
+        return sets[k]
+
+    out = []
+    for x, y in zip(i[order].tolist(), j[order].tolist()):
+        u, v = top(int(root[x])), top(int(root[y]))
+        if u != v and similar(own(x), own(y), part, whole):
+            up[u] = v
+            out.append((int(rid[x]), int(rid[y])))
+    return out
+
+
+def _tile_links(steps, part: int, whole: int):
+    """Over rows sorted by tile pair: the links that join components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, [[] for _ in range(5)]
+        known, group, held = _WordHashes(), None, [[] for _ in range(5)]
 
         def close() -> pa.RecordBatch:
-            pairs = pairs_of(*held)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            rid, root, side = (np.array(v, np.int64) for v in held[:3])
+            sig = np.frombuffer(b"".join(held[3]), np.uint32).reshape(-1, HASHES)
+            _, band, kind, t0, t1 = group
+            links = _linked(rid, root, side, sig, held[4], kind == "r" and t0 == t1, band, steps, part, whole, known)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
         for b in batches:
-            for g, *row in zip(zip(*(c.to_pylist() for c in b.columns[:4])), *(c.to_pylist() for c in b.columns[4:])):
+            for g, *row in zip(zip(*(c.to_pylist() for c in b.columns[:5])), *(c.to_pylist() for c in b.columns[5:])):
                 if g != group:
                     if group is not None:
                         yield close()
@@ -243,35 +267,29 @@ def _propose(steps):
     return run
 
 
-def _tile_pairs(mixed: DataFrame, refused: DataFrame, sigs: DataFrame, tile: int) -> DataFrame:
-    """Rows (bucket, kind, t0, t1, rid, root, side, sig, other) of all tile
-    pairs of ``mixed(bucket, rid, root)``. The bucket's largest component only
-    meets the rest: members of one component are never compared."""
+def _tile_pairs(mixed: DataFrame, details: DataFrame, tile: int) -> DataFrame:
+    """Rows (bucket, band, kind, t0, t1, rid, root, side, sig, text) of all tile
+    pairs of ``mixed(bucket, band, rid, root)``. The bucket's largest component
+    only meets the rest: members of one component are never compared."""
     sizes = mixed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     sizes = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("total"))
     sizes = sizes.select("bucket", "major", F.ceil(F.col("most") / tile).cast("int").alias("tm"),
                          F.ceil((F.col("total") - F.col("most")) / tile).cast("int").alias("tr"))
     m = stage(mixed.join(sizes, "bucket").withColumn("rest", F.col("root") != F.col("major")).withColumn(
         "own", F.pmod(F.xxhash64("rid"), F.when(F.col("rest"), F.col("tr")).otherwise(F.col("tm"))).cast("int")), "mixed-buckets")
-    up = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    against = m.select(  # the major component's tiles are side 0, those of the rest side 1
-        "bucket", F.lit("m").alias("kind"), "rid", "root", F.col("rest").cast("int").alias("side"), "own", "rest",
-        F.explode(F.when(F.col("rest"), up("tm")).otherwise(up("tr"))).alias("o"),
-    ).select("bucket", "kind", F.when(F.col("rest"), F.col("o")).otherwise(F.col("own")).alias("t0"),
-             F.when(F.col("rest"), F.col("own")).otherwise(F.col("o")).alias("t1"), "rid", "root", "side")
-    among = m.where("rest").select("bucket", F.lit("r").alias("kind"), "rid", "root", "own", F.explode(up("tr")).alias("o")).select(
-        "bucket", "kind", F.least("own", "o").alias("t0"), F.greatest("own", "o").alias("t1"), "rid", "root",
+    keys = ["bucket", "band", "kind", "t0", "t1"]
+
+    def up(n: str):
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    against = m.withColumn("o", F.explode(F.when(F.col("rest"), up("tm")).otherwise(up("tr")))).select(
+        "bucket", "band", F.lit("m").alias("kind"), F.when(F.col("rest"), F.col("o")).otherwise(F.col("own")).alias("t0"),
+        F.when(F.col("rest"), F.col("own")).otherwise(F.col("o")).alias("t1"), "rid", "root", F.col("rest").cast("int").alias("side"))
+    among = m.where("rest").withColumn("o", F.explode(up("tr"))).select(
+        "bucket", "band", F.lit("r").alias("kind"), F.least("own", "o").alias("t0"), F.greatest("own", "o").alias("t1"), "rid", "root",
         (F.col("own") > F.col("o")).cast("int").alias("side"))
-    members = against.unionAll(among)
-    places = members.select("bucket", "kind", "t0", "t1", "rid")
-    known = (
-        refused.join(places.withColumnRenamed("rid", "a"), "a")
-        .join(places.withColumnRenamed("rid", "b"), ["bucket", "kind", "t0", "t1", "b"])
-        .select("bucket", "kind", "t0", "t1", F.col("a").alias("rid"), F.lit(-1).cast("long").alias("root"),
-                F.lit(0).alias("side"), F.lit(None).cast("binary").alias("sig"), F.col("b").alias("other")).distinct()
-    )
-    rows = members.join(sigs, "rid").select("bucket", "kind", "t0", "t1", "rid", "root", "side", "sig", F.lit(None).cast("long").alias("other"))
-    return rows.unionAll(known).repartition("bucket", "kind", "t0", "t1").sortWithinPartitions("bucket", "kind", "t0", "t1", "rid")
+    rows = against.unionAll(among).join(details, "rid").select(*keys, "rid", "root", "side", "sig", "text")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rid")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", part: int = 85, whole: int = 100,
@@ -302,9 +320,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         .withColumn("rid", F.monotonically_increasing_id()),
         "classes",
     )
-    bands = stage(reps.select("rid", "sig").mapInArrow(_bands, "bucket long, rid long"), "bands")
+    bands = stage(reps.select("rid", "sig").mapInArrow(_bands, "bucket long, band short, rid long"), "bands")
     shared = bands.groupBy("bucket").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    live = stage(bands.join(shared, "bucket").select("bucket", "rid", "pivot", "size"), "buckets")
+    live = stage(bands.join(shared, "bucket").select("bucket", "band", "rid", "pivot", "size"), "buckets")
     candidates = stage(reps.join(live.select("rid").distinct(), "rid").select("rid", "cls", "rk", "sig"), "candidates")
     wanted = candidates.select("rid", "cls", F.col("rk").alias("r"))
     if candidates.count() <= MAX_BROADCAST_ROWS:
@@ -323,20 +341,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     signed = stars.join(sigs.select(F.col("rid").alias("b"), F.col("sig").alias("v")), "b").join(
         sigs.select(F.col("rid").alias("a"), F.col("sig").alias("u")), "a").select("a", "b", "u", "v")
     tested = verified(signed.mapInArrow(_prune(steps), "a long, b long"))
-    while True:
-        links = tested.where("linked").select("a", "b")
-        roots = stage(components(links), "roots")
-        members = live.where("size > 2").join(roots, F.col("rid") == F.col("node"), "left")
-        members = members.select("bucket", "rid", F.coalesce("root", "rid").alias("root"))
-        several = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        mixed = members.join(several.select("bucket"), "bucket")
-        proposed = stage(
-            _tile_pairs(mixed, tested.where("not linked").select("a", "b"), sigs, tile)
-            .mapInArrow(_propose(steps), "a long, b long").distinct(), "proposed"
-        )
-        if proposed.isEmpty():
-            break
-        tested = stage(tested.unionAll(verified(proposed)), "verified")
+    links = stage(tested.where("linked").select("a", "b"), "star-links")
+    roots = components(links)
+    members = live.where("size > 2").join(roots, F.col("rid") == F.col("node"), "left")
+    members = members.select("bucket", "band", "rid", F.coalesce("root", "rid").alias("root"))
+    several = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    mixed = stage(members.join(several.select("bucket"), "bucket"), "mixed-members")
+    details = sigs.join(texts, "rid").join(mixed.select("rid").distinct(), "rid", "left_semi")
+    more = stage(_tile_pairs(mixed, details, tile).mapInArrow(_tile_links(steps, part, whole), "a long, b long"), "tile-links")
+    roots = stage(components(links.unionAll(more)), "roots")
     placed = reps.select("cls", "first", "rid").join(roots, F.col("rid") == F.col("node"), "left")
     placed = placed.select("cls", "first", F.coalesce("root", "rid").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
