@@ -6,6 +6,9 @@ no Python runs per row.
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,23 +23,10 @@ PY_WS_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
-# Named HTML entities decoded in text and attribute values,
-# with their replacement characters. `&amp;` is decoded last so that
-# `&amp;lt;` yields the literal text `&lt;`.
-HTML_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", "\xa0"),
-    ("&copy;", "\xa9"),
-    ("&middot;", "\xb7"),
-    ("&mdash;", "—"),
-    ("&ndash;", "–"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-]
+# Character references: decimal, hexadecimal, or a name with its semicolon.
+ENTITY_RE = r"&(?:#([0-9]{1,7});?|#[xX]([0-9a-fA-F]{1,6});?|([A-Za-z][A-Za-z0-9]{1,31});)"
+# Names come from the standard library's table, as one map literal.
+ENTITY_NAMES = json.dumps({k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'"})
 
 
 def col_(c) -> Column:
@@ -65,12 +55,25 @@ def ellipsis(c, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
+def _reference(entity: Column) -> Column:
+    """The character of one reference; unknown names stay as they are, code
+    points that are no character become U+FFFD."""
+    dec, hexa, name = (F.regexp_extract(entity, ENTITY_RE, g) for g in (1, 2, 3))
+    code = F.when(dec != "", dec.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(code.isNotNull(), F.lit(chr(0xFFFD)))
+    names = F.from_json(F.lit(ENTITY_NAMES), "map<string,string>")
+    return F.coalesce(char, F.try_element_at(names, name), entity)
+
+
 def decode_entities(c) -> Column:
-    """Decode the fixed named entities (``&amp;`` last)."""
-    out = col_(c)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Decode character references in one pass: ``&amp;lt;`` gives ``&lt;``.
+    The text is bound once; most texts hold no ``&`` and pass through."""
+    def decoded(x):
+        parts = F.arrays_zip(F.split(x, ENTITY_RE).alias("gap"), F.regexp_extract_all(x, F.lit(ENTITY_RE), F.lit(0)).alias("entity"))
+        return F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(_reference(p["entity"]), F.lit("")))), "")
+
+    return F.get(F.transform(F.array(col_(c)), lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x)), F.lit(0))
 
 
 def strip_tags(c) -> Column:

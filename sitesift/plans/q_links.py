@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import url_netloc
 from ..operators import discover as D
-from ..operators.links import ANCHOR_RE, NAV_SPAN_RE, page_links
+from ..operators.links import NAV_SPAN_RE, page_links
 from ..sources.archive import read_table
 from ..sources.crawl import crawl_fixture
 from ..session import cut_lineage
@@ -18,15 +18,14 @@ WITH c AS (SELECT page_id, url, {S.remove_noise('html')} AS clean FROM pages),
 n AS (SELECT page_id, url, clean, array_to_string(regexp_extract_all(clean, {S.q(NAV_SPAN_RE)}, 0), ' ') AS nav FROM c),
 arr AS (
   SELECT page_id, url,
-         list_concat(list_transform(regexp_extract_all(nav, {S.q(ANCHOR_RE)}, 0), lambda a: struct_pack(from_nav := true, a := a)),
-                     list_transform(regexp_extract_all(clean, {S.q(ANCHOR_RE)}, 0), lambda a: struct_pack(from_nav := false, a := a))) AS l
+         list_concat({S.anchors('nav', 'true')}, {S.anchors('clean')}) AS l
   FROM n
 ),
 x AS (SELECT page_id, url, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM arr),
 y AS (
   SELECT page_id, url, pos, e.from_nav AS from_nav,
-         {S.decode(S.rext('e.a', ANCHOR_RE, 1))} AS href,
-         {S.strip(S.text_of(S.rext('e.a', ANCHOR_RE, 2)))} AS text
+         {S.href('e.a')} AS href,
+         {S.strip(S.text_of('e.body'))} AS text
   FROM x
 )
 SELECT page_id, {S.url_netloc('url')} AS site, pos, from_nav, href, text, {S.url_join('url', 'href')} AS full_url FROM y
@@ -41,6 +40,19 @@ def h1_links(spark, sf_dir):
     return lk.select("page_id", url_netloc("page_url").alias("site"), "pos", "from_nav", "href", "text", "full_url")
 
 
+# Anchors in all quotings, unclosed ones, and character references of all kinds, after each page's own.
+_QUOTING = ("<a href='/one?a=1&amp;b=&#x32;'>caf&eacute; &#8217;1&rsquo;</a><a class=x href=/two/&#116;wo>&unknown; &amp;lt; &#0;"
+            "<A data-href='no' HREF = \"/three\">3</A > out <a name=x>no link</a><a href=/four>never closed &copy &copy;")
+
+
+@register("h1_link_quoting", LINKS_SQL.replace("FROM pages)", f"FROM (SELECT page_id, url, html || {S.q(_QUOTING)} AS html FROM pages))", 1))
+def h1_link_quoting(spark, sf_dir):
+    """H1 + H5: the same over pages with links in single, double and no quotes."""
+    p = read_table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit(_QUOTING)))
+    lk = page_links(p, "html", "url", ["page_id"], with_nav=True)
+    return lk.select("page_id", url_netloc("page_url").alias("site"), "pos", "from_nav", "href", "text", "full_url")
+
+
 def _crawl(spark, sf_dir):
     sites, fetches = crawl_fixture(read_table(spark, sf_dir, "pages"))
     return cut_lineage(sites), cut_lineage(fetches)
@@ -85,11 +97,11 @@ FROM pages
 """.format(netloc=S.url_netloc("url"), scheme=S.url_scheme("url"))
 
 _LINKS_OF = """
-x AS (SELECT page_id, site, domain, base_url, url, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS pos
-      FROM (SELECT *, regexp_extract_all({clean}, {anchor}, 0) AS l FROM v)),
+x AS (SELECT page_id, site, domain, base_url, url, unnest(l).a AS a, generate_subscripts(l, 1) - 1 AS pos
+      FROM (SELECT *, {anchors} AS l FROM (SELECT *, {clean} AS clean FROM v))),
 y AS (SELECT page_id, site, domain, base_url, url, pos, {href} AS href FROM x),
 z AS (SELECT *, {full} AS full_url FROM y)
-""".format(clean=S.remove_noise("body"), anchor=S.q(ANCHOR_RE), href=S.decode(S.rext("a", ANCHOR_RE, 1)),
+""".format(clean=S.remove_noise("body"), anchors=S.anchors("clean"), href=S.href("a"),
            full=S.url_join("url", "href"))
 
 
@@ -142,13 +154,12 @@ c AS (SELECT page_id, site, domain, base_url, url, {S.remove_noise('body')} AS c
 n AS (SELECT *, array_to_string(regexp_extract_all(clean, {S.q(NAV_SPAN_RE)}, 0), ' ') AS nav FROM c),
 arr AS (
   SELECT page_id, domain, base_url,
-         list_concat(list_transform(regexp_extract_all(nav, {S.q(ANCHOR_RE)}, 0), lambda a: struct_pack(from_nav := true, a := a)),
-                     list_transform(regexp_extract_all(clean, {S.q(ANCHOR_RE)}, 0), lambda a: struct_pack(from_nav := false, a := a))) AS l
+         list_concat({S.anchors('nav', 'true')}, {S.anchors('clean')}) AS l
   FROM n
 ),
 x AS (SELECT page_id, domain, base_url, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM arr),
-y AS (SELECT page_id, domain, base_url, pos, {S.decode(S.rext('e.a', ANCHOR_RE, 1))} AS href,
-             {S.strip(S.text_of(S.rext('e.a', ANCHOR_RE, 2)))} AS text FROM x),
+y AS (SELECT page_id, domain, base_url, pos, {S.href('e.a')} AS href,
+             {S.strip(S.text_of('e.body'))} AS text FROM x),
 z AS (SELECT *, {S.url_join('base_url', 'href')} AS full_url FROM y),
 k AS (SELECT * FROM z WHERE {S.is_nav_link('text', 'href')} AND {S.url_netloc('full_url')} = domain)
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INTEGER AS sec_no, full_url AS section_url

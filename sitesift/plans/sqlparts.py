@@ -7,6 +7,9 @@ it next to the Spark plan. Helpers here only build SQL text.
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from ..functions import classify as CL
 from ..functions import html as H
 from ..functions import quality as Q
@@ -46,11 +49,20 @@ def rext(x: str, pat: str, g: int) -> str:
     return f"regexp_extract({x}, {q(pat)}, {g})"
 
 
+_ENTITY = "&(?:#([0-9]{1,7});?|#[xX]([0-9a-fA-F]{1,6});?|([A-Za-z][A-Za-z0-9]{1,31});)"
+_NAMES = json.dumps({k: chr(v) for k, v in html.entities.name2codepoint.items()} | {"apos": "'"})
+
+
 def decode(x: str) -> str:
-    out = x
-    for ent, ch in T.HTML_ENTITIES:
-        out = f"replace({out}, {q(ent)}, {q(ch)})"
-    return out
+    """Character references, one by one, between the texts around them."""
+    code = (f"coalesce(try_cast(regexp_extract(e, {q(_ENTITY)}, 1) AS BIGINT), "
+            f"try_cast('0x' || regexp_extract(e, {q(_ENTITY)}, 2) AS BIGINT))")
+    char = (f"list_transform([{code}], lambda n: CASE WHEN n > 0 AND n <= 1114111 AND n NOT BETWEEN 55296 AND 57343 THEN chr(n::INTEGER) "
+            f"WHEN n IS NOT NULL THEN chr(65533) END)[1]")
+    one = f"coalesce({char}, json_extract_string({q(_NAMES)}, '$.' || nullif(regexp_extract(e, {q(_ENTITY)}, 3), '')), e)"
+    joined = (f"array_to_string(list_transform(list_zip(regexp_split_to_array(t, {q(_ENTITY)}), regexp_extract_all(t, {q(_ENTITY)}, 0)), "
+              f"lambda z: z[1] || coalesce(list_transform([z[2]], lambda e: CASE WHEN e IS NOT NULL THEN {one} END)[1], '')), '')")
+    return f"list_transform([{x}], lambda t: CASE WHEN contains(t, '&') THEN {joined} ELSE t END)[1]"
 
 
 def text_of(x: str) -> str:
@@ -78,6 +90,24 @@ def count_substr(x: str, sub: str) -> str:
 
 # --------------------------------------------------------------------- html
 
+# Anchor start tags with a link: double, single or no quotes.
+_A_OPEN = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>"""
+_A_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def anchors(x: str, from_nav: str = "false") -> str:
+    """List of (from_nav, a = start tag, body = text up to the end tag or the next anchor)."""
+    return (
+        f"(SELECT list_transform(range(1, len(g) + 1), lambda i: struct_pack(from_nav := {from_nav}, a := g[i], "
+        f"body := regexp_replace(s[i + 1], '(?is)</a\\s*>.*', ''))) "
+        f"FROM (SELECT regexp_extract_all({x}, {q(_A_OPEN)}, 0) AS g, regexp_split_to_array({x}, {q(_A_OPEN)}) AS s))"
+    )
+
+
+def href(a: str) -> str:
+    return decode(" || ".join(f"regexp_extract({a}, {q(_A_HREF)}, {g})" for g in (1, 2, 3)))
+
+
 def remove_noise(x: str) -> str:
     return rrep(x, H.NOISE_RE, "''")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_join, url_netloc, url_scheme
-from ..operators.links import ANCHOR_RE
+from ..operators.links import ANCHOR_RE, href_of
 
 
 def _variant(html, pid):
@@ -51,7 +51,7 @@ def crawl_fixture(pages: DataFrame, max_items: int | None = None, chunk_size: in
             F.lit(None).cast("string").alias("render_error"), F.lit(prio).alias("prio"), F.col("page_id").alias("src_page"))
 
     home = p.where(F.col("k") == 1)
-    anchors = F.regexp_extract_all("html", F.lit(ANCHOR_RE), 1)
+    anchors = F.transform(F.regexp_extract_all("html", F.lit(ANCHOR_RE), F.lit(0)), href_of)
     base = F.concat(root, F.lit("/"))
     # the resolved link list feeds four documents: compute it once
     home = home.withColumn("locs", F.transform(anchors, lambda h: url_join(base, h)))
