@@ -132,7 +132,7 @@ def with_fetch_gate(df: DataFrame, status: str, body: str, out: str) -> DataFram
     df = with_error_page(df, t + "b200", t + "err")
     gate = (
         F.when(s >= 400, F.lit("drop"))
-        .when(s != 200, F.lit("other"))
+        .when(s.isNull() | (s != 200), F.lit("other"))  # no answer: only the rendered copy is left
         .when(F.col(t + "err"), F.lit("error"))
         .when(F.octet_length(body) < MIN_BODY_BYTES, F.lit("small"))
         .when(~is_valid_html(body), F.lit("invalid"))

@@ -206,17 +206,29 @@ def apply_child_stop(found: DataFrame, stop: int) -> DataFrame:
 
 # -------------------------------------------------------------------- feeds
 
-FEED_SCHEMA = "channel struct<item: array<struct<link: string>>>, entry array<struct<link: struct<_href: string>>>"
+_ITEM = "array<struct<link: string, guid: struct<_VALUE: string, _isPermaLink: string>>>"
+FEED_SCHEMA = f"channel struct<item: {_ITEM}>, item {_ITEM}, entry array<struct<link: array<struct<_href: string, _rel: string>>>>"
 
 
 def discover_feeds(probes: DataFrame) -> DataFrame:
-    """RSS item links and Atom entry links; no domain or content filter."""
+    """RSS and RDF item links (else a guid that is a permalink) and Atom
+    entry links (an alternate one first); no domain or content filter."""
+    def item_link(i):
+        guid = F.when(F.lower(F.coalesce(i["guid"]["_isPermaLink"], F.lit("true"))) != "false", i["guid"]["_VALUE"])
+        return F.coalesce(F.nullif(F.btrim(i["link"], F.lit(PY_WHITESPACE)), F.lit("")), guid)
+
+    def entry_link(e):
+        alternate = F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+        return F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get(e["link"], F.lit(0))["_href"])
+
+    none = F.array().cast("array<string>")
     docs = probes.where(F.col("role") == "feed").select(
         "site", "probe_idx", F.from_xml(F.col("body"), FEED_SCHEMA, {"mode": "PERMISSIVE"}).alias("x")
     )
     links = F.concat(
-        F.coalesce(F.transform(F.col("x.channel.item"), lambda i: i["link"]), F.array().cast("array<string>")),
-        F.coalesce(F.transform(F.col("x.entry"), lambda e: e["link"]["_href"]), F.array().cast("array<string>")),
+        F.coalesce(F.transform(F.col("x.channel.item"), item_link), none),
+        F.coalesce(F.transform(F.col("x.item"), item_link), none),
+        F.coalesce(F.transform(F.col("x.entry"), entry_link), none),
     )
     x = docs.select("site", "probe_idx", F.posexplode_outer(links).alias("pos", "u"))
     return x.where(F.col("u").isNotNull() & (F.col("u") != "")).select(
@@ -361,6 +373,12 @@ def discover(sites: DataFrame, fetches: DataFrame, limits: Limits = ALL) -> Data
 
     Output: site, url, source, lastmod, ord (1-based per site).
     """
+    return rank_candidates(source_candidates(sites, fetches, limits))
+
+
+def source_candidates(sites: DataFrame, fetches: DataFrame, limits: Limits = ALL) -> DataFrame:
+    """What every source of the waterfall gives, before the union-distinct (A4):
+    site, url, source, lastmod."""
     # the probe pages feed five branches: materialize them once (reliable
     # checkpoint in the shared folder) instead of re-reading the archive
     probes = cut_lineage(lookup(probe_table(sites), fetches))
@@ -382,7 +400,7 @@ def discover(sites: DataFrame, fetches: DataFrame, limits: Limits = ALL) -> Data
     r_sites = n2.where((F.col("n2") < WATERFALL_MIN) & F.col("use_browser")).select("site")
     rendered = discover_rendered(probes.join(r_sites, "site", "left_semi"), fetches,
                                  sites.join(r_sites, "site", "left_semi")).select("site", "url", "source", "lastmod")
-    return rank_candidates(acc2.unionByName(rendered))
+    return acc2.unionByName(rendered)
 
 
 def rank_candidates(cands: DataFrame) -> DataFrame:

@@ -33,10 +33,4 @@ def oracle_sql() -> dict:
 
 def _load():
     # Importing the query modules fills QUERIES.
-    from . import q_extract, q_process, q_urls  # noqa: F401
-    for mod in ("q_links", "q_sources", "q_report", "q_scrape"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as exc:  # module not written yet
-            if mod not in str(exc):
-                raise
+    from . import q_extract, q_links, q_process, q_report, q_scrape, q_urls  # noqa: F401

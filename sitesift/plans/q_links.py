@@ -67,10 +67,11 @@ def p1_discover(spark, sf_dir):
 
 @register("p1_source_counts")
 def p1_source_counts(spark, sf_dir):
-    """A3 + A4: candidates per site and source, and distinct URLs per site."""
+    """A4: URLs that each source gives, before the union-distinct; A3: distinct URLs per site."""
     sites, fetches = _crawl(spark, sf_dir)
-    c = D.discover(sites, fetches)
-    return c.groupBy("site", "source").agg(F.count(F.lit(1)).alias("n_urls"))
+    c = cut_lineage(D.source_candidates(sites, fetches))
+    total = c.select("site", "url").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return c.groupBy("site", "source").agg(F.count(F.lit(1)).alias("n_urls")).join(total, "site")
 
 
 # ------------------------------------------- single-page discovery steps

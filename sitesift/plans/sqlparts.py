@@ -234,7 +234,7 @@ def is_error_content(content: str, title: str) -> str:
 
 def fetch_gate(status: str, nbytes: str, html: str) -> str:
     return (
-        f"(CASE WHEN {status} >= 400 THEN 'drop' WHEN {status} <> 200 THEN 'other' "
+        f"(CASE WHEN {status} >= 400 THEN 'drop' WHEN {status} IS NULL OR {status} <> 200 THEN 'other' "
         f"WHEN {is_error_page(html)} THEN 'error' WHEN {nbytes} < {Q.MIN_BODY_BYTES} THEN 'small' "
         f"WHEN NOT {is_valid_html(html)} THEN 'invalid' ELSE 'extract' END)"
     )

@@ -49,11 +49,39 @@ def test_robots_lines(spark):
 
 
 def test_feeds_rss_and_atom(spark):
-    rss = '<rss version="2.0"><channel><item><link>https://o.example/x</link></item><item><title>n</title></item></channel></rss>'
-    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><link href="https://s.example/y"/></entry></feed>'
-    probes = spark.createDataFrame([("s", "feed", 0, rss), ("s", "feed", 1, atom)], "site string, role string, probe_idx int, body string")
+    rss = ('<rss version="2.0"><channel><item><link>https://o.example/x</link></item><item><title>n</title></item>'
+           '<item><guid>https://o.example/g</guid></item><item><guid isPermaLink="false">123</guid></item></channel></rss>')
+    atom = ('<feed xmlns="http://www.w3.org/2005/Atom"><entry><link href="https://s.example/y"/></entry>'
+            '<entry><link rel="edit" href="https://s.example/e"/><link rel="alternate" href="https://s.example/z"/></entry></feed>')
+    rdf = '<RDF><channel><title>t</title></channel><item><link>https://r.example/i</link></item></RDF>'
+    probes = spark.createDataFrame([("s", "feed", 0, rss), ("s", "feed", 1, atom), ("s", "feed", 2, rdf)], "site string, role string, probe_idx int, body string")
     got = sorted(r.url for r in D.discover_feeds(probes).collect())
-    assert got == ["https://o.example/x", "https://s.example/y"]   # feeds are not domain filtered
+    assert got == ["https://o.example/g", "https://o.example/x", "https://r.example/i", "https://s.example/y", "https://s.example/z"]
+
+
+def test_index_chain_and_json_nesting_have_no_depth_limit(spark):
+    urls = [("https://s.example/sitemap.xml", "<sitemapindex><sitemap><loc>https://s.example/1.xml</loc></sitemap></sitemapindex>")]
+    urls += [(f"https://s.example/{i}.xml", f"<sitemapindex><sitemap><loc>https://s.example/{i + 1}.xml</loc></sitemap>"
+              "<sitemap><loc>https://s.example/sitemap.xml</loc></sitemap></sitemapindex>") for i in range(1, 6)]
+    urls += [("https://s.example/6.xml", "<urlset><url><loc>https://s.example/blog/deep</loc></url></urlset>")]
+    fetches = spark.createDataFrame([(u, 200, b, None, None) for u, b in urls],
+                                    "url string, status int, body string, rendered_html string, render_error string")
+    sites = spark.createDataFrame([("s", "https://s.example/")], "site string, base_url string")
+    got = D.discover_sitemaps(D.lookup(D.probe_table(sites), fetches), fetches).select("url").distinct().collect()
+    assert [r.url for r in got] == ["https://s.example/blog/deep"]
+
+    body = '{"a":' * 9 + '[{"url":"/blog/deep"}]' + "}" * 9
+    api = spark.createDataFrame([("https://s.example/api/x", 200, "application/json", body)],
+                                "url string, status int, content_type string, body string")
+    assert [r.url for r in D.api_payload_urls(api, sites).collect()] == ["https://s.example/blog/deep"]
+
+
+def test_generators_push_no_computed_test_to_the_scan(spark):
+    from sitesift.plans.catalog import queries
+
+    for name in ("c2_c3_chunk_2000", "h1_links", "p5_spa_urls", "p3_nav_sections", "p6_extract"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter ((size(" not in plan and "Filter (size(" not in plan, name
 
 
 def test_json_payload_urls(spark):
@@ -95,7 +123,7 @@ def test_index_child_stop(spark):
     probes = spark.createDataFrame([("s", "s.example", "sitemap", 0, "https://s.example/sitemap.xml",
                                      docs["https://s.example/sitemap.xml"])],
                                    "site string, domain string, role string, probe_idx int, url string, body string")
-    got = D.discover_sitemaps(probes, fetches)
+    got = D.discover_sitemaps(probes, fetches, D.SINGLE_SITE)
     urls = [r.url for r in got.collect()]
     assert len(urls) == 1800
     assert not any("/blog/2" in u for u in urls)
