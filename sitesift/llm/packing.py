@@ -37,9 +37,9 @@ MAX_BROADCAST_ROWS = 1_000_000
 CACHE_WORDS = 500_000
 
 # Here tiktoken and tokenizers agree: characters of ASCII and the Latin blocks, no special string.
-_LATIN = r"[\x21-\x7e\xa1-\xac\xae-\u024f]+"
-_PLAIN = re.compile(rf"(?:{_LATIN}|[ \n])*")
-_SINGLE_GAPS = re.compile(rf"{_LATIN}(?:[ \n]{_LATIN})*")
+_LATIN = r"\x21-\x7e\xa1-\xac\xae-\u024f"
+_PLAIN = re.compile(rf"[{_LATIN} \n]*")
+_SINGLE_GAPS = re.compile(rf"[{_LATIN}]+(?:[ \n][{_LATIN}]+)*")
 
 
 class ByteTokenizer:

@@ -108,7 +108,7 @@ def test_token_counts_of_nothing(odd_docs, no_docs):
 
 def test_byte_ids_equal_the_library():
     fast, whole = ByteTokenizer(BYTES, RANKS), Tokenizer.from_file(BYTES)
-    for t in [*ODD_TEXTS, "The Quick, brown\nfox's 12 caf\u00e9s \u00e0 la carte.\nEnd", "caf\u00e9<|endoftext|>"]:
+    for t in [*ODD_TEXTS, "The Quick, brown\nfox's 12 caf\u00e9s \u00e0 la carte.\nEnd", "caf\u00e9<|endoftext|>", "plain words of all kinds " * 200 + "\u4e2d"]:
         assert np.frombuffer(fast(t), np.uint16).tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
