@@ -14,6 +14,7 @@ training order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,7 +66,7 @@ def _plan(spark: SparkSession, totals: list, schedule_of, total: int | None, max
     sizes = [int(r.source_size) for r in totals]
     targets = capped_targets(sizes, [s[-1][4] for s in schedules], sum(sizes) if total is None else total, max_repeat)
     rows = [
-        (i, r.source, sizes[i], targets[i], round(targets[i]), max(1, round(r.rows ** 0.5)), schedules[i])
+        (i, r.source, sizes[i], targets[i], math.floor(targets[i] + 0.5), max(1, round(r.rows ** 0.5)), schedules[i])
         for i, r in enumerate(totals)
     ]
     return spark.createDataFrame(
