@@ -34,8 +34,7 @@ from .common import fresh, stage
 from .graph import components
 
 SHINGLE = 5
-BANDS, ROWS, BATCH = 25, 5, 25
-HASHES = BANDS * ROWS
+HASHES, BATCH = 125, 25
 TILE = 1024
 TASK_WORDS = 500_000
 #: Candidate keys (16 bytes each) that may be broadcast to pick candidate texts.
@@ -112,6 +111,16 @@ def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     return out
 
 
+def banding(threshold: float, miss: float) -> tuple[int, int]:
+    """(bands, rows): the longest rows, and so the fewest candidates, of which a
+    pair at the threshold shares no band with a chance of at most ``miss``."""
+    for rows in range(HASHES, 0, -1):
+        bands = HASHES // rows
+        if (1 - threshold**rows) ** bands <= miss:
+            return bands, rows
+    raise ValueError(f"{HASHES} hashes cannot find pairs at {threshold} with a miss of {miss}")
+
+
 def surviving(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, steps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The index pairs that no batch prunes, and their matches."""
     matches, seen = np.zeros(len(i), np.int32), 0
@@ -146,16 +155,23 @@ def _sign(key_type: pa.DataType):
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sig = _signatures(b.column(1)).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        x = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _M, sig.shape[:2]).copy()
-        for k in range(ROWS):
-            x = (x ^ sig[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(30)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x.view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int16), len(sig))),
-             pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["bucket", "band", "rid"])
+def _banded(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    return sig[:, : bands * rows].reshape(-1, bands, rows)
+
+
+def _bands(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = _banded(_signatures(b.column(1)), bands, rows).astype(np.uint64)
+            x = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _M, sig.shape[:2]).copy()
+            for k in range(rows):
+                x = (x ^ sig[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(30)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x.view(np.int64).ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int16), len(sig))),
+                 pa.array(np.repeat(b.column(0).to_numpy(), bands))], ["bucket", "band", "rid"])
+
+    return run
 
 
 def _prune(steps):
@@ -197,8 +213,8 @@ def _same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(2).filter(pa.array(keep))], ["rid", "text"])
 
 
-def _linked(rid: np.ndarray, root: np.ndarray, side: np.ndarray, sig: np.ndarray, texts: list, one: bool, band: int, steps, part: int, whole: int,
-            known: dict) -> list[tuple[int, int]]:
+def _linked(rid: np.ndarray, root: np.ndarray, side: np.ndarray, sig: np.ndarray, texts: list, one: bool, band: int, cut: tuple[int, int], steps, part: int,
+            whole: int, known: dict) -> list[tuple[int, int]]:
     """Links that join different components within one tile (``one``) or between its two sides."""
     rows = np.flatnonzero(side == 0)
     cols = rows if one else np.flatnonzero(side == 1)
@@ -210,7 +226,7 @@ def _linked(rid: np.ndarray, root: np.ndarray, side: np.ndarray, sig: np.ndarray
         if one:
             i, j = i[i < j], j[i < j]
         i, j, matches = surviving(sig, sig, i, j, steps)
-        shared = (sig[i].reshape(-1, BANDS, ROWS) == sig[j].reshape(-1, BANDS, ROWS)).all(axis=2)
+        shared = (_banded(sig[i], *cut) == _banded(sig[j], *cut)).all(axis=2)
         here = shared.any(axis=1) & (shared.argmax(axis=1) == band)
         parts.append((i[here], j[here], matches[here]))
     if not parts:
@@ -240,7 +256,7 @@ def _linked(rid: np.ndarray, root: np.ndarray, side: np.ndarray, sig: np.ndarray
     return out
 
 
-def _tile_links(steps, part: int, whole: int):
+def _tile_links(cut: tuple[int, int], steps, part: int, whole: int):
     """Over rows sorted by tile pair: the links that join components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +266,7 @@ def _tile_links(steps, part: int, whole: int):
             rid, root, side = (np.array(v, np.int64) for v in held[:3])
             sig = np.frombuffer(b"".join(held[3]), np.uint32).reshape(-1, HASHES)
             _, band, kind, t0, t1 = group
-            links = _linked(rid, root, side, sig, held[4], kind == "r" and t0 == t1, band, steps, part, whole, known)
+            links = _linked(rid, root, side, sig, held[4], kind == "r" and t0 == t1, band, cut, steps, part, whole, known)
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
         for b in batches:
@@ -298,8 +314,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     reachable by links, itself included), kept (key is the component_id).
 
     Two texts are linked if ``whole * intersection >= part * union`` of their
-    shingle sets (64-bit hashes). A linked pair at the threshold itself shares
-    no band with a chance of 4e-7, and is pruned with one of about ``miss``.
+    shingle sets (64-bit hashes). Bands follow from the threshold: a linked pair
+    at the threshold itself shares none with a chance of at most ``miss`` (4e-7
+    at 0.85, 8e-8 at 0.80), and is pruned with one of about ``miss``.
 
     Null, empty or blank text: no shingles, linked with nothing, its own
     component. Null keys count as rows but never as the smallest key; a
@@ -308,7 +325,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     classes. Empty table: empty result. Other columns are not looked at. Very
     long texts are hashed in blocks.
     """
-    steps = least_matches(part / whole, miss)
+    steps, cut = least_matches(part / whole, miss), banding(part / whole, miss)
     key_type = docs.schema[key].dataType
     rows = stage(
         docs.select(F.col(key), F.xxhash64(text).alias("rk"), F.col(text))
@@ -320,7 +337,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         .withColumn("rid", F.monotonically_increasing_id()),
         "classes",
     )
-    bands = stage(reps.select("rid", "sig").mapInArrow(_bands, "bucket long, band short, rid long"), "bands")
+    bands = stage(reps.select("rid", "sig").mapInArrow(_bands(*cut), "bucket long, band short, rid long"), "bands")
     shared = bands.groupBy("bucket").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     live = stage(bands.join(shared, "bucket").select("bucket", "band", "rid", "pivot", "size"), "buckets")
     candidates = stage(reps.join(live.select("rid").distinct(), "rid").select("rid", "cls", "rk", "sig"), "candidates")
@@ -348,7 +365,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     several = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     mixed = stage(members.join(several.select("bucket"), "bucket"), "mixed-members")
     details = sigs.join(texts, "rid").join(mixed.select("rid").distinct(), "rid", "left_semi")
-    more = stage(_tile_pairs(mixed, details, tile).mapInArrow(_tile_links(steps, part, whole), "a long, b long"), "tile-links")
+    more = stage(_tile_pairs(mixed, details, tile).mapInArrow(_tile_links(cut, steps, part, whole), "a long, b long"), "tile-links")
     roots = stage(components(links.unionAll(more)), "roots")
     placed = reps.select("cls", "first", "rid").join(roots, F.col("rid") == F.col("node"), "left")
     placed = placed.select("cls", "first", F.coalesce("root", "rid").alias("root"))

@@ -10,4 +10,4 @@ from .registry import register
 @register("op10_minhash_dedup")
 def op10_minhash_dedup(spark, sf_dir):
     """Shingles, component and verdict of every document."""
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents"), part=85)

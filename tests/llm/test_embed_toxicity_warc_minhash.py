@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import zstandard
 
+import corpus_pipeline
 from sitesift.llm import minhash, toxicity, warc
 from sitesift.llm.common import scratch
 from sitesift.llm.embed import close_pairs, near_duplicates, quantise
@@ -237,6 +238,33 @@ def test_posterior_bound():
                 assert (density[x >= 0.85].sum() / density.sum() < 1e-6 * 1.01) == low
 
 
+def test_pipeline_stage_links_from_four_fifths(spark):
+    """Pairs of two changed words at 0.79, 0.80 exactly, and 0.81 to 0.84, against brute force."""
+    rng, rows = random.Random(13), []
+    for n in (85, 90, 95, 100, 105, 110, 115):  # shingles; two lone changes leave (n - 10) / (n + 10)
+        for g in range(12):
+            base = [f"w{n}x{g}x{i}" for i in range(n + 4)]
+            copy = [f"c{w}" if i in (20 + g, 50 + g) else w for i, w in enumerate(base)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    rng.shuffle(rows)
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = [(i, i + 1) for i in range(0, len(rows), 2) if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])]
+    assert len(links) == 72
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    root = closure(range(len(rows)), links)
+    assert Counter(root[i] for i in kept) == Counter(set(root.values()))
+
+
+def test_bands_follow_the_threshold():
+    assert minhash.banding(0.85, 1e-6) == (25, 5) and minhash.banding(0.80, 1e-6) == (31, 4)
+    for t in (0.3, 0.5, 0.7, 0.8, 0.85, 0.9, 0.99):
+        bands, rows = minhash.banding(t, 1e-6)
+        assert bands * rows <= minhash.HASHES and (1 - t**rows) ** bands <= 1e-6
+    with pytest.raises(ValueError):
+        minhash.banding(0.01, 1e-6)
+
+
 def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert Counter(map(tuple, minhash.near_duplicates(odd_docs).collect())) == expect(rows)
