@@ -43,6 +43,31 @@ RULES: dict[str, tuple[Rule, ...]] = {
         Rule("jwt", r"(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 1),
     ),
 }
+#: What a PEM key may have between its characters: breaks, also escaped ones, and marks of quoting.
+_BREAK = r"""[\s\\>#*|"',]*+"""
+_KEY = "[A-Za-z0-9+/=]"
+#: From BEGIN to the END of the same label; without one, the legacy headers and
+#: the base64 block: long runs and lines of nothing else, and one last short run.
+#: Possessive, so that long texts are no recursion.
+_PEM = (
+    r"(-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----(?:"
+    r"(?:[^-]|-(?!----))*+-----END \2PRIVATE KEY-----|"
+    rf"(?:{_BREAK}(?:Proc-Type:\x20*+[0-9],[A-Z-]++|DEK-Info:\x20*+[A-Z0-9-]++,[0-9A-Fa-f]++))*+"
+    rf"(?:{_BREAK}(?:{_KEY}{{16,}}+|{_KEY}++(?=[\x20\t]*+(?:[\r\n\\]|\z))))*+"
+    rf"(?:(?<={_KEY}{{16}}){_BREAK}{_KEY}++)?))"
+)
+#: What redaction blanks: whole secrets. ``RULES`` are the spans of the op9
+#: query, whose SQL ends PEM at its first line and tokens at 255 characters.
+#: PEM goes first, as other rules would break up a key's header and body.
+WHOLE_RULES: dict[str, tuple[Rule, ...]] = {
+    "whole-pem-1": (Rule("pem", _PEM, 1),),
+    "base-1": RULES["base-1"],
+    "whole-1": (
+        Rule("github", r"(gh[pousr]_[A-Za-z0-9]{36,})", 1),
+        Rule("slack", r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1),
+        *(r for r in RULES["issued-1"] if r.kind == "jwt"),
+    ),
+}
 SCANNED = "blob string, rule_version string"
 FOUND = "blob string, rule_version string, kind string, start long, end long"
 
@@ -159,8 +184,8 @@ def spans_text(findings: Column) -> Column:
 def redacted(docs: DataFrame, ledger: Ledger, *, text: str = "text", rules: dict[str, tuple[Rule, ...]] | None = None) -> DataFrame:
     """The rows of ``docs``, in which every secret found is replaced by
     ``[REDACTED:kind]``, rule by rule; n_chars follows. Texts without findings
-    stay as they are."""
-    rules = RULES if rules is None else rules
+    stay as they are. Without ``rules``, those of whole secrets."""
+    rules = WHOLE_RULES if rules is None else rules
     ledger.scan(docs, rules, text)
     blob, hit, body = (fresh(docs, c) for c in ("secret_blob", "secret_hit", "secret_body"))
     found = ledger.findings().where(F.col("rule_version").isin(*rules)).select(F.col("blob").alias(hit)).distinct()
