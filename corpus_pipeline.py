@@ -35,8 +35,8 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents by the curriculum, in training order."""
-    return mixed_documents(docs, curriculum)
+    """Whole copies of documents by the curriculum, in training order."""
+    return mixed_documents(docs, curriculum, whole=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,23 +170,27 @@ def training_order(mixed: DataFrame, *by: str) -> DataFrame:
     return mixed.orderBy(F.col("position").asc_nulls_last(), "u", *by)
 
 
-def mixed_documents(docs: DataFrame, schedule_of, *, max_repeat: int = 3) -> DataFrame:
+def mixed_documents(docs: DataFrame, schedule_of, *, max_repeat: int = 3, whole: bool = False) -> DataFrame:
     """The mix as documents: one row per copy, in training order, with the
     columns of ``docs``. The copy cut at its source's quota ends after its
-    last counted word, and n_chars follows; documents without words are never
-    taken."""
+    last counted word, and n_chars follows; with ``whole`` it is taken or left
+    as a whole, whichever is nearer to the quota (taken at half). Documents
+    without words are never taken."""
     rid, size, place = (fresh(docs, c) for c in ("mix_row", "mix_size", "mix_place"))
     kept = stage(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-documents")
     copies = mix(kept, schedule_of, max_repeat=max_repeat, key=rid).select(
         rid, F.col("size").alias(size), F.explode("placements").alias(place)
     )
+    if whole:
+        nearer = copies.where(F.col(place)["words"] * 2 >= F.col(size))
+        return kept.join(nearer, rid).orderBy(F.col(place)["position"], F.xxhash64(rid)).select(*docs.columns)
     n = F.col(place)["words"].cast("int")
     head = F.array_join(
         F.zip_with(F.slice(F.split("text", WORD), 1, n), F.slice(words("text"), 1, n), lambda gap, w: F.concat(gap, w)), ""
     )
-    whole = n == F.col(size)
+    uncut = n == F.col(size)
     out = kept.join(copies, rid)
-    cut = {"text": F.when(whole, F.col("text")).otherwise(head)}
+    cut = {"text": F.when(uncut, F.col("text")).otherwise(head)}
     if "n_chars" in docs.columns:
-        cut["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.char_length(head)).cast(docs.schema["n_chars"].dataType)
+        cut["n_chars"] = F.when(uncut, F.col("n_chars")).otherwise(F.char_length(head)).cast(docs.schema["n_chars"].dataType)
     return out.withColumns(cut).orderBy(F.col(place)["position"], F.xxhash64(rid)).select(*docs.columns)

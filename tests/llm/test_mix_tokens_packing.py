@@ -85,6 +85,23 @@ def test_mix_on_odd_rows(odd_docs, no_docs):
     assert WORD == r"[^\x20\x09-\x0D]+"
 
 
+def test_mixed_copies_stay_whole(spark, odd_docs):
+    """One source of one long document at 5/8 and one at 3/8 of its words, and the odd rows."""
+    texts = {1: " ".join(f"a{i}" for i in range(400)), 2: " ".join(f"b{i}" for i in range(400))}
+    df = spark.createDataFrame([(k, t, "x" if k == 1 else "y", len(t)) for k, t in texts.items()], "doc_id long, text string, source string, n_chars long")
+    by = {"x": [(0, 5.0), (1, 5.0)], "y": [(0, 11.0), (1, 11.0)]}  # of 800 words: 250 and 550
+    got = mixed_documents(df, lambda i, s: by[s], whole=True).collect()
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in got) == Counter({(k, texts[k], len(texts[k])): 1 for k in (1, 2)})
+    got = mixed_documents(odd_docs, curriculum, whole=True).collect()
+    assert {(r.doc_id, r.text, r.n_chars) for r in got} <= {(r.doc_id, r.text, r.n_chars) for r in odd_docs.collect()}
+    have, largest, target = Counter(), Counter(), {}
+    for r in got:
+        have[r.source] += len(words(r.text))
+    for r in mix(odd_docs, curriculum).collect():
+        largest[r.source], target[r.source] = max(largest[r.source], r.size), r.target
+    assert all(abs(have[s] - t) <= largest[s] / 2 + 1 for s, t in target.items())
+
+
 def test_pre_tokens_equal_the_library():
     split, whole = PreTokenizer(WORDS), Tokenizer.from_file(WORDS)
     for t in ODD_TEXTS:
