@@ -306,17 +306,20 @@ def discover_navigation(probes: DataFrame, fetches: DataFrame, limits: Limits =
 def api_payload_urls(fetches: DataFrame, sites: DataFrame) -> DataFrame:
     """S6 + C10: JSON API responses of a site -> string values under url/link/href/slug/path.
 
+    A response belongs to the site on whose host the page lies that asked for
+    it (column ``page_url``); where that is null or lacking, to its own host's.
     Values under other keys are searched recursively; a non-string value under
     one of those keys is not descended into. One level of nesting is opened
     at a time, as VARIANT, until no object or array is left.
     """
     keys = ["url", "link", "href", "slug", "path"]
     s = sites.select("site", "base_url", U.url_netloc("base_url").alias("domain"))
+    asked_by = F.coalesce("page_url", "url") if "page_url" in fetches.columns else F.col("url")
     api = fetches.where(
         (F.col("status") == 200)
         & F.lower(F.coalesce(F.col("content_type"), F.lit(""))).contains("json")
         & (F.exists(_lit_array(API_URL_SUFFIXES), lambda sfx: F.col("url").endswith(sfx)) | F.col("url").contains("api"))
-    ).select(U.url_netloc("url").alias("domain"), "url", F.try_parse_json("body").alias("v"))
+    ).select(U.url_netloc(asked_by).alias("domain"), "url", F.try_parse_json("body").alias("v"))
     frontier = api.join(s, "domain").select("site", "base_url", "domain", F.col("url").alias("api_url"), "v")
     found = None
     while True:

@@ -94,6 +94,20 @@ def test_json_payload_urls(spark):
     assert got == ["https://s.example/blog/x", "https://s.example/p/1/2"]
 
 
+def test_json_payloads_of_other_hosts(spark):
+    """Responses of API hosts count for the site whose page asked for them."""
+    rows = [("https://api.s.example/v1", "https://s.example/", '{"url":"/blog/sub"}'),
+            ("https://cdn.example/data.json", "https://s.example/", '[{"href":"/blog/cdn"},{"href":"https://cdn.example/blog/no"}]'),
+            ("https://api.s.example/v2", "https://t.example/x", '{"url":"/blog/t"}'),
+            ("https://s.example/api/own", None, '{"url":"/blog/own"}'), ("https://api.s.example/v3", None, '{"url":"/blog/nobody"}')]
+    fetches = spark.createDataFrame([(u, 200, "application/json", p, b) for u, p, b in rows],
+                                    "url string, status int, content_type string, page_url string, body string")
+    sites = spark.createDataFrame([("s", "https://s.example/"), ("t", "https://t.example/")], "site string, base_url string")
+    got = sorted((r.site, r.url) for r in D.api_payload_urls(fetches, sites).collect())
+    assert got == [("s", "https://s.example/blog/cdn"), ("s", "https://s.example/blog/own"), ("s", "https://s.example/blog/sub"),
+                   ("t", "https://t.example/blog/t")]
+
+
 def test_rank_candidates(spark):
     rows = [("s", "https://s.example/a", "spa", None), ("s", "https://s.example/a", "sitemap", "2024-01-01"),
             ("s", "https://s.example/b", "sitemap", "2024-02-01"), ("s", "https://s.example/c", "feed", None)]
