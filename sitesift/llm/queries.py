@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q01_mix, q02_url, q03_tokens, q04_embed, q05_rules, q06_toxicity, q07_warc, q08_packing, q09_secrets, q10_minhash, q12_merkle  # noqa: F401
+from . import q01_mix, q02_url, q03_tokens, q04_embed, q05_rules, q06_toxicity, q07_warc, q08_packing, q09_secrets, q10_minhash, q11_license, q12_merkle, q13_periodic  # noqa: F401
 from .registry import QUERIES
 
 
