@@ -6,9 +6,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark import SparkContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +46,52 @@ def _ship(application: str) -> None:
     SparkContext.getOrCreate().addPyFile(path)
 
 
+_listeners: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for one intermediate table or file set, in the shared
     folder that ``spark.checkpoint.dir`` names; it lives as long as its user
     keeps it (all of one application lie under ``<application id>``)."""
     _ship(spark.sparkContext.applicationId)
-    return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    for paths in _listeners:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_of() -> Iterator[list[str]]:
+    """The scratch folders named inside the block, for ``free``."""
+    paths: list[str] = []
+    _listeners.append(paths)
+    try:
+        yield paths
+    finally:
+        _listeners[:] = [x for x in _listeners if x is not paths]
+
+
+def free(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch folders that nobody reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def file_row(docs: DataFrame, key: str = "doc_id") -> Column | None:
+    """A name of every row of a table read from files, the same each time it
+    is read: the key and the row's place. None where ``docs`` has no place; rows
+    that a join or an explode repeats are not told apart."""
+    if "_metadata" in docs.columns:
+        return None
+    place = [F.md5(F.col("_metadata.file_path")), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")]
+    try:
+        docs.select(*place)
+    except AnalysisException:
+        return None
+    first = F.coalesce(F.lpad(F.col(key).cast("string"), 20, "0"), F.lit("")) if key in docs.columns else F.lit("")
+    return F.concat_ws(":", first, *place)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

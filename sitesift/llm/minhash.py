@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -379,10 +379,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     )
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, *, row: Column | None = None, **options) -> DataFrame:
     """The documents with one row of each component, all columns kept: the
-    first in the order of the table. Texts without words all stay."""
+    first by ``row``, a unique name of the rows of a stored table
+    (``common.file_row``); without it, ``docs`` is written once with a number
+    per row, and the first in its order stays. Texts without words all stay."""
     rid = fresh(docs, "near_row")
-    rows = stage(docs.withColumn(rid, F.monotonically_increasing_id()), "near-documents")
+    if row is None:
+        rows = stage(docs.withColumn(rid, F.monotonically_increasing_id()), "near-documents")
+    else:
+        rows = docs.withColumn(rid, row)
     kept = near_duplicates(rows, key=rid, **options).where("kept").select(F.col(rid).alias("kept_row"))
     return rows.join(kept, F.col(rid) == F.col("kept_row"), "left_semi").drop(rid)

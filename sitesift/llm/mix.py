@@ -78,7 +78,7 @@ def _plan(spark: SparkSession, totals: list, schedule_of, total: int | None, max
 
 def _position(queued: Column) -> Column:
     """Training time at which the source's demand reaches ``queued`` words."""
-    area = F.element_at("segments", -1)["a1"] * queued / F.col("quota")
+    area = F.element_at("segments", -1)["a1"] * queued / F.greatest(F.col("quota"), F.lit(1))  # no quota: no copy has a position
     seg = F.coalesce(
         F.get(F.filter("segments", lambda s: area < s["a1"]), F.lit(0)), F.element_at("segments", -1)
     )
@@ -88,7 +88,7 @@ def _position(queued: Column) -> Column:
 
 
 def mix(docs: DataFrame, schedule_of, *, total: int | None = None, max_repeat: int = 3, key: str = "doc_id",
-        source: str = "source", text: str = "text") -> DataFrame:
+        source: str = "source", text: str = "text", queue: str | None = None) -> DataFrame:
     """One row per input row: key, source, size (words), source_size, target,
     taken (words, repeats counted), position (of the first copy, null if none)
     and placements (position and words of every copy).
@@ -98,14 +98,16 @@ def mix(docs: DataFrame, schedule_of, *, total: int | None = None, max_repeat: i
     taken words equal the rounded target. Prefix sums run in two levels,
     about sqrt(rows) hash ranges per source and the rows of each, so that a
     source with a third of all rows is no single group; the queue order is the
-    md5 of the key, then key, size and text hash, so reruns agree.
+    md5 of the key (of ``queue``, if named, which need not be unique), then key,
+    size and text hash, so reruns agree.
 
     Null key: queued first. Null or empty text: size 0, taken 0. Repeated
-    rows: each queued on its own. No words at all: targets 0. Empty table:
+    rows: each queued on its own. A source without words: target and taken 0,
+    no placements; a table without words: the same for all. Empty table:
     empty result. Other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
-    u = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 13), 16, 10).cast("long")
+    u = F.conv(F.substring(F.md5(F.col(queue or key).cast("string")), 1, 13), 16, 10).cast("long")
     sized = stage(
         docs.select(
             F.col(key).alias("key"),
@@ -132,7 +134,8 @@ def mix(docs: DataFrame, schedule_of, *, total: int | None = None, max_repeat: i
         "sid", "bucket",
         (F.sum("range_size").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("range_size")).alias("ranges_before"),
     )
-    within = Window.partitionBy("sid", "bucket").orderBy("u", "key", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    order = ("u", "size", "tie", "key") if queue else ("u", "key", "size", "tie")
+    within = Window.partitionBy("sid", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = F.col("ranges_before") + F.sum("size").over(within) - F.col("size")
     size, all_words = F.col("size"), F.greatest(F.col("source_size"), F.lit(1))
     full = F.floor(F.col("quota") / all_words)  # exact: quota is at most a few times source_size
@@ -170,20 +173,29 @@ def training_order(mixed: DataFrame, *by: str) -> DataFrame:
     return mixed.orderBy(F.col("position").asc_nulls_last(), "u", *by)
 
 
-def mixed_documents(docs: DataFrame, schedule_of, *, max_repeat: int = 3, whole: bool = False) -> DataFrame:
+def mixed_documents(docs: DataFrame, schedule_of, *, max_repeat: int = 3, whole: bool = False, key: str = "doc_id",
+                    row: Column | None = None) -> DataFrame:
     """The mix as documents: one row per copy, in training order, with the
     columns of ``docs``. The copy cut at its source's quota ends after its
     last counted word, and n_chars follows; with ``whole`` it is taken or left
     as a whole, whichever is nearer to the quota (taken at half). Documents
-    without words are never taken."""
-    rid, size, place = (fresh(docs, c) for c in ("mix_row", "mix_size", "mix_place"))
-    kept = stage(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-documents")
-    copies = mix(kept, schedule_of, max_repeat=max_repeat, key=rid).select(
-        rid, F.col("size").alias(size), F.explode("placements").alias(place)
+    without words are never taken.
+
+    ``row`` names the rows of a stored table (``common.file_row``); without it
+    ``docs`` is written once with a number per row. Rows queue by ``key``, if
+    ``docs`` has it. Texts are shuffled twice: to their copies and by position.
+    """
+    rid, size, place, u = (fresh(docs, c) for c in ("mix_row", "mix_size", "mix_place", "mix_u"))
+    if row is None:
+        kept = stage(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-documents")
+    else:
+        kept = docs.withColumn(rid, row)
+    copies = mix(kept, schedule_of, max_repeat=max_repeat, key=rid, queue=key if key in docs.columns else None).select(
+        rid, F.col("size").alias(size), F.col("u").alias(u), F.explode("placements").alias(place)
     )
     if whole:
         nearer = copies.where(F.col(place)["words"] * 2 >= F.col(size))
-        return kept.join(nearer, rid).orderBy(F.col(place)["position"], F.xxhash64(rid)).select(*docs.columns)
+        return kept.join(nearer, rid).orderBy(F.col(place)["position"], u).select(*docs.columns)
     n = F.col(place)["words"].cast("int")
     head = F.array_join(
         F.zip_with(F.slice(F.split("text", WORD), 1, n), F.slice(words("text"), 1, n), lambda gap, w: F.concat(gap, w)), ""
@@ -193,4 +205,4 @@ def mixed_documents(docs: DataFrame, schedule_of, *, max_repeat: int = 3, whole:
     cut = {"text": F.when(uncut, F.col("text")).otherwise(head)}
     if "n_chars" in docs.columns:
         cut["n_chars"] = F.when(uncut, F.col("n_chars")).otherwise(F.char_length(head)).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(cut).orderBy(F.col(place)["position"], F.xxhash64(rid)).select(*docs.columns)
+    return out.withColumns(cut).orderBy(F.col(place)["position"], u).select(*docs.columns)

@@ -1,18 +1,23 @@
 """Mixing (1), token counts (3), packing (8)."""
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sitesift.llm.common import WORD
+from oracle_harness import compare
+from sitesift.llm.common import WORD, file_row, free, scratch_of, stage
+from sitesift.llm.minhash import one_of_each
 from sitesift.llm.mix import capped_targets, mix, mixed_documents, schedule_segments, training_order
 from sitesift.llm.packing import ByteTokenizer, Plan, pack
 from sitesift.llm.q01_mix import curriculum
+from sitesift.llm.queries import oracle_sql, queries
 from sitesift.llm.tokens import PreTokenizer, token_counts
 
 import re
@@ -85,6 +90,50 @@ def test_mix_on_odd_rows(odd_docs, no_docs):
     assert WORD == r"[^\x20\x09-\x0D]+"
 
 
+SCHEMA = "doc_id long, text string, source string, n_chars long"
+NO_WORDS = [(2, "", "y", 0), (3, None, "y", None), (4, " \n ", "z", 3), (5, None, None, None)]
+
+
+@pytest.mark.parametrize("rows", [[(1, "a b c", "x", 5)] + NO_WORDS, NO_WORDS])
+@pytest.mark.parametrize("whole", [True, False])
+def test_sources_without_words(spark, tmp_path, rows, whole):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.size, r.source_size, r.target, r.taken, r.position, len(r.placements)) for r in mix(docs, curriculum).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k] == (0, 0, 0.0, 0, None, 0) for k in (2, 3, 4, 5))
+    mixed = [r.doc_id for r in mixed_documents(docs, curriculum, whole=whole).collect()]
+    assert mixed == [1] * len(mixed) and bool(mixed) == (rows[0][0] == 1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    query = queries()["op1_curriculum_mix"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    r = compare(query, con, oracle_sql()["op1_curriculum_mix"])
+    assert r["cols_match"] and r["values_match"], r["first_diff"]
+
+
+def test_rows_named_by_their_place(spark, tmp_path, odd_docs):
+    """Stored tables need no copy of their texts; the result is that of any other frame."""
+    odd_docs.repartition(3).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    row = file_row(stored)
+    assert stored.select(row).distinct().count() == stored.count() == odd_docs.count()
+    assert file_row(odd_docs) is None
+    for whole in (True, False):
+        copied = Counter(map(tuple, mixed_documents(stored, curriculum, whole=whole).collect()))
+        assert copied == Counter(map(tuple, mixed_documents(stored, curriculum, whole=whole, row=row).collect()))
+    kept = [Counter((words(r.text) and tuple(words(r.text))) or () for r in one_of_each(stored, part=80, row=x).collect()) for x in (row, None)]
+    assert {k: v for k, v in kept[0].items() if k} == {k: v for k, v in kept[1].items() if k} and kept[0][()] == kept[1][()]
+
+
+def test_free_deletes_what_was_recorded(spark, tmp_path):
+    with scratch_of() as tables:
+        a = stage(spark.range(3), "freed")
+    b = stage(spark.range(4), "kept")
+    assert len(tables) == 1 and a.count() == 3
+    free(spark, tables)
+    assert not os.path.exists(tables[0].removeprefix("file:")) and b.count() == 4
+
+
 def test_mixed_copies_stay_whole(spark, odd_docs):
     """One source of one long document at 5/8 and one at 3/8 of its words, and the odd rows."""
     texts = {1: " ".join(f"a{i}" for i in range(400)), 2: " ".join(f"b{i}" for i in range(400))}
