@@ -2,10 +2,9 @@
 
 Every site's fixed probe URLs (sitemaps, robots.txt, feeds, section paths,
 home page) are generated with an ``explode`` of a literal array and looked
-up in the fetch table with ONE equi-join on ``url``; the probe side is tiny
-per site, so Catalyst/AQE broadcast it when its runtime size allows and the
-archive is scanned once (only ``url, status, body`` columns). Child
-sitemaps and navigation sections need a second lookup of the same shape.
+up in the fetch table with ONE equi-join on ``url`` (``lookup_url``: no body
+moves that nobody asked for). Child sitemaps and navigation sections need a
+second lookup of the same shape.
 
 All rows are kept unless a ``Limits`` argument says otherwise. Generators are
 outer ones with a filter on the generated column: Spark pushes an inner
@@ -23,7 +22,9 @@ from pyspark.sql.window import Window
 from ..functions import urls as U
 from ..functions.text import PY_WHITESPACE
 from ..session import cut_lineage
-from .links import data_attribute_urls, page_links, with_link_array
+from .links import data_attribute_urls, with_link_array
+from .lookup import lookup_url
+from .order import number_within
 
 # Source priority used for the documented candidate order.
 SOURCE_PRIORITY = {"direct": 0, "sitemap": 1, "feed": 2, "section": 3, "spa": 4, "navigation": 5, "rendered": 6}
@@ -82,7 +83,7 @@ def lookup(requests: DataFrame, fetches: DataFrame, ok_only: bool = True) -> Dat
     f = fetches.select("url", "status", "body", "rendered_html", "render_error")
     if ok_only:
         f = f.where(F.col("status") == 200)
-    return requests.join(f, "url", "inner")
+    return lookup_url(requests, f)
 
 
 # ----------------------------------------------------------------- sitemaps
@@ -290,7 +291,7 @@ def discover_navigation(probes: DataFrame, fetches: DataFrame, limits: Limits =
     home = with_link_array(home, "body", "base_url", "links", with_nav=True)
     cand = F.filter("links", lambda e: U.is_nav_link(e["text"], e["href"]) & U.is_same_domain(e["full_url"], F.col("domain")))
     secs = home.select("site", "domain", F.posexplode_outer(_first(cand, limits.nav_sections)).alias("sec_no", "l")).where("sec_no is not null")
-    sec_pages = lookup(secs.select("site", "domain", "sec_no", F.col("l.full_url").alias("url")), fetches)
+    sec_pages = lookup(cut_lineage(secs.select("site", "domain", "sec_no", F.col("l.full_url").alias("url"))), fetches)
     sp = with_link_array(sec_pages.select("site", "domain", "sec_no", "url", "body"), "body", "url", "links", with_nav=False)
     strict = F.filter("links", lambda e: U.is_section_content_url(e["full_url"], F.col("url"), F.col("domain")))
     loose = _first(F.filter("links", lambda e: U.is_loose_link(e["href"], e["full_url"], F.col("url"), F.col("domain"))),
@@ -306,21 +307,25 @@ def discover_navigation(probes: DataFrame, fetches: DataFrame, limits: Limits =
 def api_payload_urls(fetches: DataFrame, sites: DataFrame) -> DataFrame:
     """S6 + C10: JSON API responses of a site -> string values under url/link/href/slug/path.
 
-    A response belongs to the site on whose host the page lies that asked for
-    it (column ``page_url``); where that is null or lacking, to its own host's.
+    A response belongs to the site on whose host, under the same scheme, the
+    page lies that asked for it (column ``page_url``); where that is null or
+    lacking, to its own host's.
     Values under other keys are searched recursively; a non-string value under
     one of those keys is not descended into. One level of nesting is opened
     at a time, as VARIANT, until no object or array is left.
     """
     keys = ["url", "link", "href", "slug", "path"]
     s = sites.select("site", "base_url", U.url_netloc("base_url").alias("domain"))
-    asked_by = F.coalesce("page_url", "url") if "page_url" in fetches.columns else F.col("url")
+    known = "page_url" in fetches.columns
+    asked_by = F.coalesce("page_url", "url") if known else F.col("url")
+    asking_scheme = U.url_scheme("page_url") if known else F.lit(None).cast("string")
     api = fetches.where(
         (F.col("status") == 200)
         & F.lower(F.coalesce(F.col("content_type"), F.lit(""))).contains("json")
         & (F.exists(_lit_array(API_URL_SUFFIXES), lambda sfx: F.col("url").endswith(sfx)) | F.col("url").contains("api"))
-    ).select(U.url_netloc(asked_by).alias("domain"), "url", F.try_parse_json("body").alias("v"))
-    frontier = api.join(s, "domain").select("site", "base_url", "domain", F.col("url").alias("api_url"), "v")
+    ).select(U.url_netloc(asked_by).alias("domain"), asking_scheme.alias("scheme"), "url", F.try_parse_json("body").alias("v"))
+    same_scheme = F.col("scheme").isNull() | (F.col("scheme") == U.url_scheme("base_url"))
+    frontier = api.join(s, "domain").where(same_scheme).select("site", "base_url", "domain", F.col("url").alias("api_url"), "v")
     found = None
     while True:
         frontier = cut_lineage(frontier)
@@ -397,7 +402,8 @@ def source_candidates(sites: DataFrame, fetches: DataFrame, limits: Limits = ALL
     acc1 = cut_lineage(base.unionByName(spa))
     n1 = s.join(_distinct_count(acc1, "n1"), "site", "left").fillna(0, ["n1"])
     nav_sites = n1.where(F.col("n1") < WATERFALL_MIN).select("site")
-    nav = discover_navigation(probes.join(nav_sites, "site", "left_semi"), fetches, limits).select("site", "url", "source", "lastmod")
+    nav = discover_navigation(probes.join(nav_sites, "site", "left_semi"), fetches, limits)
+    nav = nav.select("site", "url", "source", "lastmod").distinct()  # T3
     acc2 = cut_lineage(acc1.unionByName(nav))
     n2 = s.join(_distinct_count(acc2, "n2"), "site", "left").fillna(0, ["n2"])
     r_sites = n2.where((F.col("n2") < WATERFALL_MIN) & F.col("use_browser")).select("site")
@@ -408,7 +414,8 @@ def source_candidates(sites: DataFrame, fetches: DataFrame, limits: Limits = ALL
 
 def rank_candidates(cands: DataFrame) -> DataFrame:
     """T1 + the documented order: one row per (site, url) with its best source;
-    ord = row_number by (source priority, lastmod desc nulls last, url)."""
+    ord numbers a site's URLs by (source priority, lastmod desc nulls last, url).
+    No task holds a whole site."""
     prio = F.create_map(*[x for k, v in SOURCE_PRIORITY.items() for x in (F.lit(k), F.lit(v))])
     newest_first = F.coalesce(-F.datediff("lastmod", F.lit("1970-01-01")), F.lit(1 << 30))
     c = cands.withColumn("prio", prio[F.col("source")])
@@ -417,5 +424,5 @@ def rank_candidates(cands: DataFrame) -> DataFrame:
     )
     best = best.select("site", "url", F.col("b.prio").alias("prio"), F.col("b.source").alias("source"),
                        F.col("b.lastmod").alias("lastmod"))
-    w = Window.partitionBy("site").orderBy("prio", F.col("lastmod").desc_nulls_last(), "url")
-    return best.withColumn("ord", F.row_number().over(w)).drop("prio")
+    order = [F.col("prio"), F.col("lastmod").desc_nulls_last(), F.col("url")]
+    return number_within(best, "site", order, "ord").drop("prio")

@@ -82,4 +82,4 @@ def data_attribute_urls(df: DataFrame, html: str, keys) -> DataFrame:
         F.nullif(F.concat(*(F.regexp_extract("tag", r"(?is)\sdata-" + a + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", g)
                             for g in (1, 2, 3))), F.lit("")) for a in DATA_ATTRS
     ]
-    return x.select(*keys, "pos", F.coalesce(*vals).alias("value")).where(F.col("value").isNotNull())
+    return x.select(*keys, "pos", decode_entities(F.coalesce(*vals)).alias("value")).where(F.col("value").isNotNull())

@@ -8,7 +8,7 @@ from ..functions.urls import url_netloc
 from ..operators import discover as D
 from ..operators.links import NAV_SPAN_RE, page_links
 from ..sources.archive import read_table
-from ..sources.crawl import crawl_fixture
+from ..sources.crawl import KINDS, LARGE, site_archive
 from ..session import cut_lineage
 from . import sqlparts as S
 from .catalog import register
@@ -53,22 +53,73 @@ def h1_link_quoting(spark, sf_dir):
     return lk.select("page_id", url_netloc("page_url").alias("site"), "pos", "from_nav", "href", "text", "full_url")
 
 
-def _crawl(spark, sf_dir):
-    sites, fetches = crawl_fixture(read_table(spark, sf_dir, "pages"))
-    return cut_lineage(sites), cut_lineage(fetches)
-
-
-@register("p1_discover")
+#: URLs per sitemap file in these queries: small, so that sites have several.
+PER_FILE = 10
+
+
+def crawl(spark, sf_dir):
+    return site_archive(read_table(spark, sf_dir, "pages"), per_file=PER_FILE)
+
+
+# What every source must give, straight from the page table: no document is
+# built or read, a site's kind alone says where its URLs turn up.
+_KIND_LIST = "[" + ", ".join(S.q(k) for k in KINDS) + "]"
+CANDIDATES_SQL = f"""
+u AS (
+  SELECT DISTINCT url, {S.url_netloc('url')} AS domain, {S.url_scheme('url')} || '://' || {S.url_netloc('url')} || '/' AS site,
+         ('0x' || substr(md5(url), 1, 8))::BIGINT AS x
+  FROM pages WHERE {S.url_netloc('url')} <> '' AND {S.url_scheme('url')} <> ''),
+s AS (
+  SELECT site, min(domain) AS domain, count(*) AS n, ('0x' || substr(md5(site), 1, 6))::BIGINT AS h FROM u GROUP BY site),
+k AS (SELECT site, domain, {_KIND_LIST}[CASE WHEN n > {LARGE} THEN h % 2 ELSE h % {len(KINDS)} END + 1] AS kind FROM s),
+w AS (SELECT u.*, k.kind, CASE WHEN x % 5 <> 0 THEN DATE '2024-01-01' + (x % 90)::INTEGER END AS day FROM u JOIN k USING (site)),
+base AS (
+  SELECT site, url, 'sitemap' AS source, day AS lastmod FROM w
+  WHERE (kind IN ('sitemap', 'robots') OR (kind = 'atom_and_sitemap' AND x % 2 = 0)) AND {S.is_content_url('url', 'domain')}
+  UNION ALL SELECT site, url, 'feed', NULL FROM w WHERE kind IN ('feed', 'atom_and_sitemap')
+  UNION ALL SELECT site, url, 'section', NULL FROM w WHERE kind = 'section' AND {S.is_content_url('url', 'domain')}),
+n0 AS (SELECT k.*, (SELECT count(DISTINCT url) FROM base WHERE base.site = k.site) AS n FROM k),
+spa AS (
+  SELECT w.site, w.url, 'spa' AS source, NULL::DATE AS lastmod FROM w JOIN n0 USING (site)
+  WHERE n < 5 AND w.kind IN ('feed', 'home') AND {S.is_content_url('w.url', 'w.domain')}
+  UNION ALL SELECT site, site || 'articles/all-of-them', 'spa', NULL FROM n0 WHERE n < 5 AND kind IN ('feed', 'home')),
+acc1 AS (SELECT * FROM base UNION ALL SELECT * FROM spa),
+n1 AS (SELECT k.*, (SELECT count(DISTINCT url) FROM acc1 WHERE acc1.site = k.site) AS n FROM k),
+section_links AS (
+  SELECT w.site, w.url, {S.is_section_content_url('w.url', "w.site || 'all-pages'", 'w.domain')} AS strict
+  FROM w JOIN n1 USING (site) WHERE n < 5 AND w.kind = 'navigation'),
+nav AS (
+  SELECT site, url, 'navigation' AS source, NULL::DATE AS lastmod FROM section_links l
+  WHERE strict OR NOT EXISTS (SELECT 1 FROM section_links o WHERE o.site = l.site AND o.strict)),
+acc2 AS (SELECT * FROM acc1 UNION ALL SELECT * FROM nav),
+n2 AS (SELECT k.*, (SELECT count(DISTINCT url) FROM acc2 WHERE acc2.site = k.site) AS n FROM k),
+found AS (
+  SELECT * FROM acc2
+  UNION ALL SELECT w.site, w.url, 'rendered', NULL FROM w JOIN n2 USING (site)
+  WHERE n < 5 AND w.kind = 'rendered' AND {S.is_rendered_content_url('w.url')}),
+best AS (
+  SELECT *, list_position(['direct', 'sitemap', 'feed', 'section', 'spa', 'navigation', 'rendered'], source) AS prio FROM found
+  QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY prio, lastmod DESC NULLS LAST) = 1),
+ranked AS (
+  SELECT site, url, source, lastmod, row_number() OVER (PARTITION BY site ORDER BY prio, lastmod DESC NULLS LAST, url) AS ord FROM best)"""
+
+
+@register("p1_discover", f"WITH {CANDIDATES_SQL.strip()}\nSELECT site, url, source, lastmod::VARCHAR AS lastmod, ord FROM ranked")
 def p1_discover(spark, sf_dir):
-    """Sitemaps, feeds, sections, then SPA / navigation / rendered by the <5 waterfall; ranked."""
-    sites, fetches = _crawl(spark, sf_dir)
-    return D.discover(sites, fetches)
+    """Sitemaps, feeds, sections, then SPA / navigation / rendered by the <5 waterfall, over all pages; ranked."""
+    sites, fetches = crawl(spark, sf_dir)
+    return D.discover(sites, fetches).withColumn("lastmod", F.col("lastmod").cast("string"))
 
 
-@register("p1_source_counts")
+@register(
+    "p1_source_counts",
+    f"""WITH {CANDIDATES_SQL.strip()}
+SELECT site, source, count(*) AS n_urls, (SELECT count(DISTINCT url) FROM found o WHERE o.site = found.site) AS n_distinct
+FROM found GROUP BY site, source""",
+)
 def p1_source_counts(spark, sf_dir):
     """A4: URLs that each source gives, before the union-distinct; A3: distinct URLs per site."""
-    sites, fetches = _crawl(spark, sf_dir)
+    sites, fetches = crawl(spark, sf_dir)
     c = cut_lineage(D.source_candidates(sites, fetches))
     total = c.select("site", "url").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("n_distinct"))
     return c.groupBy("site", "source").agg(F.count(F.lit(1)).alias("n_urls")).join(total, "site")
@@ -76,11 +127,20 @@ def p1_source_counts(spark, sf_dir):
 
 # ------------------------------------------- single-page discovery steps
 # Each page is taken as the fetched home / section page of its own host, with
-# a quarter of its links rewritten to blog and dated paths (crawl._variant).
+# a quarter of its links rewritten to blog and dated paths.
+
+def _variant(html, pid):
+    """Rewrite root-relative hrefs on half of the pages so that links look
+    like blog posts or dated posts (otherwise every link is /word)."""
+    return (
+        F.when(pid % 4 == 0, F.replace(html, F.lit('href="/'), F.lit('href="/blog/')))
+        .when(pid % 4 == 1, F.replace(html, F.lit('href="/'), F.lit('href="/2024/05/')))
+        .otherwise(html)
+    )
+
 
 def _as_probe_pages(spark, sf_dir):
     from ..functions.urls import url_scheme
-    from ..sources.crawl import _variant
 
     p = read_table(spark, sf_dir, "pages")
     return p.select(

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.urls import url_netloc
+from ..functions.urls import route, url_netloc
 from ..sources.archive import pages_as_fetches, read_table
+from ..sources.crawl import site_root
 from . import scrape as SC
 from . import sqlparts as S
 from . import sqlplans as P
 from .catalog import register
+from .q_links import CANDIDATES_SQL, crawl
 
 MAX_ITEMS = 10  # the web API's default request size (O2), used where that limit is the feature
 
@@ -98,13 +100,30 @@ def k2_k4_site_results(spark, sf_dir):
     )
 
 
-@register("p8_scrape_crawl")
-def p8_scrape_crawl(spark, sf_dir):
-    """P8 on the derived crawl: route, discovery waterfall, extract, process; all candidates."""
-    from ..session import cut_lineage
-    from ..sources.crawl import crawl_fixture
+# Sites of one page are given by that page's URL, the others are discovered.
+_CRAWL_SQL = f"""
+  SELECT c.site, c.ord AS page_id, c.url, 200 AS status, p.html AS body, CAST(NULL AS VARCHAR) AS rendered_html,
+         CAST(NULL AS VARCHAR) AS render_error
+  FROM (SELECT ranked.* FROM ranked JOIN s USING (site) WHERE s.n > 1
+        UNION ALL SELECT u.site, u.url, 'direct', NULL, 1 FROM u JOIN s USING (site) WHERE s.n = 1 AND {S.route('u.url')} = 'direct'
+        UNION ALL SELECT ranked.* FROM ranked JOIN s USING (site) JOIN u USING (site) WHERE s.n = 1 AND {S.route('u.url')} <> 'direct') c
+  JOIN (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) p ON p.url = c.url
+"""
 
-    sites, fetches = crawl_fixture(read_table(spark, sf_dir, "pages"), max_items=None)
-    sites, fetches = cut_lineage(sites), cut_lineage(fetches)
+
+@register("p8_scrape_crawl", f"""
+WITH RECURSIVE {CANDIDATES_SQL.strip()},
+{P.extracted(_CRAWL_SQL, use_browser=False).strip()},
+{P.dedup('items').strip()},
+{P.chunked('deduped', 8000).strip()}
+SELECT site, ord, part, title, md5(content) AS content_md5, content_type, source_url FROM chunked
+""")
+def p8_scrape_crawl(spark, sf_dir):
+    """P8 over all pages: route, discovery waterfall, lookup, extract, process; all candidates."""
+    sites, fetches = crawl(spark, sf_dir)
+    single = read_table(spark, sf_dir, "pages").select("url", site_root("url").alias("site")).distinct().groupBy("site").agg(
+        F.count(F.lit(1)).alias("n"), F.min("url").alias("only")).where("n = 1")
+    sites = sites.join(single, "site", "left").withColumn(
+        "base_url", F.when(route("only") == "direct", F.col("only")).otherwise(F.col("base_url"))).drop("n", "only")
     it = SC.scrape_items(sites, fetches)
     return it.select("site", "ord", "part", "title", F.md5("content").alias("content_md5"), "content_type", "source_url")

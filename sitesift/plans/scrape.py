@@ -23,6 +23,7 @@ from ..operators.chunking import chunk_items
 from ..operators.dedup import deduplicate
 from ..operators.discover import discover
 from ..operators.extract import extract, items_of
+from ..operators.lookup import lookup_url
 from ..session import cut_lineage
 
 API_CONTENT_CUT = 5000
@@ -48,7 +49,7 @@ def scrape_items(sites: DataFrame, fetches: DataFrame, cands: DataFrame | None =
     limited = cands.join(sites.select("site", "max_items", "use_browser", "chunk_size"), "site") \
         .where(F.col("max_items").isNull() | (F.col("ord") <= F.col("max_items")))                                   # O1
     f = fetches.select("url", "status", "content_type", "body", "rendered_html", "render_error")
-    looked = limited.join(f, "url", "inner")                                         # J2
+    looked = lookup_url(limited, f)                                                  # J2
     items = items_of(extract(looked, use_browser="use_browser"), keys=("site", "ord", "chunk_size"))
     items = cut_lineage(items)  # extraction is the costly stage; dedup reads it twice
     dd = deduplicate(items)
