@@ -53,22 +53,23 @@ FROM o LEFT JOIN k ON k.r = o.r LEFT JOIN l ON l.r = o.r LEFT JOIN best ON best.
 """
 
 
-def planted(key, text):
-    """A tenth of the texts: from a place on, the words that stand there repeat."""
-    h = F.crc32(key.cast("string"))
-    w = words(text)
-    g = F.floor(h / 10)
-    a = F.pmod(g, F.size(w)).cast("int")
-    p = 1 + F.floor((F.size(w) - a) / (3 + F.pmod(g, F.lit(8))))
-    tail = F.transform(F.sequence(F.lit(0), F.size(w) - a - 1), lambda i: F.get(w, (a + F.pmod(i, p)).cast("int")))
-    return F.when((h % 10 == 0) & (F.size(w) > 0), F.array_join(F.concat(F.slice(w, 1, a), tail), " ")).otherwise(text)
+def planted(docs):
+    """doc_id and text, a tenth of the texts planted: from a place on, the words that stand there repeat."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    # the words are a column of their own: inside the lambda below they would be found anew for every word
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words("text")).alias("w"))
+    n, g = F.size("w"), F.col("g")
+    a = F.pmod(g, n).cast("int")
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    tail = F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.get("w", (a + F.pmod(i, p)).cast("int")))
+    repeated = F.array_join(F.concat(F.slice("w", 1, a), tail), " ")
+    return split.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
 
 
 @register("op13_periodic_runs", SQL)
 def op13_periodic_runs(spark, sf_dir):
     """Runs of every document: their number, the strongest, digests of all and of the collapsed text."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
-    found = periodic_runs(docs)
+    found = periodic_runs(planted(read(spark, sf_dir, "documents")))
     strongest = F.aggregate(
         "runs", F.get("runs", F.lit(0)),
         lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best),
