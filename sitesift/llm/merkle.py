@@ -142,9 +142,12 @@ def manifest(docs: DataFrame, fields: Sequence[str], *, key: str = "doc_id", sou
     )
     levels = _levels(stage(_numbered(rows, "node", "key", "digest"), "merkle-numbered"), fan_out)
     subroots = _tops(levels).select(F.lit("").alias("node"), F.col("node").alias("tree"), "digest")
-    upper = _levels(_numbered(subroots, "node", "tree"), fan_out)
+    upper = _levels(stage(_numbered(subroots, "node", "tree"), "merkle-subroots"), fan_out)
     top = _tops(upper).select("node", F.col("digest").alias("root"), empty.alias("path"))
-    sources = _with_paths(upper, top, fan_out).select(F.col("tree").alias("node"), F.col("digest").alias("subroot"), "root", "path")
+    sources = stage(
+        _with_paths(upper, top, fan_out).select(F.col("tree").alias("node"), F.col("digest").alias("subroot"), "root", "path"),
+        "merkle-sources",
+    )
     out = _with_paths(levels, sources, fan_out)
     return out.select(
         F.col("key").alias(key), F.col("of_source").alias(source), F.col("digest").alias("leaf"), "path", "subroot", "root",
