@@ -9,7 +9,8 @@ verified on the words themselves by edit distance.
 
 Nothing is missed: e edits leave at least L - k + 1 - k e of a template's grams
 whole, on diagonals that are at most e apart; these are the bounds used. Hits
-are few and small; texts are joined again only where a text has a candidate.
+are few and small. Texts are read again to verify, and pass a broadcast bitmap
+of the candidates (of bounded size) before the exact join moves them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..operators.lookup import BITS_PER_URL, MAX_BITS, asked_for
 from .common import ascii_lower, scratch, stage
 
 # Fixed value: words are runs of digits, letters and all characters beyond ASCII, A-Z lower-cased before.
@@ -188,6 +190,9 @@ def license_spans(docs: DataFrame, templates: Sequence[Template], *, key: str =
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(spans, arrow_spans)], ["text_id", "spans"])
 
     arrow_spans = to_arrow_type(spark.createDataFrame([], f"spans {SPANS}").schema["spans"].dataType)
+    n = spots.count()
+    if n * BITS_PER_URL <= MAX_BITS:  # else nearly no text would be left out
+        texts = asked_for(texts, spots, n, "text_id")
     found = texts.join(spots, "text_id").select("text_id", "text", "spots").mapInArrow(verify, f"text_id string, spans {SPANS}")
     found = stage(found.groupBy("text_id").agg(F.first("spans").alias("spans")), "license-spans")
     rows = docs.select(F.col(key).alias("key"), F.sha2(whole, 256).alias("text_id"), F.size(text_words(whole)).cast("long").alias("n_words"))
