@@ -1,9 +1,8 @@
-"""HTML column functions: cleaning, title, main content, markdown, visible text.
+"""HTML column functions: cleaning, visible text, title and main content.
 
 HTML in a crawl archive is not well-formed, so it is never parsed as XML.
-Every step is a regex rewrite or an array fold evaluated inside the JVM.
-Patterns keep to the subset shared by Java regex and RE2 (no look-around,
-no back-references) so that the DuckDB oracle can run the same ones.
+Every step is a regex rewrite or an array fold evaluated inside the JVM; what
+depends on nesting goes through the element tree (``functions/tree.py``).
 """
 
 from __future__ import annotations
@@ -11,70 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import PY_WHITESPACE, col_, decode_entities, py_strip, strip_tags
+from .text import built_once, col_, decode_entities, strip_tags
+from .tree import MAIN, TITLES, first_of, first_text, largest_block, with_tree
 
 # Comments, scripts and styles go first: scripts may hold markup text.
 NOISE_RE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-# Page chrome removed before title and content extraction.
-CHROME_RE = (
-    r"(?is)<nav\b[^>]*>.*?</nav\s*>|<footer\b[^>]*>.*?</footer\s*>"
-    r"|<header\b[^>]*>.*?</header\s*>|<aside\b[^>]*>.*?</aside\s*>"
-)
 # Hidden parts for visible text.
 HEAD_RE = r"(?is)<head\b[^>]*>.*?</head\s*>"
 
-BLOCK_TAG_RE = r"(?is)<(/?)(?:div|section)\b[^>]*>"
-
-# Main-content selectors in priority order (after <main>,
-# <article>), written as (attribute, value).
-CONTENT_SELECTORS = [
-    ("role", "main"),
-    ("class", "content"),
-    ("class", "main-content"),
-    ("class", "post-content"),
-    ("class", "article-content"),
-    ("class", "blog-content"),
-    ("id", "content"),
-    ("id", "main"),
-    ("class", "entry-content"),
-    ("class", "post-body"),
-]
-# Title selectors after <h1>, before <title>.
-TITLE_CLASSES = ["post-title", "article-title", "entry-title"]
-
-
-def _attr_re(attr: str, value: str) -> str:
-    if attr == "class":
-        return r'\bclass="(?:[^"]*\s)?' + value + r'(?:\s[^"]*)?"'
-    return r"\b" + attr + r'="' + value + r'"'
-
-
-def start_re(tag: str) -> str:
-    """A start tag of the element."""
-    return r"(?is)<" + tag + r"(?:[\s/][^>]*)?>"
-
-
-def selector_re(attr: str, value: str) -> str:
-    """A start tag of any element with the attribute, in either kind of quotes."""
-    if attr == "class":
-        quoted = r'"(?:[^"]*\s)?' + value + r'(?:\s[^"]*)?"' + r"|'(?:[^']*\s)?" + value + r"(?:\s[^']*)?'"
-    else:
-        quoted = f'"{value}"|' + f"'{value}'"
-    return r"(?is)<[a-z][a-z0-9]*\s(?:[^>]*\s)?" + attr + r"\s*=\s*(?:" + quoted + r")[^>]*>"
-
-
-def element_re(tag: str) -> str:
-    return r"(?is)<" + tag + r"\b[^>]*>(.*?)</" + tag + r"\s*>"
-
-
 def remove_noise(html) -> Column:
     return F.regexp_replace(col_(html), NOISE_RE, "")
 
 
-def remove_chrome(clean_html) -> Column:
-    return F.regexp_replace(col_(clean_html), CHROME_RE, "")
-
-
 def text_of(fragment) -> Column:
     """``get_text()``: tags dropped, entities decoded."""
     return decode_entities(strip_tags(fragment))
@@ -86,137 +33,24 @@ def visible_text(html) -> Column:
     return text_of(h)
 
 
-def _extract_or_null(html: Column, pattern: str) -> Column:
-    return F.when(html.rlike(pattern), text_of(F.regexp_extract(html, pattern, 1)))
-
-
-def title_patterns() -> list:
-    pats = [element_re("h1")]
-    for cls in TITLE_CLASSES:
-        pats.append(
-            r"(?is)<(?:h[1-6]|div|span|a|p)\b[^>]*" + _attr_re("class", cls) + r"[^>]*>(.*?)</(?:h[1-6]|div|span|a|p)\s*>"
-        )
-    pats.append(element_re("title"))
-    return pats
-
-
-def page_title(body) -> Column:
-    """First non-blank of h1, the title classes, <title>; else 'Untitled'.
-
-    ``body`` is HTML after noise and chrome removal (a column reference:
-    it is read once per pattern).
-    """
-    b = col_(body)
-    cands = F.array(*[py_strip(_extract_or_null(b, p)) for p in title_patterns()])
-    first = F.try_element_at(F.filter(cands, lambda x: x.isNotNull() & (x != "")), F.lit(1))
-    return F.coalesce(first, F.lit("Untitled"))
-
-
-def with_semantic_main(df: DataFrame, body: str, out: str) -> DataFrame:
-    """Add ``out``: inner HTML of <main>, else <article>, else the first
-    element of the first selector that hits; NULL if none.
-
-    From the start tag on, the tags of the same name are folded with a depth
-    counter, and the element ends where the depth returns to zero (at the end
-    of the page if it never does). The accumulator is two numbers and the
-    content is cut once, so the work is linear in the page.
-    """
-    t = "__sm_"
-    pats = [start_re("main"), start_re("article")] + [selector_re(a, v) for a, v in CONTENT_SELECTORS]
-    b = F.col(body)
-    df = df.withColumn(t + "open", F.coalesce(*(F.nullif(F.regexp_extract(b, p, 0), F.lit("")) for p in pats)))
-    opened = F.col(t + "open")
-    df = df.withColumn(t + "rest", F.substr(b, F.position(opened, b) + F.length(opened)))
-    tag = F.lower(F.regexp_extract(opened, r"<([a-zA-Z][a-zA-Z0-9]*)", 1))
-    df = df.withColumn(t + "re", F.concat(F.lit(r"(?is)<(/?)"), tag, F.lit(r"(?:[\s/][^>]*)?>")))
-    rest, pattern = F.col(t + "rest"), F.col(t + "re")
-    df = df.withColumn(t + "close", F.regexp_extract_all(rest, pattern, F.lit(1)))
-    df = df.withColumn(t + "tags", F.regexp_extract_all(rest, pattern, F.lit(0)))
-    df = df.withColumn(t + "segs", F.split(rest, pattern))
-
-    def step(acc, i):
-        depth = acc["depth"] + F.when(F.get(t + "close", i) == "/", F.lit(-1)).otherwise(F.lit(1))
-        found = acc["end"].isNull() & (depth == 0)
-        return F.struct(depth.alias("depth"), F.when(found, i).otherwise(acc["end"]).alias("end"))
-
-    idx = F.when(F.size(t + "close") > 0, F.sequence(F.lit(0), F.size(t + "close") - 1)).otherwise(F.array().cast("array<int>"))
-    init = F.struct(F.lit(1).alias("depth"), F.lit(None).cast("int").alias("end"))
-    df = df.withColumn(t + "end", F.aggregate(idx, init, step, lambda acc: acc["end"]))
-    end = F.col(t + "end")
-    inner = F.array_join(F.zip_with(F.slice(t + "segs", 1, end + 1), F.slice(t + "tags", 1, end), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
-    df = df.withColumn(out, F.when(opened.isNotNull(), F.coalesce(inner, rest)))
-    return df.drop(*(t + c for c in ("open", "rest", "re", "close", "tags", "segs", "end")))
-
-
-def _block_fold(tags: str, lens: str) -> Column:
-    """Best outermost block as (first, end) segment numbers. The accumulator is
-    a few numbers, so the fold is linear in the number of tags: ``lens`` holds
-    the text length after each tag, and a block's text is the sum of its
-    segments' (tags never split a segment's text)."""
-    names = ("depth", "start", "size", "best", "first", "end")
-    init = F.struct(*(F.lit(v).alias(n) for n, v in zip(names, (0, 0, 0, -1, 0, 0))))
-
-    def step(acc, i):
-        closes = F.get(tags, i) == "/"
-        d0 = acc["depth"]
-        d1 = F.when(closes, F.greatest(d0 - 1, F.lit(0))).otherwise(d0 + 1)
-        done = closes & (d0 == 1) & (acc["size"] > acc["best"])
-        opens = ~closes & (d0 == 0)
-        return F.struct(
-            d1.alias("depth"),
-            F.when(opens, i + 1).otherwise(acc["start"]).alias("start"),
-            F.when(opens, F.get(lens, i + 1)).when(d1 > 0, acc["size"] + F.get(lens, i + 1)).otherwise(F.lit(0)).alias("size"),
-            F.when(done, acc["size"]).otherwise(acc["best"]).alias("best"),
-            F.when(done, acc["start"]).otherwise(acc["first"]).alias("first"),
-            F.when(done, i + 1).otherwise(acc["end"]).alias("end"),
-        )
-
-    idx = F.when(F.size(tags) > 0, F.sequence(F.lit(0), F.size(tags) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(idx, init, step)
-
-
-def with_largest_block(df: DataFrame, body: str, out: str) -> DataFrame:
-    """Add ``out``: inner HTML of the outermost div/section with the longest
-    text (first on ties) when that text exceeds 200 characters, else NULL.
-
-    A parent's text contains its children's, so the longest block is always
-    an outermost one. The tag list is folded with a depth counter (nesting
-    handled without a parser; an unclosed block runs to the end) and the
-    winner is cut out once. Each step is its own projection so that no regex
-    is re-evaluated inside the fold.
-    """
-    t = "__lb_"
-    df = df.withColumn(t + "tags", F.regexp_extract_all(F.col(body), F.lit(BLOCK_TAG_RE), 1)).withColumn(
-        t + "segs", F.split(F.col(body), BLOCK_TAG_RE)
-    )
-    df = df.withColumn(t + "lens", F.transform(t + "segs", lambda x: F.length(text_of(x))))
-    df = df.withColumn(t + "fold", _block_fold(t + "tags", t + "lens"))
-    f = F.col(t + "fold")
-    is_open = (f["depth"] > 0) & (f["size"] > f["best"])  # an unclosed block
-    best = F.when(is_open, f["size"]).otherwise(f["best"])
-    first = F.when(is_open, f["start"]).otherwise(f["first"])
-    end = F.when(is_open, F.size(t + "segs")).otherwise(f["end"])
-    df = df.withColumn(out, F.when(best > 200, F.array_join(F.slice(t + "segs", first + 1, F.greatest(end - first, F.lit(0))), "")))
-    return df.drop(t + "tags", t + "segs", t + "lens", t + "fold")
-
-
-# Markdown rewrites, applied in this order to the main element's inner HTML.
-def to_markdown(fragment) -> Column:
-    """Headings, single-text paragraphs, list items, links and code as markdown."""
-    x = col_(fragment)
-    for lvl in range(1, 7):
-        x = F.regexp_replace(x, r"(?is)<h" + str(lvl) + r"\b[^>]*>(.*?)</h" + str(lvl) + r"\s*>", "#" * lvl + " $1\n\n")
-    x = F.regexp_replace(x, r"(?is)<p\b[^>]*>([^<]+)</p\s*>", "$1\n\n")
-    x = F.regexp_replace(x, r"(?is)<li\b[^>]*>", "- ")
-    x = F.regexp_replace(x, r"(?is)</li\s*>", "\n")
-    x = F.regexp_replace(x, r"(?is)</(?:ul|ol)\s*>", "\n")
-    x = F.regexp_replace(x, r'(?is)<a\b[^>]*\bhref="([^"]+)"[^>]*>([^<]+)</a\s*>', "[$2]($1)")
-    x = F.regexp_replace(x, r"(?is)<(?:code|pre)\b[^>]*>([^<]*)</(?:code|pre)\s*>", "`$1`")
-    return text_of(x)
-
-
-__all__ = [
-    "NOISE_RE", "CHROME_RE", "PY_WHITESPACE", "remove_noise", "remove_chrome", "text_of", "visible_text",
-    "page_title", "with_semantic_main", "with_largest_block", "to_markdown",
-    "selector_re", "element_re", "start_re",
-]
+def with_content(df: DataFrame, html: str, p: str) -> DataFrame:
+    """Add ``p``-prefixed columns of the page in column ``html``: the arrays of
+    its tree (``tree.with_tree``), main (number of the main element, null if
+    none) and block (number of the largest block, null if none)."""
+    df = df.select("*", remove_noise(html).alias(p + "clean"))
+    df = with_tree(df, p + "clean", p).drop(p + "clean")
+    for step in _content_steps(p):
+        df = df.select("*", *step)
+    return df
+
+
+@built_once
+def _content_steps(p: str) -> list[list[Column]]:
+    lens = F.transform(p + "segs", lambda x: F.length(decode_entities(x)))
+    return [[first_of(p, MAIN)["at"].alias(p + "main"), lens.alias(p + "lens")], [largest_block(p, F.col(p + "lens")).alias(p + "block")]]
+
+
+@built_once
+def page_title(p: str) -> Column:
+    """First non-blank of h1, the title classes, <title>, outside the chrome; else 'Untitled'."""
+    return F.coalesce(first_text(p, TITLES), F.lit("Untitled"))

@@ -7,9 +7,10 @@ no Python runs per row.
 from __future__ import annotations
 
 import json
+from functools import wraps
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The characters Python's str.strip()/str.split() treat as white space,
@@ -29,6 +30,22 @@ ENTITY_RE = r"&(?:#([0-9]{1,7});?|#[xX]([0-9a-fA-F]{1,6});?|([A-Za-z][A-Za-z0-9]
 ENTITY_NAMES = json.dumps({k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'"})
 
 
+_BUILT: dict = {}
+
+
+def built_once(function):
+    """Keep what ``function`` builds of its names: large expressions take
+    thousands of calls into the JVM, and columns can be used again."""
+    @wraps(function)
+    def build(*names):
+        key = (SparkSession.active().sparkContext.applicationId, function.__module__, function.__name__, names)
+        if key not in _BUILT:
+            _BUILT[key] = function(*names)
+        return _BUILT[key]
+
+    return build
+
+
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -12,19 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import with_content_type
-from ..functions.html import page_title, remove_chrome, remove_noise, to_markdown, with_largest_block, with_semantic_main
+from ..functions.classify import title_or_markdown, with_content_type
+from ..functions.html import page_title, with_content
 from ..functions.quality import ITEM_MIN_CHARS, is_error_content, with_error_page, with_fetch_gate
 from ..functions.text import py_strip
+from ..functions.tree import with_markdown
 
 ITEM_FIELDS = ["title", "content", "content_type", "source_url"]
 
 
-def _accepted(c: str):
-    # The extractor's own >=100 floor is implied by the item's >200 rule.
-    return F.when(F.length(py_strip(F.col(c))) > ITEM_MIN_CHARS, F.col(c))
-
-
 def with_extracted(df: DataFrame, html: str, prefix: str) -> DataFrame:
     """Add ``{prefix}title`` / ``{prefix}content`` / ``{prefix}ok`` for one HTML copy.
 
@@ -33,21 +29,20 @@ def with_extracted(df: DataFrame, html: str, prefix: str) -> DataFrame:
     when the precise one yields nothing. The first with over 200 stripped
     characters wins (H7). ``ok`` also rejects error-like items (F13).
     """
-    p = prefix
-    df = df.withColumn(p + "bd", remove_chrome(remove_noise(F.col(html))))
-    df = with_semantic_main(df, p + "bd", p + "main")
-    df = df.withColumn(p + "pmd", to_markdown(F.col(p + "main")))
-    df = df.withColumn(p + "precise", _accepted(p + "pmd"))
-    df = df.withColumn(p + "bd2", F.when(F.col(p + "precise").isNull(), F.col(p + "bd")))
-    df = with_largest_block(df, p + "bd2", p + "block")
-    df = df.withColumn(p + "lmd", to_markdown(F.col(p + "block")))
-    df = df.withColumn(p + "content", F.coalesce(F.col(p + "precise"), _accepted(p + "lmd")))
-    df = df.withColumn(p + "title", F.when(F.col(p + "content").isNotNull(), page_title(F.col(p + "bd"))))
-    df = df.withColumn(
-        p + "ok",
-        F.col(p + "content").isNotNull() & ~F.coalesce(is_error_content(F.col(p + "content"), F.col(p + "title")), F.lit(False)),
-    )
-    return df.drop(p + "bd", p + "main", p + "pmd", p + "precise", p + "bd2", p + "block", p + "lmd")
+    p, t = prefix, "__t_"  # the same names for both copies: their expressions are built once
+    df = with_content(df, html, t)
+    accepted = lambda c: F.when(F.length(py_strip(F.col(c))) > ITEM_MIN_CHARS, F.col(c))
+    df = with_markdown(df, t, t + "main", t + "precise")
+    df = df.select("*", accepted(t + "precise").alias(t + "first"))
+    df = df.select("*", F.when(F.col(t + "first").isNull(), F.col(t + "block")).alias(t + "second"))
+    df = with_markdown(df, t, t + "second", t + "lenient")
+    df = df.select("*", F.coalesce(t + "first", accepted(t + "lenient")).alias(p + "content"))
+    own = title_or_markdown(F.when(F.col(p + "content").isNotNull(), F.nullif(page_title(t), F.lit("Untitled"))), p + "content")
+    df = df.select("*", F.when(F.col(p + "content").isNotNull(), own).alias(p + "title"))
+    df = df.select("*", (
+        F.col(p + "content").isNotNull() & ~F.coalesce(is_error_content(F.col(p + "content"), F.col(p + "title")), F.lit(False))
+    ).alias(p + "ok"))
+    return df.drop(*(c for c in df.columns if c.startswith(t)))
 
 
 def extract(fetches: DataFrame, use_browser=True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as CL
 from ..functions import html as H
 from ..functions import quality as Q
+from ..functions import tree as T
 from ..functions.text import py_strip
 from ..operators.dedup import deduplicate
 from ..session import cut_lineage
@@ -19,7 +20,7 @@ from .catalog import register
 # ----------------------------------------------------------------- flagship
 
 FLAGSHIP_SQL = f"""
-WITH {P.extracted(P.fetches_plain(), use_browser=False).strip()},
+WITH RECURSIVE {P.extracted(P.fetches_plain(), use_browser=False).strip()},
 {P.dedup('items').strip()}
 SELECT site, content_type, count(*)::BIGINT AS n_items FROM deduped GROUP BY site, content_type
 """
@@ -38,7 +39,7 @@ def extract_class_counts(spark, sf_dir):
 # ------------------------------------------------------ P6 full extraction
 
 P6_SQL = f"""
-WITH {P.extracted(P.fetches_derived(), use_browser=True).strip()}
+WITH RECURSIVE {P.extracted(P.fetches_derived(), use_browser=True).strip()}
 SELECT site, page_id, status, gate, source, title, content,
        CASE WHEN source IS NOT NULL THEN {S.classify('url', 'title', 'content')} END AS content_type
 FROM ex
@@ -57,7 +58,7 @@ def p6_extract(spark, sf_dir):
 
 
 P6_PLAIN_SQL = f"""
-WITH {P.extracted(P.fetches_derived(), use_browser=False).strip()}
+WITH RECURSIVE {P.extracted(P.fetches_derived(), use_browser=False).strip()}
 SELECT site, page_id, gate, source, md5(content) AS content_md5 FROM ex
 """
 
@@ -125,35 +126,33 @@ FROM pages
 """
 
 HTML_JOBS_SQL = f"""
-WITH v AS ({VARIANT_SQL}),
-b AS (SELECT page_id, {S.remove_chrome(S.remove_noise('html'))} AS bd FROM v),
-m AS (SELECT page_id, bd, {S.semantic_main('bd')} AS main_html, {S.largest_block('bd')} AS block_html FROM b)
-SELECT page_id,
-       {S.page_title('bd')} AS title,
-       length(main_html)::BIGINT AS main_len,
-       length(block_html)::BIGINT AS block_len,
-       {S.to_markdown('main_html')} AS main_markdown,
-       md5({S.to_markdown('block_html')}) AS block_markdown_md5,
-       length(bd)::BIGINT AS stripped_len
-FROM m
+WITH RECURSIVE v AS (SELECT page_id AS k, html FROM ({VARIANT_SQL})),
+{P.tree('v').strip()}
+SELECT k AS page_id, title, length(main_html)::BIGINT AS main_len, length(block_html)::BIGINT AS block_len,
+       main_md AS main_markdown, md5(block_md) AS block_markdown_md5, length(stripped)::BIGINT AS stripped_len
+FROM page
 """
 
 
+def _html_jobs(pages):
+    """page_id and what the tree gives of a page's html."""
+    t = "t_"
+    df = H.with_content(pages.select("page_id", "html"), "html", t)
+    df = T.with_markdown(T.with_markdown(df, t, t + "main", "main_markdown"), t, t + "block", "block_markdown")
+    main, block = F.col(t + "main"), F.col(t + "block")
+    return df.select(
+        "page_id", H.page_title(t).alias("title"),
+        F.when(main.isNotNull(), F.length(T.inner_html(t, main))).cast("long").alias("main_len"),
+        F.when(block.isNotNull(), F.length(T.inner_html(t, block))).cast("long").alias("block_len"),
+        "main_markdown", F.md5("block_markdown").alias("block_markdown_md5"),
+        F.length(T.inner_html(t, F.lit(-1))).cast("long").alias("stripped_len"),
+    )
+
+
 @register("h2_h6_html_jobs", HTML_JOBS_SQL)
 def html_jobs(spark, sf_dir):
     """H2 title, H3 chrome removal, H4 main content (semantic + largest block), H6 markdown."""
-    v = _variant_html_spark(read_table(spark, sf_dir, "pages"))
-    b = v.select("page_id", H.remove_chrome(H.remove_noise("html")).alias("bd"))
-    m = H.with_largest_block(H.with_semantic_main(b, "bd", "main_html"), "bd", "block_html")
-    return m.select(
-        "page_id",
-        H.page_title("bd").alias("title"),
-        F.length("main_html").cast("long").alias("main_len"),
-        F.length("block_html").cast("long").alias("block_len"),
-        H.to_markdown("main_html").alias("main_markdown"),
-        F.md5(H.to_markdown("block_html")).alias("block_markdown_md5"),
-        F.length("bd").cast("long").alias("stripped_len"),
-    )
+    return _html_jobs(_variant_html_spark(read_table(spark, sf_dir, "pages")))
 
 
 # Main elements that hold elements of their own name, other tags and quotes, and no end: (start, end) for <article>.
@@ -170,9 +169,9 @@ NESTED_SQL = "SELECT page_id, CASE page_id % 5 " + " ".join(
 ) + " END AS html FROM pages"
 
 NESTED_MAIN_SQL = f"""
-WITH v AS ({NESTED_SQL}),
-b AS (SELECT page_id, {S.remove_chrome(S.remove_noise('html'))} AS bd FROM v)
-SELECT page_id, page_id % 5 AS shape, {S.semantic_main('bd')} AS main_html FROM b
+WITH RECURSIVE v AS (SELECT page_id AS k, html FROM ({NESTED_SQL})),
+{P.tree('v').strip()}
+SELECT k AS page_id, k % 5 AS shape, main_html FROM page
 """
 
 
@@ -185,8 +184,29 @@ def nested_main(spark, sf_dir):
         F.when(shape == k, F.replace(F.replace(F.col("html"), F.lit("<article>"), F.lit(a)), F.lit("</article>"), F.lit(b)))
         for k, (a, b) in enumerate(NESTED)
     ))
-    v = pages.select("page_id", shape.alias("shape"), H.remove_chrome(H.remove_noise(html)).alias("bd"))
-    return H.with_semantic_main(v, "bd", "main_html").select("page_id", "shape", "main_html")
+    v = H.with_content(pages.select("page_id", shape.alias("shape"), html.alias("html")), "html", "t_")
+    m = F.col("t_main")
+    return v.select("page_id", "shape", F.when(m.isNotNull(), T.inner_html("t_", m)).alias("main_html"))
+
+
+# What pages hold besides: nested chrome, void elements with a selector's class, lists, links and code in all places.
+SHAPES = [
+    "<nav>a<nav>b</nav>c</nav>d <article>",
+    "<input class=\"content\"><p>a</p><article><p><b>x</b></p><ul><li>one</li> <li>two <b>b</b><ul><li>three</li></ul></li></ul>",
+    "<article><h2>A <a href='/h'>link</a></h2><p><a href=/p/>only</a></p><p>t <a href='/q?a=1&amp;b'>q</a> <a>none</a></p><header>h<p>x</header>",
+    "<article><pre><code>x &lt; y</code></pre><a href='/c'><code>z</code></a><ol>loose</ol><ul>gap<li><p>i</p><li>j</ul><p>open<aside><div>no</aside>",
+]
+SHAPES_SQL = "SELECT page_id, replace(html, '<article>', CASE page_id % 4 " + " ".join(
+    f"WHEN {k} THEN {S.q(a)}" for k, a in enumerate(SHAPES)) + " END) AS html FROM pages"
+
+
+@register("h3_h6_shapes", HTML_JOBS_SQL.replace(VARIANT_SQL, SHAPES_SQL))
+def shapes(spark, sf_dir):
+    """H2, H3, H4 and H6 over pages that begin with nested chrome, void elements, lists, links and code."""
+    pid = F.col("page_id")
+    begin = F.coalesce(*(F.when(pid % 4 == k, F.lit(a)) for k, a in enumerate(SHAPES)))
+    pages = read_table(spark, sf_dir, "pages")
+    return _html_jobs(pages.select("page_id", F.replace(F.col("html"), F.lit("<article>"), begin).alias("html")))
 
 
 VISIBLE_SQL = f"""

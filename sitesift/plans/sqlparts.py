@@ -112,99 +112,10 @@ def remove_noise(x: str) -> str:
     return rrep(x, H.NOISE_RE, "''")
 
 
-def remove_chrome(x: str) -> str:
-    return rrep(x, H.CHROME_RE, "''")
-
-
 def visible_text(x: str) -> str:
     return text_of(rrep(remove_noise(x), H.HEAD_RE, "''"))
 
 
-def _extract_or_null(b: str, pat: str) -> str:
-    return f"CASE WHEN {rx(b, pat)} THEN {text_of(rext(b, pat, 1))} END"
-
-
-def page_title(b: str) -> str:
-    cands = [_extract_or_null(b, H.element_re("h1"))]
-    for cls in H.TITLE_CLASSES:
-        cands.append(
-            _extract_or_null(
-                b,
-                r"(?is)<(?:h[1-6]|div|span|a|p)\b[^>]*" + H._attr_re("class", cls)
-                + r"[^>]*>(.*?)</(?:h[1-6]|div|span|a|p)\s*>",
-            )
-        )
-    cands.append(_extract_or_null(b, H.element_re("title")))
-    whens = " ".join(f"WHEN nullif({strip(c)}, '') IS NOT NULL THEN {strip(c)}" for c in cands)
-    return f"(CASE {whens} ELSE 'Untitled' END)"
-
-
-def _quoted(attr: str, value: str) -> str:
-    if attr == "id" or attr == "role":
-        return rf"""(?is)<[a-z][a-z0-9]*\s(?:[^>]*\s)?{attr}\s*=\s*["']{value}["'][^>]*>"""
-    return rf"""(?is)<[a-z][a-z0-9]*\s(?:[^>]*\s)?{attr}\s*=\s*(?:"(?:[^"]*\s)?{value}(?:\s[^"]*)?"|'(?:[^']*\s)?{value}(?:\s[^']*)?')[^>]*>"""
-
-
-def semantic_main(b: str) -> str:
-    """Element end = first same-name tag at which the running sum of +1/-1 reaches zero."""
-    classes = ("content", "main-content", "post-content", "article-content", "blog-content")
-    pats = [r"(?is)<main(?:[\s/][^>]*)?>", r"(?is)<article(?:[\s/][^>]*)?>", _quoted("role", "main")]
-    pats += [_quoted("class", c) for c in classes] + [_quoted("id", "content"), _quoted("id", "main")]
-    pats += [_quoted("class", c) for c in ("entry-content", "post-body")]
-    whens = " ".join(f"WHEN {rx(b, p)} THEN {rext(b, p, 0)}" for p in pats)
-    tok = "'(?is)<(/?)' || tag || '(?:[\\s/][^>]*)?>'"
-    depth = "1 + list_sum(list_transform(c[1:i], lambda x: CASE WHEN x = '/' THEN -1 ELSE 1 END))"
-    return (
-        "(SELECT CASE WHEN opened IS NULL THEN NULL WHEN e IS NULL OR e = 0 THEN rest "
-        "ELSE array_to_string(list_transform(range(1, e + 1), lambda k: s[k] || CASE WHEN k < e THEN w[k] ELSE '' END), '') END "
-        f"FROM (SELECT *, list_position(list_transform(range(1, len(c) + 1), lambda i: {depth}), 0) AS e "
-        f"FROM (SELECT opened, rest, regexp_extract_all(rest, {tok}, 1) AS c, regexp_extract_all(rest, {tok}, 0) AS w, "
-        f"regexp_split_to_array(rest, {tok}) AS s "
-        "FROM (SELECT opened, lower(regexp_extract(opened, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, "
-        f"substr({b}, position(opened IN {b}) + length(opened)) AS rest "
-        f"FROM (SELECT CASE {whens} END AS opened)))))"
-    )
-
-
-def top_level_blocks(b: str) -> str:
-    closes = f"regexp_extract_all({b}, {q(H.BLOCK_TAG_RE)}, 1)"
-    segs = f"regexp_split_to_array({b}, {q(H.BLOCK_TAG_RE)})"
-    # bind the two lists once through a one-element list comprehension
-    d1 = "(CASE WHEN c[i+1] = '/' THEN greatest(acc.depth - 1, 0) ELSE acc.depth + 1 END)"
-    fold = (
-        "list_reduce(range(len(c)), lambda acc, i: struct_pack("
-        f"depth := {d1}, "
-        f"cur := CASE WHEN c[i+1] <> '/' AND acc.depth = 0 THEN s[i+2] WHEN {d1} > 0 THEN acc.cur || s[i+2] ELSE '' END, "
-        "blocks := CASE WHEN c[i+1] = '/' AND acc.depth = 1 THEN list_append(acc.blocks, acc.cur) ELSE acc.blocks END), "
-        "struct_pack(depth := 0, cur := '', blocks := []::VARCHAR[]))"
-    )
-    return (
-        f"(SELECT CASE WHEN r.depth > 0 THEN list_append(r.blocks, r.cur) ELSE r.blocks END "
-        f"FROM (SELECT {fold} AS r FROM (SELECT {closes} AS c, {segs} AS s)))"
-    )
-
-
-def largest_block(b: str) -> str:
-    blocks = top_level_blocks(b)
-    best = (
-        f"list_max(list_transform({blocks}, lambda x, i: struct_pack(n := length({text_of('x')}), "
-        f"neg_pos := -i, html := x)))"
-    )
-    return f"(SELECT CASE WHEN bb.n > 200 THEN bb.html END FROM (SELECT {best} AS bb))"
-
-
-def to_markdown(x: str) -> str:
-    for lvl in range(1, 7):
-        x = rrep(x, r"(?is)<h" + str(lvl) + r"\b[^>]*>(.*?)</h" + str(lvl) + r"\s*>", f"{q('#' * lvl + ' ' + chr(92) + '1')} || {NL} || {NL}")
-    x = rrep(x, r"(?is)<p\b[^>]*>([^<]+)</p\s*>", f"'\\1' || {NL} || {NL}")
-    x = rrep(x, r"(?is)<li\b[^>]*>", "'- '")
-    x = rrep(x, r"(?is)</li\s*>", NL)
-    x = rrep(x, r"(?is)</(?:ul|ol)\s*>", NL)
-    x = rrep(x, r'(?is)<a\b[^>]*\bhref="([^"]+)"[^>]*>([^<]+)</a\s*>', "'[\\2](\\1)'")
-    x = rrep(x, r"(?is)<(?:code|pre)\b[^>]*>([^<]*)</(?:code|pre)\s*>", "'`\\1`'")
-    return text_of(x)
-
-
 def accepted(text: str) -> str:
     return f"CASE WHEN length({strip(text)}) > {Q.ITEM_MIN_CHARS} THEN {text} END"
 
