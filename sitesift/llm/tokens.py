@@ -114,6 +114,22 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return counts.mapInArrow(measure, "pre_token string, n long, pieces long")
 
 
+def most_frequent(vocab: DataFrame, most: int) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens, ``most`` of them at the most.
+    Counts are put into classes of about 2 percent; the classes (some thousands
+    at any size) say from which count on the pre-tokens are few enough, and
+    only those reach the driver."""
+    short = vocab.where(F.char_length("pre_token") <= HEAD_CHARS).withColumn("size", F.floor(F.log2("n") * 32).cast("int"))
+    left, least = most, None
+    for r in sorted(short.groupBy("size").count().collect(), reverse=True):
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r.size
+    if least is None:
+        return {}
+    return {r.pre_token: r.pieces for r in short.where(F.col("size") >= least).select("pre_token", "pieces").collect()}
+
+
 def token_counts(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", head_size: int = HEAD_SIZE) -> DataFrame:
     """One row per input row: key, n_bytes (UTF-8) and n_tokens, without
     begin, end or added special tokens; special strings inside a text count
@@ -125,8 +141,7 @@ def token_counts(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     vocab = stage(vocabulary(docs, path, text), "vocabulary")
-    top = vocab.where(F.char_length("pre_token") <= HEAD_CHARS).orderBy(F.desc("n"), "pre_token").limit(head_size)
-    head = spark.sparkContext.broadcast({r.pre_token: r.pieces for r in top.select("pre_token", "pieces").collect()})
+    head = spark.sparkContext.broadcast(most_frequent(vocab, head_size))
     key_type = docs.schema[key].dataType
     arrow_key = to_arrow_type(key_type)
     schema = f"row long, key {key_type.simpleString()}, n_bytes long, pre_token string, n long"
