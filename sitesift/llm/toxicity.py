@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ STEMS = (4, 5, 6)
 #: Words of the text a task remembers.
 TASK_WORDS = 400_000
 NEAR, BURST = 5, 50
+#: Code points whose class is kept in a table; those beyond are looked at one by one.
+TABLE = 0x3000
 
 # Second-person words of the four languages.
 SECOND_PERSON = frozenset(
@@ -68,38 +71,72 @@ def unmasked(word: str) -> str:
     return re.sub(r"(\w)\1{2,}", r"\1", _SPLITTERS.sub("", _EDGE.sub("", word.lower()).translate(LOOKALIKES)))
 
 
-class WordInfo:
-    """(flags, weight, stem) of a word: 1 lexicon, 2 second person, 4 capitals, 8 mixed, 16 hidden lexicon."""
+class WordInfo(dict):
+    """Word -> flags + 32 * (number of its lexicon stem, 0 for none); flags are
+    1 lexicon, 2 second person, 4 capitals, 8 mixed, 16 hidden lexicon. Words
+    are looked into once and remembered."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.seen = lexicon, {}
+        super().__init__()
+        self.lexicon = lexicon
+        self.stems = [None, *lexicon]
+        self.number = {s: i for i, s in enumerate(self.stems)}
+        self.weights = [0.0, *lexicon.values()]
 
     def find(self, word: str) -> str | None:
         return max((s for s in stems_of(word) if s in self.lexicon), key=self.lexicon.__getitem__, default=None)
 
+    def __missing__(self, word: str) -> int:
+        base = plain(word)
+        inner = _EDGE.sub("", word)
+        stem, flags = self.find(base), 0
+        mixed = bool(_LETTER.search(word) and _OTHER.search(inner))
+        if stem is None and (mixed or _SPLITTERS.search(inner) or _RUN.search(word)) and (stem := self.find(unmasked(word))):
+            flags |= 16
+        flags |= (stem is not None) | 2 * (base in SECOND_PERSON) | 4 * (len(inner) > 1 and inner.isupper()) | 8 * mixed
+        if len(self) >= TASK_WORDS:
+            self.clear()
+        self[word] = code = flags + 32 * self.number[stem]
+        return code
+
     def __call__(self, word: str) -> tuple[int, float, str | None]:
-        got = self.seen.get(word)
-        if got is None:
-            base = plain(word)
-            inner = _EDGE.sub("", word)
-            stem, flags = self.find(base), 0
-            mixed = bool(_LETTER.search(word) and _OTHER.search(inner))
-            if stem is None and (mixed or _SPLITTERS.search(inner) or _RUN.search(word)) and (stem := self.find(unmasked(word))):
-                flags |= 16
-            flags |= (stem is not None) | 2 * (base in SECOND_PERSON) | 4 * (len(inner) > 1 and inner.isupper()) | 8 * mixed
-            if len(self.seen) >= TASK_WORDS:
-                self.seen.clear()
-            got = self.seen[word] = (flags, self.lexicon[stem] if stem else 0.0, stem)
-        return got
+        code = self[word]
+        return code & 31, self.weights[code >> 5], self.stems[code >> 5]
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Per code point below ``TABLE``: 1 for an upper-case Latin letter, 2 for punctuation."""
+    return np.array([bool(_UPPER.match(chr(c))) + 2 * bool(_PUNCT.match(chr(c))) for c in range(TABLE)], np.uint8)
+
+
+def char_counts(text: str) -> tuple[int, int, int, int]:
+    """Matches of ``_UPPER``, ``_EXCLAIM``, ``_PUNCT`` and ``_RUN``, by arrays
+    instead of patterns where that gives the same."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = _classes()[np.minimum(codes, TABLE - 1)]
+    far = codes >= TABLE
+    if far.any():
+        known = known[~far]
+        rest = len(_PUNCT.findall("".join(map(chr, codes[far].tolist()))))
+    else:
+        rest = 0
+    same = codes[1:] == codes[:-1]
+    marks = (codes == 33) | (codes == 63)
+    runs = (same[2:] & same[1:-1] & same[:-2]).any() or (marks[1:] & marks[:-1]).any()
+    return (int((known & 1).sum()), int(marks.sum()), int((known >> 1).sum()) + rest,
+            sum(1 for _ in _RUN.finditer(text)) if runs else 0)
 
 
 def features(text: str, info: WordInfo) -> list[float]:
-    found = [info(w) for w in text.split()]
-    n = len(found)
+    words = text.split()
+    n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    flags = np.fromiter((f[0] for f in found), np.int16, n)
+    found = np.fromiter(map(info.__getitem__, words), np.int64, n)
+    flags = found & 31
     hits, you = np.flatnonzero(flags & 1), np.flatnonzero(flags & 2)
+    stems = (found[hits] >> 5).tolist()
     chars = len(text)
     near = gap = 0.0
     if len(hits) and len(you):
@@ -108,11 +145,12 @@ def features(text: str, info: WordInfo) -> list[float]:
         near, gap = float((dist <= NEAR).mean()), 1.0 / (1.0 + float(dist.min()))
     burst = float((np.searchsorted(hits, hits + BURST) - np.arange(len(hits))).max()) if len(hits) else 0.0
     share = 100.0 / n
+    upper, exclaims, punctuation, runs = char_counts(text)
     return [
-        len(hits) * share, math.log1p(len(hits)), sum(found[i][1] for i in hits) * share, float(len({found[i][2] for i in hits})),
+        len(hits) * share, math.log1p(len(hits)), sum(info.weights[s] for s in stems) * share, float(len(set(stems))),
         float((flags & 16 > 0).sum()) * share, burst, near, len(you) * share, gap,
-        float((flags & 4 > 0).mean()), len(_UPPER.findall(text)) / chars, 100.0 * len(_EXCLAIM.findall(text)) / chars,
-        100.0 * len(_PUNCT.findall(text)) / chars, 100.0 * sum(1 for _ in _RUN.finditer(text)) / chars,
+        float((flags & 4 > 0).mean()), upper / chars, 100.0 * exclaims / chars,
+        100.0 * punctuation / chars, 100.0 * runs / chars,
         float((flags & 8 > 0).mean()), math.log1p(n),
     ]
 
@@ -203,9 +241,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     several labels is toxic if one of them is 1; null labels count as none."""
     known = (
         labels.where(F.col(toxic).isNotNull() & (fold_of(key) != 0)).groupBy(F.col(key).alias("label_key"), fold_of(key).alias("fold"))
-        .agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("label_key"), "label_key").limit(max_labels)
+        .agg(F.max(F.col(toxic).cast("int")).alias("toxic")).withColumn("order", F.xxhash64("label_key"))
     )
+    # A bound on the hash leaves little more than max_labels rows to sort (five
+    # deviations more than wanted, of hashes that are as good as random).
+    total = known.count()
+    wanted = max_labels + 5 * max_labels ** 0.5 + 100
+    if total > wanted:
+        known = known.where(F.col("order") <= F.lit(int(-(2**63) + wanted / total * 2**64)))
+    known = known.orderBy("order", "label_key").limit(max_labels).drop("order")
     known = stage(known, "labels")  # at most max_labels narrow rows, so they can be broadcast
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), F.col("label_key") == F.col("key"))
     rows = stage(rows.select("fold", "toxic", "text"), "labelled-texts")
@@ -225,7 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     model = Model(lexicon, gbt.fit(train.where("fold <> 4").withColumn("vector", array_to_vector("features"))), None, share)
     if 0 < z < m:
         held = model.raw(train.where("fold = 4").select("label", "features"), "features", "p")
-        model.calibration = IsotonicRegression(featuresCol="p", labelCol="label").fit(held)
+        # equal scores count as one, with their weight: few distinct scores would else be few partitions
+        held = held.groupBy("p").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+        model.calibration = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(held)
     return model
 
 

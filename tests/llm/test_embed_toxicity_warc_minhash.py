@@ -3,17 +3,20 @@
 import base64
 import hashlib
 import io
+import math
 import random
+import re
 import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sitesift.llm import minhash, toxicity, warc
-from sitesift.llm.common import scratch
+from sitesift.llm.common import scratch, scratch_of
 from sitesift.llm.embed import close_pairs, near_duplicates, quantise
 from sitesift.llm.graph import components
 
@@ -282,3 +285,90 @@ def test_signatures_estimate_similarity():
     exact = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((minhash.signature(a) == minhash.signature(b)).mean() - exact) < 0.15
     assert len(minhash.shingles([], known)) == 0 and len(minhash.shingles([b"a"], known)) == 1
+
+
+def plain_features(text, lexicon):
+    """The features word by word and pattern by pattern."""
+    info, words = toxicity.WordInfo(lexicon), text.split()
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+    n, chars, rows = len(words), len(text), []
+    for w in words:
+        base, inner = toxicity.plain(w), re.sub(r"^\W+|\W+$", "", w)
+        open_stem = info.find(base)
+        mixed = bool(re.search(r"[^\W\d_]", w) and re.search(r"[\d@$!|*_~+]", inner))
+        masked = mixed or re.search(r"[.\-_*'~+]", inner) or re.search(r"[!?]{2,}|(\w)\1\1\1", w)
+        stem = open_stem if open_stem is not None else info.find(toxicity.unmasked(w)) if masked else None
+        rows.append((stem, base in toxicity.SECOND_PERSON, len(inner) > 1 and inner.isupper(), mixed, stem is not None and open_stem is None))
+    hits, you = [i for i, r in enumerate(rows) if r[0]], [i for i, r in enumerate(rows) if r[1]]
+    dist = [min(abs(h - y) for y in you) for h in hits] if you else []
+    return [
+        100 * len(hits) / n, math.log1p(len(hits)), 100 * sum(lexicon[rows[h][0]] for h in hits) / n, len({rows[h][0] for h in hits}),
+        100 * sum(r[4] for r in rows) / n, max((sum(h <= x < h + 50 for x in hits) for h in hits), default=0),
+        sum(d <= 5 for d in dist) / len(dist) if dist else 0, 100 * len(you) / n, 1 / (1 + min(dist)) if dist else 0,
+        sum(r[2] for r in rows) / n, len(re.findall(r"[A-Z\xc0-\xd6\xd8-\xde]", text)) / chars, 100 * len(re.findall(r"[!?]", text)) / chars,
+        100 * len(re.findall(r"[^\w\s]", text)) / chars, 100 * len(list(re.finditer(r"[!?]{2,}|(\w)\1\1\1", text))) / chars,
+        sum(r[3] for r in rows) / n, math.log1p(n),
+    ]
+
+
+LEXICON = {"idiot": 3.0, "dumm": 2.5, "stup": 2.0, "trash": 1.75}
+
+
+def test_features_equal_a_plain_restatement():
+    rng = random.Random(8)
+    some = ["you", "Du", "IDIOT", "id10t", "i.d.i.o.t", "stupid!!", "trash?!", "fine", "ÄRGER", "été", "dummkopf", "a", "über—all", "日本、語", "「x」", "aaaa",
+            "nooooo", "\U0001f600", "don't", "s-t-u-p-i-d", "x1", "!?", "...", "¿qué?", "WORD,", "ǅ"]
+    info = toxicity.WordInfo(LEXICON)
+    for _ in range(400):
+        text = "".join(rng.choice(some) + rng.choice([" ", "  ", "\n", "　"]) for _ in range(rng.randint(0, 90)))
+        assert toxicity.features(text, info) == pytest.approx(plain_features(text, LEXICON), abs=1e-9), text
+
+
+def test_lexicon_equals_a_plain_restatement(spark):
+    docs, labels, truth = toxic_table(spark)
+    labelled = docs.join(labels, "doc_id").select("text", "toxic")
+    rows = [(r.text or "", r.toxic) for r in labelled.collect()]
+    n, y = len(rows), sum(t for _, t in rows)
+    seen = {}
+    for text, t in rows:
+        for s in {s for w in text.split() for s in toxicity.stems_of(toxicity.plain(w)) if s}:
+            a = seen.setdefault(s, [0, 0])
+            a[0] += 1
+            a[1] += t
+    want = {}
+    for s, (m, k) in seen.items():
+        part = lambda c, share: c * math.log(c / m / share) if c else 0.0
+        odds = math.log((k + 0.5) / (m - k + 0.5) * (n - y) / y)
+        if 2 * (part(k, y / n) + part(m - k, 1 - y / n)) >= toxicity.MIN_RATIO and odds > 1.5:
+            want[s] = odds
+    assert want and toxicity.learn_lexicon(labelled) == pytest.approx(want)
+
+
+def test_calibration_equals_pooled_neighbours(spark):
+    """What the model maps raw scores to is the isotonic fit of fold 4, equal scores first pooled."""
+    docs, labels, _ = toxic_table(spark)
+    model = toxicity.fit(docs, labels, trees=5)
+    vector = toxicity.with_features(docs.join(labels, "doc_id").where(toxicity.fold_of("doc_id") == 4), "text", model.lexicon, "v")
+    raw = [(r.p, r.toxic) for r in model.raw(vector.select("toxic", "v"), "v", "p").collect()]
+    blocks = []  # score, sum, weight
+    for p in sorted({p for p, _ in raw}):
+        ys = [y for q, y in raw if q == p]
+        blocks.append([[p], float(sum(ys)), len(ys)])
+        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
+            last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
+    want = {p: total / weight for ps, total, weight in blocks for p in ps}
+    got = {p: model.calibration.predict(p) for p in want}
+    assert len(want) > 1 and got == pytest.approx(want)
+
+
+def test_at_most_the_bound_of_labels(spark):
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    docs = labels.select("doc_id", F.concat(F.lit("w"), F.col("toxic").cast("string")).alias("text"))
+    with scratch_of() as paths:
+        toxicity.fit(docs, labels, max_labels=500, trees=1)
+    kept = spark.read.parquet(next(p for p in paths if "/labels-" in p))
+    assert kept.count() == 500
+    smallest = labels.where(toxicity.fold_of("doc_id") != 0).orderBy(F.xxhash64("doc_id")).limit(500)
+    assert {r.label_key for r in kept.collect()} == {r.doc_id for r in smallest.collect()}
