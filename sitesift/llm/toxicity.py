@@ -84,14 +84,25 @@ class WordInfo(dict):
         self.weights = [0.0, *lexicon.values()]
 
     def find(self, word: str) -> str | None:
-        return max((s for s in stems_of(word) if s in self.lexicon), key=self.lexicon.__getitem__, default=None)
+        """The stem with the largest weight, the first of equal ones."""
+        best, most, weight = None, -math.inf, self.lexicon.get
+        for s in (word, word[:4], word[:5], word[:6]):  # as stems_of: a short word is its own start
+            w = weight(s)
+            if w is not None and w > most:
+                best, most = s, w
+        return best
 
     def __missing__(self, word: str) -> int:
-        base = plain(word)
-        inner = _EDGE.sub("", word)
+        inner = word.rstrip(".,;:")
+        if inner.isalpha() and (inner.islower() or inner.isascii()):  # most words: letters, and the end of a clause
+            base, mixed = inner.lower(), False
+            masked = _RUN.search(inner)
+        else:
+            base, inner = plain(word), _EDGE.sub("", word)
+            mixed = bool(_LETTER.search(word) and _OTHER.search(inner))
+            masked = mixed or _SPLITTERS.search(inner) or _RUN.search(word)
         stem, flags = self.find(base), 0
-        mixed = bool(_LETTER.search(word) and _OTHER.search(inner))
-        if stem is None and (mixed or _SPLITTERS.search(inner) or _RUN.search(word)) and (stem := self.find(unmasked(word))):
+        if stem is None and masked and (stem := self.find(unmasked(word))):
             flags |= 16
         flags |= (stem is not None) | 2 * (base in SECOND_PERSON) | 4 * (len(inner) > 1 and inner.isupper()) | 8 * mixed
         if len(self) >= TASK_WORDS:
@@ -161,9 +172,15 @@ def learn_lexicon(labelled: DataFrame, text: str = "text", toxic: str = "toxic")
     ``MAX_STEMS``. ``labelled`` holds at most ``MAX_LABELS`` rows."""
 
     def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = sorted({s for w in set((t or "").split()) for s in stems_of(plain(w)) if s})
+                if len(known) >= TASK_WORDS:
+                    known.clear()
+                words = set((t or "").split())
+                for w in words.difference(known):
+                    known[w] = [s for s in stems_of(plain(w)) if s]
+                own = sorted({s for w in words for s in known[w]})
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], ["stem", "y"])
 
     total = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(toxic).cast("long")).alias("y")).first()
