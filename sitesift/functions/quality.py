@@ -46,7 +46,6 @@ TITLE_ERROR_PHRASES = [
 MIN_BODY_BYTES = 1000        # smaller bodies go to the rendered copy
 SPA_VISIBLE_MAX = 1000       # SPA error text must be shorter than this
 WEAK_ERROR_MAX = 300         # weak words count only on pages shorter than this
-EXTRACT_MIN_CHARS = 100      # an extractor's output must reach this (stripped)
 ITEM_MIN_CHARS = 200         # an accepted item must exceed this (stripped)
 
 
@@ -63,18 +62,6 @@ def is_spa(html) -> Column:
     return contains_any(F.lower(col_(html)), SPA_MARKERS)
 
 
-def is_error_page(html) -> Column:
-    """Error page test on raw HTML (SPA branch on visible text, else phrases)."""
-    low = F.lower(col_(html))
-    vis = F.lower(visible_text(col_(html)))
-    spa_error = contains_any(vis, SPA_ERROR_PHRASES) & (F.length(py_strip(vis)) < SPA_VISIBLE_MAX)
-    collapsed = collapse_ws(low)
-    normal_error = contains_any(low, STRONG_ERROR_PHRASES) | (
-        (F.length(collapsed) < WEAK_ERROR_MAX) & contains_any(collapsed, WEAK_ERROR_WORDS)
-    )
-    return F.when(is_spa(html), spa_error).otherwise(normal_error)
-
-
 def is_error_content(content, title) -> Column:
     """Extracted item that still looks like an error page."""
     c = F.lower(col_(content))
@@ -83,29 +70,9 @@ def is_error_content(content, title) -> Column:
     return contains_any(t, TITLE_ERROR_PHRASES) | short | (c.contains("greetings flesh bag") & c.contains("404 error"))
 
 
-def fetch_gate(status, body_bytes, html) -> Column:
-    """Route of one fetched page.
-
-    'drop'   - status >= 400 (404 included): no fallback;
-    'error'  - status 200 and an error page: no fallback;
-    'small'  - status 200, body under 1,000 bytes: rendered copy;
-    'invalid'- status 200, not valid HTML: rendered copy;
-    'extract'- status 200 and usable;
-    'other'  - any other status (redirects, 204 ...): rendered copy.
-    """
-    s = col_(status)
-    return (
-        F.when(s >= 400, F.lit("drop"))
-        .when(s != 200, F.lit("other"))
-        .when(is_error_page(html), F.lit("error"))
-        .when(col_(body_bytes) < MIN_BODY_BYTES, F.lit("small"))
-        .when(~is_valid_html(html), F.lit("invalid"))
-        .otherwise(F.lit("extract"))
-    )
-
-
 def with_error_page(df: DataFrame, html: str, out: str) -> DataFrame:
-    """Staged ``is_error_page``: each heavy text is computed once per row."""
+    """Error page test on raw HTML (SPA branch on visible text, else phrases);
+    each heavy text is computed once per row."""
     t = "__ep_"
     h = F.col(html)
     df = df.withColumn(t + "low", F.lower(h))
@@ -124,7 +91,15 @@ def with_error_page(df: DataFrame, html: str, out: str) -> DataFrame:
 
 
 def with_fetch_gate(df: DataFrame, status: str, body: str, out: str) -> DataFrame:
-    """Staged ``fetch_gate`` (see there for the routes)."""
+    """Route of one fetched page.
+
+    'drop'   - status >= 400 (404 included): no fallback;
+    'error'  - status 200 and an error page: no fallback;
+    'small'  - status 200, body under 1,000 bytes: rendered copy;
+    'invalid'- status 200, not valid HTML: rendered copy;
+    'extract'- status 200 and usable;
+    'other'  - any other status (redirects, 204 ...), or none: rendered copy.
+    """
     t = "__fg_"
     s = F.col(status)
     # error-page text work only for status 200 rows

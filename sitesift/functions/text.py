@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from functools import wraps
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +24,15 @@ PY_WS_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
-# Character references: decimal, hexadecimal, or a name with its semicolon.
-ENTITY_RE = r"&(?:#([0-9]{1,7});?|#[xX]([0-9a-fA-F]{1,6});?|([A-Za-z][A-Za-z0-9]{1,31});)"
-# Names come from the standard library's table, as one map literal.
-ENTITY_NAMES = json.dumps({k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'"})
+# Character references: decimal, hexadecimal, or a name, with or without its semicolon.
+ENTITY_RE = r"&(?:#([0-9]+);?|#[xX]([0-9a-fA-F]+);?|([^\t\n\f <&#;]{1,32})(;?))"
+# Names come from the standard library's table of HTML 5: those that end with
+# a semicolon as one map literal, the old ones that need none as a pattern,
+# the longest first.
+ENTITY_NAMES = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+ENTITY_OLD_RE = "^(" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))) + ")"
+#: The code points 128 to 159 mean characters of Windows 1252, where it has one.
+ENTITY_1252 = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160))
 
 
 _BUILT: dict = {}
@@ -73,14 +78,26 @@ def ellipsis(c, n: int) -> Column:
 
 
 def _reference(entity: Column) -> Column:
-    """The character of one reference; unknown names stay as they are, code
-    points that are no character become U+FFFD."""
-    dec, hexa, name = (F.regexp_extract(entity, ENTITY_RE, g) for g in (1, 2, 3))
-    code = F.when(dec != "", dec.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
-    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(code.isNotNull(), F.lit(chr(0xFFFD)))
+    """What one reference stands for, as Python's ``html.unescape``: unknown
+    names stay as they are but for a known beginning that needs no semicolon;
+    numbers of no character give U+FFFD, of control characters nothing."""
+    dec, hexa, name, end = (F.regexp_extract(entity, ENTITY_RE, g) for g in (1, 2, 3, 4))
+    digits = F.ltrim(F.concat(dec, hexa), F.lit("0"))
+    big = F.length(digits) > 8
+    code = F.when(big, F.lit(1 << 40)).when(dec != "", F.coalesce(F.nullif(digits, F.lit("")), F.lit("0")).cast("long")).when(
+        hexa != "", F.conv(F.coalesce(F.nullif(digits, F.lit("")), F.lit("0")), 16, 10).cast("long"))
+    control = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(1 << 16)) >= 0xFFFE)
+    char = (
+        F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit(chr(0xFFFD)))
+        .when(code.between(128, 159), F.substr(F.lit(ENTITY_1252), (code - 127).cast("int"), F.lit(1)))
+        .when(control, F.lit(""))
+        .when(code.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
     names = F.from_json(F.lit(ENTITY_NAMES), "map<string,string>")
-    return F.coalesce(char, F.try_element_at(names, name), entity)
+    old = F.regexp_extract(name, ENTITY_OLD_RE, 1)
+    known = F.when(end == ";", F.try_element_at(names, name))
+    begun = F.when(old != "", F.concat(F.try_element_at(names, old), F.substr(name, F.length(old) + 1), end))
+    return F.coalesce(char, known, begun, entity)
 
 
 def decode_entities(c) -> Column:

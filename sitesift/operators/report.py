@@ -124,7 +124,7 @@ def sample_item(items: DataFrame) -> DataFrame:
     )
 
 
-def report_record(results: DataFrame, dimension: DataFrame) -> DataFrame:
+def report_record(results: DataFrame, dimension: DataFrame, run_date: str) -> DataFrame:
     """K5: one nested record (metadata, summary, per-category map, mode map).
 
     Each part is a one-row aggregate; they are combined as scalar subqueries.
@@ -143,6 +143,7 @@ def report_record(results: DataFrame, dimension: DataFrame) -> DataFrame:
     )
     return summ.select(
         F.struct(
+            F.lit(run_date).alias("test_run_date"),
             meta.select("total_websites").scalar().alias("total_websites"),
             meta.select("planned_tests").scalar().alias("planned_tests"),
             F.col("total_tests"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.urls import route, url_netloc
+from ..session import cut_lineage
 from ..sources.archive import pages_as_fetches, read_table
 from ..sources.crawl import site_root
 from . import scrape as SC
@@ -120,10 +123,65 @@ SELECT site, ord, part, title, md5(content) AS content_md5, content_type, source
 """)
 def p8_scrape_crawl(spark, sf_dir):
     """P8 over all pages: route, discovery waterfall, lookup, extract, process; all candidates."""
+    sites, fetches = _crawl_sites(spark, sf_dir)
+    it = SC.scrape_items(sites, fetches)
+    return it.select("site", "ord", "part", "title", F.md5("content").alias("content_md5"), "content_type", "source_url")
+
+
+_COUNTS_SQL = f"""
+WITH RECURSIVE {CANDIDATES_SQL.strip()},
+{P.extracted(_CRAWL_SQL, use_browser=False).strip()},
+{P.dedup('items').strip()},
+{P.chunked('deduped', 8000).strip()},
+tagged AS (
+  SELECT site, 'discovered' AS tag FROM ranked JOIN s USING (site) WHERE s.n > 1
+  UNION ALL SELECT site, 'discovered' FROM s JOIN u USING (site) WHERE s.n = 1 AND {S.route('u.url')} = 'direct'
+  UNION ALL SELECT site, 'discovered' FROM ranked JOIN s USING (site) JOIN u USING (site) WHERE s.n = 1 AND {S.route('u.url')} <> 'direct'
+  UNION ALL SELECT site, 'extracted' FROM items UNION ALL SELECT site, 'deduped' FROM deduped UNION ALL SELECT site, 'chunked' FROM chunked)
+SELECT site, count(*) FILTER (tag = 'discovered') AS discovered, count(*) FILTER (tag = 'extracted') AS extracted,
+       count(*) FILTER (tag = 'deduped') AS deduped, count(*) FILTER (tag = 'chunked') AS chunked
+FROM tagged GROUP BY site
+"""
+
+
+def _crawl_sites(spark, sf_dir):
+    """Sites of one page are given by that page's URL, the others are discovered."""
     sites, fetches = crawl(spark, sf_dir)
     single = read_table(spark, sf_dir, "pages").select("url", site_root("url").alias("site")).distinct().groupBy("site").agg(
         F.count(F.lit(1)).alias("n"), F.min("url").alias("only")).where("n = 1")
-    sites = sites.join(single, "site", "left").withColumn(
-        "base_url", F.when(route("only") == "direct", F.col("only")).otherwise(F.col("base_url"))).drop("n", "only")
-    it = SC.scrape_items(sites, fetches)
-    return it.select("site", "ord", "part", "title", F.md5("content").alias("content_md5"), "content_type", "source_url")
+    return sites.join(single, "site", "left").withColumn(
+        "base_url", F.when(route("only") == "direct", F.col("only")).otherwise(F.col("base_url"))).drop("n", "only"), fetches
+
+
+@register("a5_run_counts", _COUNTS_SQL)
+def a5_run_counts(spark, sf_dir):
+    """A5: discovered, extracted, deduped and chunked of one run over all pages; its result is written once."""
+    done = SC.run(*_crawl_sites(spark, sf_dir))
+    return SC.stage_counts(replace(done, result=cut_lineage(done.result)))
+
+
+#: Small, so that sites have several pages.
+_PAGE_BYTES = 20_000
+
+_PAGED_SQL = f"""
+WITH RECURSIVE {P.extracted(_ALL_SQL, use_browser=False).strip()},
+{P.dedup('items').strip()},
+{P.chunked('deduped', 8000).strip()},
+sites AS (SELECT DISTINCT {S.url_netloc('url')} AS site FROM pages),
+z AS (
+  SELECT *, coalesce(sum(strlen(title) + strlen(content) + strlen(content_type) + strlen(source_url)) OVER (
+    PARTITION BY site ORDER BY ord, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {_PAGE_BYTES} AS slot FROM chunked),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY slot) AS page FROM z)
+SELECT s.site, coalesce(n.page, 1)::INTEGER AS page, count(n.site)::INTEGER AS n_items,
+       md5(coalesce(string_agg(title || '|' || content || '|' || content_type || '|' || source_url, chr(10) ORDER BY ord, part), '')) AS items_md5
+FROM sites s LEFT JOIN n ON n.site = s.site GROUP BY s.site, n.page
+"""
+
+
+@register("k2_paged_results", _PAGED_SQL)
+def k2_paged_results(spark, sf_dir):
+    """K2 over all pages, no limit: nested results in pages of bounded size."""
+    sites, fetches, cands = _direct_run(spark, sf_dir)
+    pages = SC.nest_pages(sites, cut_lineage(SC.scrape_items(sites, fetches, cands)), _PAGE_BYTES)
+    text = F.array_join(F.transform("items", lambda i: F.concat_ws("|", i["title"], i["content"], i["content_type"], i["source_url"])), "\n")
+    return pages.select("site", "page", F.size("items").alias("n_items"), F.md5(text).alias("items_md5"))

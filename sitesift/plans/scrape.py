@@ -8,24 +8,33 @@
 Shuffles: the URL lookup (join on url; the candidate side is bounded per
 site), the dedup aggregates on (site, hash) with map-side combine, the
 join back on the unique (site, ord) key, and one grouping per site to nest
-the result. The nested record holds a site's items in one row; that is the
-output format of the reference; each group is bounded by the O1 limit, and ``write_partitioned`` streams the flat items
-for unbounded item tables.
+the result. The nested record holds a site's items in one row, bounded by the
+O1 limit; ``nest_pages`` cuts the list of a site of any size into rows of
+bounded size, and ``write_partitioned`` writes the flat items.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import default_scheme, route
+from ..functions.text import py_strip
+from ..functions.urls import default_scheme, route, url_netloc
 from ..operators.chunking import chunk_items
 from ..operators.dedup import deduplicate
 from ..operators.discover import discover
 from ..operators.extract import extract, items_of
 from ..operators.lookup import lookup_url
+from ..operators.order import number_within, running_sum_within
+from ..operators.report import report_record
 from ..session import cut_lineage
 
+#: Bytes of item text in one page of a nested result, about.
+PAGE_BYTES = 4_000_000
+#: Bytes of item text in one file of a host, about.
+FILE_BYTES = 256_000_000
 API_CONTENT_CUT = 5000
 API_MAX_ITEMS = 20
 API_DEFAULT_ITEMS = 10
@@ -42,9 +51,18 @@ def candidates(sites: DataFrame, fetches: DataFrame) -> DataFrame:
     return direct.unionByName(found.select("site", "url", "source", "lastmod", "ord"))
 
 
-def scrape_items(sites: DataFrame, fetches: DataFrame, cands: DataFrame | None = None) -> DataFrame:
-    """Flat processed items: site, ord, part, title, content, content_type,
-    source_url. A null ``max_items`` takes all candidates of its site."""
+@dataclass(frozen=True)
+class Run:
+    """The tables of one run; what is counted or read twice is written once."""
+
+    candidates: DataFrame  # site, url, source, lastmod, ord
+    items: DataFrame       # extracted, before dedup
+    result: DataFrame      # site, ord, part, title, content, content_type, source_url
+
+
+def run(sites: DataFrame, fetches: DataFrame, cands: DataFrame | None = None) -> Run:
+    """Candidates, extracted and processed items. A null ``max_items`` takes
+    all candidates of its site; ``result`` is lazy."""
     cands = candidates(sites, fetches) if cands is None else cands
     limited = cands.join(sites.select("site", "max_items", "use_browser", "chunk_size"), "site") \
         .where(F.col("max_items").isNull() | (F.col("ord") <= F.col("max_items")))                                   # O1
@@ -52,25 +70,66 @@ def scrape_items(sites: DataFrame, fetches: DataFrame, cands: DataFrame | None =
     looked = lookup_url(limited, f)                                                  # J2
     items = items_of(extract(looked, use_browser="use_browser"), keys=("site", "ord", "chunk_size"))
     items = cut_lineage(items)  # extraction is the costly stage; dedup reads it twice
-    dd = deduplicate(items)
-    return chunk_items(dd, F.col("chunk_size")).drop("chunk_size")
+    result = chunk_items(deduplicate(items), F.col("chunk_size")).drop("chunk_size")
+    return Run(cands, items, result)
+
+
+def scrape_items(sites: DataFrame, fetches: DataFrame, cands: DataFrame | None = None) -> DataFrame:
+    """Flat processed items: site, ord, part, title, content, content_type,
+    source_url. A null ``max_items`` takes all candidates of its site."""
+    return run(sites, fetches, cands).result
+
+
+def stage_counts(run: Run) -> DataFrame:
+    """A5: discovered, extracted, deduped and chunked per site, from the tables
+    of one run: one tagged aggregate over narrow columns. Every item that
+    dedup keeps has a first part. Give a ``run`` whose result is written, or
+    the result is computed for its counts."""
+    tags = ("discovered", "extracted", "deduped", "chunked")
+    rows = (
+        run.candidates.select("site", F.lit("discovered").alias("tag"))
+        .unionByName(run.items.select("site", F.lit("extracted").alias("tag")))
+        .unionByName(run.result.select("site", F.explode(F.when(F.col("part") == 1, F.array(F.lit("deduped"), F.lit("chunked")))
+                                                         .otherwise(F.array(F.lit("chunked")))).alias("tag")))
+    )
+    return rows.groupBy("site").agg(*(F.count_if(F.col("tag") == t).alias(t) for t in tags))
+
+
+_ITEM = ("title", "content", "content_type", "source_url")
 
 
 def nest(sites: DataFrame, items: DataFrame) -> DataFrame:
     """K2 + F19: {site, items:[{title, content, content_type, source_url}]} in item order.
 
-    Only for sites with a ``max_items`` (O1), whose groups that bounds; item
-    tables without one stay flat or go through ``write_partitioned``.
+    For sites with a ``max_items`` (O1), whose groups that bounds; without one,
+    ``nest_pages`` gives rows of bounded size.
     """
-    per = items.groupBy("site").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "part", "title", "content", "content_type", "source_url"))).alias("x"))
-    per = per.select("site", F.transform("x", lambda i: F.struct(
-        i["title"].alias("title"), i["content"].alias("content"), i["content_type"].alias("content_type"),
-        i["source_url"].alias("source_url"))).alias("items"))
+    per = items.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("ord", "part", *_ITEM))).alias("x"))
+    per = per.select("site", F.transform("x", lambda i: F.struct(*(i[c].alias(c) for c in _ITEM))).alias("items"))
     return sites.select("site").join(per, "site", "left").select(
         "site", F.coalesce("items", F.array().cast(per.schema["items"].dataType)).alias("items"))
 
 
+def nest_pages(sites: DataFrame, items: DataFrame, page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """K2 for sites of any size: {site, page, items}, pages numbered from 1.
+
+    Prefix sums of the items' bytes cut a site's list; a page starts within
+    ``page_bytes`` and so exceeds them by one item at most. All pages of a site
+    in order are its whole list. Sites without items have one empty page.
+    """
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in _ITEM), F.lit(0).cast("long"))
+    order = [F.col("ord"), F.col("part")]
+    sized = running_sum_within(items.select("site", "ord", "part", size.alias("size")), "site", order, "size", "before")
+    paged = sized.select("site", "ord", "part", (F.floor(F.col("before") / page_bytes)).alias("slot"))
+    first = paged.groupBy("site", "slot").agg(F.min(F.struct("ord", "part")).alias("first"))
+    first = number_within(first, "site", [F.col("slot")], "page").select("site", "slot", F.col("page").cast("int").alias("page"))
+    per = items.join(paged, ["site", "ord", "part"]).groupBy("site", "slot").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "part", *_ITEM))).alias("x"))
+    per = per.join(first, ["site", "slot"]).select("site", "page", F.transform("x", lambda i: F.struct(*(i[c].alias(c) for c in _ITEM))).alias("items"))
+    return sites.select("site").join(per, "site", "left").select(
+        "site", F.coalesce("page", F.lit(1)).alias("page"), F.coalesce("items", F.array().cast(per.schema["items"].dataType)).alias("items"))
+
+
 def scrape(sites: DataFrame, fetches: DataFrame) -> DataFrame:
     return nest(sites, scrape_items(sites, fetches))
 
@@ -87,9 +146,7 @@ def api_result(nested: DataFrame, processing_time=None) -> DataFrame:
 
 
 def api_request_sites(requests: DataFrame) -> DataFrame:
-    """App profile (O2, U5, F20): rejected rows dropped, scheme added, cap min(n or 10, 20), chunk 6000."""
-    from ..functions.text import py_strip
-
+    """App profile (O2, U5): scheme added, cap min(n or 10, 20), chunk 6000; without the rejected rows."""
     r = requests.withColumn("u", py_strip("url"))
     return r.where(F.col("u") != "").select(
         default_scheme("u").alias("site"), default_scheme("u").alias("base_url"),
@@ -97,6 +154,11 @@ def api_request_sites(requests: DataFrame) -> DataFrame:
         F.lit(6000).alias("chunk_size"), F.coalesce("use_browser", F.lit(False)).alias("use_browser"))
 
 
+def rejected_requests(requests: DataFrame) -> DataFrame:
+    """the requests without a URL, all columns kept, with the error that they get."""
+    return requests.where(F.coalesce(py_strip("url"), F.lit("")) == "").withColumn("error", F.lit("URL is required"))
+
+
 # ---------------------------------------------------------------- sinks
 
 def item_records(items: DataFrame) -> DataFrame:
@@ -109,14 +171,27 @@ def write_results(nested: DataFrame, path: str, mode: str = "overwrite") -> None
     nested.write.mode(mode).json(path)
 
 
-def write_partitioned(items: DataFrame, path: str, run_date: str, mode: str = "overwrite") -> None:
-    """K6: output files named by host and run date (partition folders)."""
-    from ..functions.urls import url_netloc
-
-    items.withColumn("host", url_netloc("source_url")).withColumn("run_date", F.lit(run_date)) \
-        .write.mode(mode).partitionBy("host", "run_date").json(path)
-
-
-def write_report(record: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K5: the run report record as one JSON document."""
-    record.coalesce(1).write.mode(mode).json(path)
+def write_partitioned(items: DataFrame, path: str, run_date: str, mode: str = "overwrite", file_bytes: int = FILE_BYTES) -> None:
+    """K6: output files named by host and run date (partition folders).
+
+    Each host's rows are dealt over as many slots as its bytes fill files, and
+    a slot is written by one task: a small host is one file, a large one has
+    about its bytes over ``file_bytes``, and no task holds more than a few slots."""
+    named = items.withColumns({"host": url_netloc("source_url"), "run_date": F.lit(run_date)})
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in _ITEM), F.lit(0).cast("long"))
+    files = named.groupBy("host").agg(F.ceil((F.sum(size) + 1) / file_bytes).alias("__files"))
+    slot = F.pmod(F.xxhash64("source_url", "ord", "part"), F.col("__files"))
+    dealt = named.join(files, "host").withColumn("__slot", slot).repartition("host", "__slot").drop("__files", "__slot")
+    dealt.write.mode(mode).partitionBy("host", "run_date").json(path)
+
+
+def write_report(results: DataFrame, dimension: DataFrame, path: str, run_date: str, mode: str = "overwrite") -> None:
+    """K5: the whole run report under ``path``: detailed_results and
+    test_websites as tables of their own, and, written last, ``report``: one
+    JSON record of metadata (with ``run_date``), statistics and the names of
+    the two tables. A reader that finds ``report`` finds all of it."""
+    results.write.mode(mode).json(f"{path}/detailed_results")
+    dimension.write.mode(mode).json(f"{path}/test_websites")
+    record = report_record(results, dimension, run_date)
+    record = record.withColumn("detailed_results", F.lit("detailed_results")).withColumn("test_websites", F.lit("test_websites"))
+    record.coalesce(1).write.mode(mode).json(f"{path}/report")

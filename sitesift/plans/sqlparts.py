@@ -49,17 +49,30 @@ def rext(x: str, pat: str, g: int) -> str:
     return f"regexp_extract({x}, {q(pat)}, {g})"
 
 
-_ENTITY = "&(?:#([0-9]{1,7});?|#[xX]([0-9a-fA-F]{1,6});?|([A-Za-z][A-Za-z0-9]{1,31});)"
-_NAMES = json.dumps({k: chr(v) for k, v in html.entities.name2codepoint.items()} | {"apos": "'"})
+_ENTITY = "&(?:#([0-9]+);?|#[xX]([0-9a-fA-F]+);?|([^\\t\\n\\f <&#;]{1,32})(;?))"
+_NAMES = json.dumps({k: v for k, v in html.entities.html5.items() if k.endswith(";")})
+_OLD = "^(" + "|".join(sorted((k for k in html.entities.html5 if not k.endswith(";")), key=len, reverse=True)) + ")"
+_WINDOWS = "[" + ", ".join(q(bytes([c]).decode("cp1252", "ignore") or chr(c)) for c in range(128, 160)) + "]"
 
 
 def decode(x: str) -> str:
     """Character references, one by one, between the texts around them."""
-    code = (f"coalesce(try_cast(regexp_extract(e, {q(_ENTITY)}, 1) AS BIGINT), "
-            f"try_cast('0x' || regexp_extract(e, {q(_ENTITY)}, 2) AS BIGINT))")
-    char = (f"list_transform([{code}], lambda n: CASE WHEN n > 0 AND n <= 1114111 AND n NOT BETWEEN 55296 AND 57343 THEN chr(n::INTEGER) "
-            f"WHEN n IS NOT NULL THEN chr(65533) END)[1]")
-    one = f"coalesce({char}, json_extract_string({q(_NAMES)}, '$.' || nullif(regexp_extract(e, {q(_ENTITY)}, 3), '')), e)"
+    part = [f"regexp_extract(e, {q(_ENTITY)}, {g})" for g in (1, 2, 3, 4)]
+    digits = f"ltrim({part[0]} || {part[1]}, '0')"
+    code = (f"CASE WHEN {part[0]} || {part[1]} = '' THEN NULL WHEN length({digits}) > 8 THEN 9999999 "
+            f"WHEN {part[0]} <> '' THEN coalesce(nullif({digits}, ''), '0')::BIGINT "
+            f"ELSE ('0x' || coalesce(nullif({digits}, ''), '0'))::BIGINT END")
+    char = (f"list_transform([{code}], lambda n: CASE WHEN n = 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) "
+            f"WHEN n BETWEEN 128 AND 159 THEN {_WINDOWS}[n - 127] "
+            f"WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' "
+            f"WHEN n IS NOT NULL THEN chr(n::INTEGER) END)[1]")
+    def named(n: str) -> str:
+        return f"json_extract_string({q(_NAMES)}, '$.\"' || {n} || ';\"')"
+
+    old = f"regexp_extract({part[2]}, {q(_OLD)}, 1)"
+    plain = f"regexp_matches({part[2]}, '^[A-Za-z0-9]+$')"
+    one = (f"coalesce({char}, CASE WHEN {part[3]} = ';' AND {plain} THEN {named(part[2])} END, "
+           f"CASE WHEN {old} <> '' THEN {named(old)} || substr({part[2]}, length({old}) + 1) || {part[3]} END, e)")
     joined = (f"array_to_string(list_transform(list_zip(regexp_split_to_array(t, {q(_ENTITY)}), regexp_extract_all(t, {q(_ENTITY)}, 0)), "
               f"lambda z: z[1] || coalesce(list_transform([z[2]], lambda e: CASE WHEN e IS NOT NULL THEN {one} END)[1], '')), '')")
     return f"list_transform([{x}], lambda t: CASE WHEN contains(t, '&') THEN {joined} ELSE t END)[1]"

@@ -80,23 +80,6 @@ def derived_fetches(pages: DataFrame) -> DataFrame:
     )
 
 
-def sites_from_pages(pages: DataFrame, max_items: int | None = None, chunk_size: int = 8000,
-                     use_browser: bool = True) -> DataFrame:
-    """One site row per host, base URL = scheme://host/."""
-    return (
-        pages.select(url_netloc("url").alias("site"), url_scheme("url").alias("scheme"))
-        .groupBy("site")
-        .agg(F.min("scheme").alias("scheme"))
-        .select(
-            "site",
-            F.concat("scheme", F.lit("://"), "site", F.lit("/")).alias("base_url"),
-            F.lit(max_items).cast("int").alias("max_items"),
-            F.lit(chunk_size).alias("chunk_size"),
-            F.lit(use_browser).alias("use_browser"),
-        )
-    )
-
-
 def items_from_documents(documents: DataFrame) -> DataFrame:
     """Plain items: one per document, site = source."""
     return documents.select(

@@ -130,3 +130,19 @@ def test_classifier_rules(spark):
     df = spark.createDataFrame(rows, "u string, t string, c string, want string")
     got = df.select(CL.classify("u", "t", "c").alias("g"), "want").collect()
     assert [r.g for r in got] == [r.want for r in got]
+
+
+def test_character_references_as_the_standard_library(spark):
+    import html
+    import html.entities
+    import random
+
+    from sitesift.functions.text import decode_entities
+
+    rng, names = random.Random(1), list(html.entities.html5)
+    texts = ["&copy &copy; &notit; &notin; &not it", "&#0;&#128;&#x9f;&#129;&#xD800;&#1114112;&#99999999999999999999;&#x0000041;&#1;&#11;&#xFFFE;&#127;",
+             "&amp;lt; &unknown; &&amp &;&# &#x;&#65 &#x41 &Aacute &aacutex &AMP", "&" + "a" * 40 + ";", "&frac12x;&frac1;", "a&lt<b", " &#xZZ; &é;"]
+    texts += ["".join(rng.choice([f"&{rng.choice(names)}", f"&{rng.choice(names)[:-1]}x", f"&#{rng.randrange(1300)};", f"&#x{rng.randrange(70000):x}", " y"])
+                      for _ in range(8)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("x", decode_entities("x").alias("d"))
+    assert all(r.d == html.unescape(r.x) for r in df.collect())
