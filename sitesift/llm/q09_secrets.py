@@ -22,9 +22,9 @@ _SQL_RULES = {
     "assign": (_ASSIGN, 2, 8),
     "access": ("(AKIA[A-Z0-9]+)", 1, 16),
     "hex": ("([0-9a-f]+)", 1, 32),
-    "pem": ("(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)", 1, 1),
-    "github": ("(gh[pousr]_[A-Za-z0-9]{36,255})", 1, 1),
-    "slack": ("(xox[abprs]-[A-Za-z0-9-]{10,255})", 1, 1),
+    "pem": (r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[\x20\t\r\n]*[A-Za-z0-9+/=]{16,})*))", 1, 1),
+    "github": ("(gh[pousr]_[A-Za-z0-9]{36,})", 1, 1),
+    "slack": ("(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 1),
     "jwt": (r"(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 1, 1),
 }
 _MATCHES = " UNION ALL ".join(

@@ -36,10 +36,12 @@ RULES: dict[str, tuple[Rule, ...]] = {
         Rule("access", r"(AKIA[A-Z0-9]+)", 1, 16),
         Rule("hex", r"([0-9a-f]{32,})", 1, 32),  # a run of 32 or more, from its start
     ),
-    "issued-1": (
-        Rule("pem", r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)", 1),
-        Rule("github", r"(gh[pousr]_[A-Za-z0-9]{36,255})", 1),
-        Rule("slack", r"(xox[abprs]-[A-Za-z0-9-]{10,255})", 1),
+    "issued-2": (
+        # from BEGIN to END; where the key is cut, its runs of 16 and more. Possessive, so that long keys are no recursion.
+        Rule("pem", r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:[^-]++|-{1,4}+[^-])*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+             r"|(?:[\x20\t\r\n]*+[A-Za-z0-9+/=]{16,}+)*+))", 1),
+        Rule("github", r"(gh[pousr]_[A-Za-z0-9]{36,})", 1),
+        Rule("slack", r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1),
         Rule("jwt", r"(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 1),
     ),
 }
@@ -56,16 +58,15 @@ _PEM = (
     rf"(?:{_BREAK}(?:{_KEY}{{16,}}+|{_KEY}++(?=[\x20\t]*+(?:[\r\n\\]|\z))))*+"
     rf"(?:(?<={_KEY}{{16}}){_BREAK}{_KEY}++)?))"
 )
-#: What redaction blanks: whole secrets. ``RULES`` are the spans of the op9
-#: query, whose SQL ends PEM at its first line and tokens at 255 characters.
-#: PEM goes first, as other rules would break up a key's header and body.
+#: What redaction blanks. PEM goes first, as other rules would break up a key's
+#: header and body, and with a more generous idea of where a cut key ends.
 WHOLE_RULES: dict[str, tuple[Rule, ...]] = {
     "whole-pem-1": (Rule("pem", _PEM, 1),),
     "base-1": RULES["base-1"],
     "whole-1": (
         Rule("github", r"(gh[pousr]_[A-Za-z0-9]{36,})", 1),
         Rule("slack", r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1),
-        *(r for r in RULES["issued-1"] if r.kind == "jwt"),
+        *(r for r in RULES["issued-2"] if r.kind == "jwt"),
     ),
 }
 SCANNED = "blob string, rule_version string"

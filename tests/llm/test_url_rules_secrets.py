@@ -6,11 +6,14 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from oracle_harness import compare
 from sitesift.llm.common import scratch
 from sitesift.llm.q02_url import RULES as URL_RULES
+from sitesift.llm.queries import oracle_sql, queries
 from sitesift.llm.rules import RULES as TEXT_RULES
 from sitesift.llm.rules import binomial_tail, certified_cutoffs, judge_quality, text_statistics
 from sitesift.llm.secret_scan import RULES, Ledger, Rule, redacted, scan_versions, spans_text
@@ -201,3 +204,24 @@ def test_redaction_leaves_no_part_of_a_secret(spark):
     assert got["tokens"] == "a [REDACTED:github] b [REDACTED:slack] c" + prose
     assert got["header only"] == "[REDACTED:pem] is what the first line says."
     assert got["cut, then whole"].count("[REDACTED:pem]") == 2 and got["huge"].endswith(" x-y" * 1000)
+
+
+def test_added_spans_are_whole_and_as_in_the_sql(spark, tmp_path):
+    """Keys from BEGIN to END, also long ones and two in a row; cut keys; tokens of any length."""
+    body = "\n".join("Ab+/" * 16 for _ in range(3000))
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + body + "\n-----END RSA PRIVATE KEY-----"
+    token, slack = "ghp_" + "a1B2" * 500, "xoxb-" + "12ab-" * 300
+    texts = [f"é {key} tail {key}", "x -----BEGIN PRIVATE KEY-----\n" + "Zz09" * 16 + "\nends here - and on", f"t {token}! {slack}", "plain", None, "",
+             "-----BEGIN EC PRIVATE KEY----- short -----BEGIN EC PRIVATE KEY-----\nQQ==\n-----END EC PRIVATE KEY-----",
+             "eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + "." + "c" * 4000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    r = compare(queries()["op9_secret_scan"](spark, str(tmp_path)), con, oracle_sql()["op9_secret_scan"])
+    assert r["cols_match"] and r["values_match"], r["first_diff"]
+    spans = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in queries()["op9_secret_scan"](spark, str(tmp_path)).collect()}
+    own = {i: [(k, texts[i][int(a):int(b)]) for k, a, b in found if k in ("pem", "github", "slack", "jwt")] for i, found in spans.items()}
+    assert own[0] == [("pem", key)] * 2 and own[2] == [("github", token), ("slack", slack)]
+    assert own[1] == [("pem", "-----BEGIN PRIVATE KEY-----\n" + "Zz09" * 16)] and own[7] == [("jwt", texts[7])]
+    assert own[6] == [("pem", "-----BEGIN EC PRIVATE KEY-----"), ("pem", texts[6].split(" short ")[1])]
+    assert own[3] == own[4] == own[5] == []
