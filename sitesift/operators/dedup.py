@@ -49,8 +49,8 @@ def _stats(items: DataFrame):
         F.min(F.when(~F.col("is_blog"), F.col("ord"))).alias("first_nonblog_ord"),
         F.count_if(F.col("is_blog")).alias("blog_cnt"),
     )
-    per_site = keys.groupBy("site").agg(F.count(F.lit(1)).alias("total"), F.min("ord").alias("site_first_ord"))
-    return per_hash, per_site
+    per_site = per_hash.groupBy("site").agg(F.sum("cnt").alias("total"), F.min("first_ord").alias("site_first_ord"))
+    return keys, per_hash, per_site
 
 
 def template_hashes(items: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def template_hashes(items: DataFrame) -> DataFrame:
     A hash qualifies when its count exceeds 3 and reaches 50 % of the site's
     items (30 % for runs over 10 items); of several, the one seen last wins.
     """
-    per_hash, per_site = _stats(items)
+    _, per_hash, per_site = _stats(items)
     return _templates(per_hash, per_site)
 
 
@@ -77,35 +77,34 @@ def _templates(per_hash: DataFrame, per_site: DataFrame) -> DataFrame:
     )
 
 
-def kept_keys(items: DataFrame) -> DataFrame:
-    """(site, ord, representative) of every item that survives dedup."""
-    per_hash, per_site = _stats(items)
+def dropped_and_marked(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site, ord) of every item that dedup drops, and of the representatives:
+    narrow keys only."""
+    keys, per_hash, per_site = _stats(items)
     tpl = _templates(per_hash, per_site)
     # Template removal empties the site -> keep its first item, marked.
-    rep = tpl.where(F.col("template_blog_cnt") == F.col("total")).select(
-        "site", F.col("site_first_ord").alias("ord"), F.lit(True).alias("representative")
-    )
+    emptied = F.coalesce(F.col("template_blog_cnt") == F.col("total"), F.lit(False))
+    marked = tpl.where(emptied).select("site", F.col("site_first_ord").alias("ord"))
     # J6 + W1: template hash keeps its first non-blog item, others their first item.
-    normal = (
-        per_hash.join(tpl.select("site", "template_md5", "template_blog_cnt", "total"), "site", "left")
-        .where(F.col("template_blog_cnt").isNull() | (F.col("template_blog_cnt") < F.col("total")))
-        .select(
-            "site",
-            F.when(F.col("content_md5") == F.col("template_md5"), F.col("first_nonblog_ord"))
-            .otherwise(F.col("first_ord"))
-            .alias("ord"),
-            F.lit(False).alias("representative"),
-        )
-        .where(F.col("ord").isNotNull())
+    kept = (
+        F.when(emptied, F.col("site_first_ord"))
+        .when(F.coalesce(F.col("content_md5") == F.col("template_md5"), F.lit(False)), F.col("first_nonblog_ord"))
+        .otherwise(F.col("first_ord"))
     )
-    return normal.unionByName(rep)
+    # hashes of one item that stays need no look at their items
+    changed = F.col("template_md5").isNotNull() | (F.col("cnt") > 1)
+    per_hash = per_hash.join(tpl, "site", "left").where(changed).select("site", "content_md5", kept.alias("kept"))
+    dropped = keys.join(per_hash, ["site", "content_md5"]).where(~F.col("ord").eqNullSafe(F.col("kept"))).select("site", "ord")
+    return dropped, marked
 
 
 def deduplicate(items: DataFrame) -> DataFrame:
-    """Template exclusion, representative rule and first-wins dedup."""
-    keys = kept_keys(items)
-    out = items.join(keys, ["site", "ord"], "inner")
+    """Template exclusion, representative rule and first-wins dedup.
+
+    Dropped keys leave by an anti-join: with few copies they are broadcast and
+    no content moves."""
+    dropped, marked = dropped_and_marked(items)
+    out = items.join(dropped, ["site", "ord"], "left_anti").join(marked.withColumn("representative", F.lit(True)), ["site", "ord"], "left")
     return out.withColumn(
-        "title",
-        F.when(F.col("representative"), F.concat(F.lit(TEMPLATE_PREFIX), F.col("title"))).otherwise(F.col("title")),
+        "title", F.when(F.col("representative"), F.concat(F.lit(TEMPLATE_PREFIX), F.col("title"))).otherwise(F.col("title")),
     ).drop("representative")
