@@ -46,7 +46,7 @@ def with_content(df: DataFrame, html: str, p: str) -> DataFrame:
 
 @built_once
 def _content_steps(p: str) -> list[list[Column]]:
-    lens = F.transform(p + "segs", lambda x: F.length(decode_entities(x)))
+    lens = F.transform(p + "plain", lambda x: F.length(x))
     return [[first_of(p, MAIN)["at"].alias(p + "main"), lens.alias(p + "lens")], [largest_block(p, F.col(p + "lens")).alias(p + "block")]]
 
 

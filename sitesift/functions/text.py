@@ -1,12 +1,10 @@
 """Text helpers as Spark Column expressions.
 
-Everything here compiles to built-in JVM expressions (codegen-friendly);
-no Python runs per row.
+Everything here is built-in JVM expressions; no Python runs per row.
 """
 
 from __future__ import annotations
 
-import json
 from functools import wraps
 from html.entities import html5
 
@@ -27,9 +25,11 @@ PY_WS_CLASS = (
 # Character references: decimal, hexadecimal, or a name, with or without its semicolon.
 ENTITY_RE = r"&(?:#([0-9]+);?|#[xX]([0-9a-fA-F]+);?|([^\t\n\f <&#;]{1,32})(;?))"
 # Names come from the standard library's table of HTML 5: those that end with
-# a semicolon as one map literal, the old ones that need none as a pattern,
-# the longest first.
-ENTITY_NAMES = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+# a semicolon as one text of names and values (a plain literal, as planning
+# compares literals often), the old ones that need none as a pattern, the
+# longest first.
+_NAME, _VALUE = "\x01", "\x02"
+ENTITY_NAMES = "".join(f"{_NAME}{k[:-1]}{_VALUE}{v}" for k, v in html5.items() if k.endswith(";")) + _NAME
 ENTITY_OLD_RE = "^(" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))) + ")"
 #: The code points 128 to 159 mean characters of Windows 1252, where it has one.
 ENTITY_1252 = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160))
@@ -93,10 +93,15 @@ def _reference(entity: Column) -> Column:
         .when(control, F.lit(""))
         .when(code.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
     )
-    names = F.from_json(F.lit(ENTITY_NAMES), "map<string,string>")
+
+    def named(n: Column) -> Column:
+        at = F.position(F.concat(F.lit(_NAME), n, F.lit(_VALUE)), F.lit(ENTITY_NAMES))
+        value = F.substring_index(F.substr(F.lit(ENTITY_NAMES), at + F.length(n) + 2, F.lit(4)), _NAME, 1)
+        return F.when(at > 0, value)
+
     old = F.regexp_extract(name, ENTITY_OLD_RE, 1)
-    known = F.when(end == ";", F.try_element_at(names, name))
-    begun = F.when(old != "", F.concat(F.try_element_at(names, old), F.substr(name, F.length(old) + 1), end))
+    known = F.when(end == ";", named(name))
+    begun = F.when(old != "", F.concat(named(old), F.substr(name, F.length(old) + 1), end))
     return F.coalesce(char, known, begun, entity)
 
 

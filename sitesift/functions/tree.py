@@ -84,6 +84,7 @@ def with_tree(df: DataFrame, html: str, p: str) -> DataFrame:
     """Add ``p``-prefixed arrays of the page in column ``html`` (without noise):
 
     * segs: texts; segs[0] stands before the first tag, segs[i + 1] after tag i
+    * plain: the same, character references decoded
     * tags: struct of tag, name, kind (1 start, 0 void, -1 end), and for
       elements class (in spaces), id, role
     * nodes: struct of closes (index of the element that the tag closes, -1 for
@@ -104,6 +105,7 @@ def with_tree(df: DataFrame, html: str, p: str) -> DataFrame:
 def _tree_steps(html: str, p: str) -> list[list[Column]]:
     src = F.col(html)
     cut = [F.regexp_extract_all(src, F.lit(TAG_RE), F.lit(0)).alias(p + "raw"), F.split(src, TAG_RE).alias(p + "segs")]
+    plain = [F.transform(p + "segs", decode_entities).alias(p + "plain")]
 
     def described(t):
         name = F.lower(F.regexp_extract(t, r"^</?([^\s/>]+)", 1))
@@ -182,7 +184,7 @@ def _tree_steps(html: str, p: str) -> list[list[Column]]:
     nodes, rest = F.col(p + "fold.nodes"), F.col(p + "fold.rest")
     singles = F.filter(F.concat(F.transform(nodes, lambda x: x["single"]), F.array(rest)), lambda x: x >= 0)
     unfolded = [nodes.alias(p + "nodes"), rest.alias(p + "rest_single"), F.col(p + "fold.texts").alias(p + "rest_texts"), singles.alias(p + "singles")]
-    return [cut, tags, [folded.alias(p + "fold")], unfolded]
+    return [cut, plain, tags, [folded.alias(p + "fold")], unfolded]
 
 
 def _end_of(p: str, m: Column) -> Column:
@@ -222,8 +224,8 @@ def first_text(p: str, selectors: Sequence[tuple[str, str]]) -> Column:
     return F.get(F.filter(F.transform(wanted, text), lambda x: x.isNotNull() & (x != "")), F.lit(0))
 
 
-def _kept_text(p: str, i: Column) -> Column:
-    return F.when((i < 0) | F.get(p + "nodes", i)["text_kept"], F.get(p + "segs", i + 1)).otherwise("")
+def _kept_text(p: str, i: Column, texts: str = "segs") -> Column:
+    return F.when((i < 0) | F.get(p + "nodes", i)["text_kept"], F.get(p + texts, i + 1)).otherwise("")
 
 
 def _range(first: Column, end: Column) -> Column:
@@ -232,7 +234,7 @@ def _range(first: Column, end: Column) -> Column:
 
 def outer_text(p: str, m: Column) -> Column:
     """Text of element ``m``."""
-    return let(_end_of(p, m), lambda e: decode_entities(F.array_join(F.transform(_range(m, e), lambda i: _kept_text(p, i)), "")))
+    return let(_end_of(p, m), lambda e: F.array_join(F.transform(_range(m, e), lambda i: _kept_text(p, i, "plain")), ""))
 
 
 def inner_html(p: str, m: Column) -> Column:
@@ -357,12 +359,12 @@ def _markdown_steps(p: str, m: str, out: str) -> list[Column]:
             F.when(left(was, now, "heading"), F.lit("\n\n")).otherwise(""),
             F.when(blank & ~within, F.lit("\n\n")).otherwise(""),
         )
-        text = F.when((i < end) & node(i)["text_kept"], F.get(p + "segs", i + 1)).otherwise("")
+        text = F.when((i < end) & node(i)["text_kept"], F.get(p + "plain", i + 1)).otherwise("")
         own = F.concat(
             F.when(now["heading"] == i, F.concat(F.repeat(F.lit("#"), F.substr(tag(i)["name"], F.lit(2)).cast("int")), F.lit(" "))).otherwise(""),
             F.when(now["code"] == i, F.lit("`")).otherwise(""),
-            F.when((now["link"] >= 0) & (text != "") & (node(i)["texts"] == node(now["link"])["texts"]), F.lit("[")).otherwise(""),
-            decode_entities(text),
+            F.when((now["link"] >= 0) & (F.get(p + "segs", i + 1) != "") & (i < end) & node(i)["text_kept"] & (node(i)["texts"] == node(now["link"])["texts"]), F.lit("[")).otherwise(""),
+            text,
         )
         return F.struct(closing.alias("closing"), own.alias("own"))
 

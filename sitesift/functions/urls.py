@@ -1,7 +1,7 @@
 """URL column functions: parsing, joining and the content-URL predicates.
 
-All functions map Columns to Columns and stay inside whole-stage codegen
-(regex, string and higher-order array functions only).
+All functions map Columns to Columns and stay in the JVM: regex and string
+functions, and array higher-order functions, which run interpreted.
 """
 
 from __future__ import annotations

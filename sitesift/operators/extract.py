@@ -2,9 +2,8 @@
 
 One map-only pass over the fetch table (no shuffle). The HTTP copy is tried
 first; the rendered copy is only worked on for rows whose HTTP copy failed
-and whose gate allows a fallback. Each heavy text (cleaned body, main
-element, markdown, block list) is its own projection, so no regex chain is
-evaluated twice for a row.
+and whose gate allows a fallback. Each heavy array of a page's tree is its own
+projection, so nothing is evaluated twice for a row.
 """
 
 from __future__ import annotations
@@ -37,8 +36,10 @@ def with_extracted(df: DataFrame, html: str, prefix: str) -> DataFrame:
     df = df.select("*", F.when(F.col(t + "first").isNull(), F.col(t + "block")).alias(t + "second"))
     df = with_markdown(df, t, t + "second", t + "lenient")
     df = df.select("*", F.coalesce(t + "first", accepted(t + "lenient")).alias(p + "content"))
-    own = title_or_markdown(F.when(F.col(p + "content").isNotNull(), F.nullif(page_title(t), F.lit("Untitled"))), p + "content")
-    df = df.select("*", F.when(F.col(p + "content").isNotNull(), own).alias(p + "title"))
+    df = df.select("*", F.when(F.col(p + "content").isNotNull(), page_title(t)).alias(t + "title"))
+    df = df.select("*", F.nullif(t + "title", F.lit("Untitled")).alias(t + "own"))
+    title = title_or_markdown(t + "own", p + "content")
+    df = df.select("*", F.when(F.col(p + "content").isNotNull(), title).alias(p + "title"))
     df = df.select("*", (
         F.col(p + "content").isNotNull() & ~F.coalesce(is_error_content(F.col(p + "content"), F.col(p + "title")), F.lit(False))
     ).alias(p + "ok"))
