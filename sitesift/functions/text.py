@@ -77,7 +77,7 @@ def ellipsis(c, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
-def _reference(entity: Column) -> Column:
+def _reference(entity: Column, table: Column) -> Column:
     """What one reference stands for, as Python's ``html.unescape``: unknown
     names stay as they are but for a known beginning that needs no semicolon;
     numbers of no character give U+FFFD, of control characters nothing."""
@@ -95,8 +95,8 @@ def _reference(entity: Column) -> Column:
     )
 
     def named(n: Column) -> Column:
-        at = F.position(F.concat(F.lit(_NAME), n, F.lit(_VALUE)), F.lit(ENTITY_NAMES))
-        value = F.substring_index(F.substr(F.lit(ENTITY_NAMES), at + F.length(n) + 2, F.lit(4)), _NAME, 1)
+        at = F.position(F.concat(F.lit(_NAME), n, F.lit(_VALUE)), table)
+        value = F.substring_index(F.substr(table, at + F.length(n) + 2, F.lit(4)), _NAME, 1)
         return F.when(at > 0, value)
 
     old = F.regexp_extract(name, ENTITY_OLD_RE, 1)
@@ -108,9 +108,12 @@ def _reference(entity: Column) -> Column:
 def decode_entities(c) -> Column:
     """Decode character references in one pass: ``&amp;lt;`` gives ``&lt;``.
     The text is bound once; most texts hold no ``&`` and pass through."""
-    def decoded(x):
+    def decoded(x):  # the long literal stands in the plan once
+        return F.get(F.transform(F.array(F.lit(ENTITY_NAMES)), lambda table: joined(x, table)), F.lit(0))
+
+    def joined(x, table):
         parts = F.arrays_zip(F.split(x, ENTITY_RE).alias("gap"), F.regexp_extract_all(x, F.lit(ENTITY_RE), F.lit(0)).alias("entity"))
-        return F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(_reference(p["entity"]), F.lit("")))), "")
+        return F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(_reference(p["entity"], table), F.lit("")))), "")
 
     return F.get(F.transform(F.array(col_(c)), lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x)), F.lit(0))
 

@@ -96,9 +96,8 @@ def with_tree(df: DataFrame, html: str, p: str) -> DataFrame:
     and n, the number of tags, rest_single and rest_texts, as single and texts
     for the end of the page, and singles, the indexes of all such ``p``.
     """
-    for step in _tree_steps(html, p):
-        df = df.select("*", *step)
-    return df.drop(p + "raw", p + "fold")
+    # one select: each column names those before it, and the plan is checked once
+    return df.select("*", *(c for step in _tree_steps(html, p) for c in step)).drop(p + "raw", p + "fold")
 
 
 @built_once
@@ -328,8 +327,7 @@ def with_markdown(df: DataFrame, p: str, m: str, out: str) -> DataFrame:
     stand outside headings, such paragraphs and lists, the outer of two nested
     ones only. Everything else is its text.
     """
-    for step in _markdown_steps(p, m, out):
-        df = df.select("*", step)
+    df = df.select("*", *_markdown_steps(p, m, out))
     return df.drop(*(f"{p}md_{x}" for x in ("end", "ctx", "marks", "bare")))
 
 
