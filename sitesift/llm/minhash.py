@@ -30,13 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import fresh, stage
+from .common import SLICE, fresh, sliced, stage
 from .graph import components
 
 SHINGLE = 5
 HASHES, BATCH = 125, 25
 TILE = 1024
-TASK_WORDS = 500_000
+#: Words of the text a task remembers.
+TASK_WORDS = 50_000
 #: Candidate keys (16 bytes each) that may be broadcast to pick candidate texts.
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -140,7 +141,7 @@ def _signatures(column) -> np.ndarray:
 def _sign(key_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             classes, sizes, signs = [], [], []
             for t in b.column(2).to_pylist():
                 words = normal_words(t)
@@ -161,7 +162,7 @@ def _banded(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _bands(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 16 * SLICE):
             sig = _banded(_signatures(b.column(1)), bands, rows).astype(np.uint64)
             x = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _M, sig.shape[:2]).copy()
             for k in range(rows):
@@ -176,7 +177,7 @@ def _bands(bands: int, rows: int):
 
 def _prune(steps):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 16 * SLICE):
             left, right = _signatures(b.column(2)), _signatures(b.column(3))
             rows = np.arange(len(left))
             i, _, _ = surviving(left, right, rows, rows, steps)
@@ -196,7 +197,7 @@ def _verify(part: int, whole: int):
                     recent.popitem(last=False)
             return recent[rid]
 
-        for b in batches:
+        for b in sliced(batches):
             linked = []
             for a, x, s, t in zip(*(c.to_pylist() for c in b.columns)):
                 u, v = own(a, s), own(x, t)
@@ -208,7 +209,7 @@ def _verify(part: int, whole: int):
 
 def _same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose text is of the class that its hash was taken for."""
-    for b in batches:
+    for b in sliced(batches):
         keep = [class_key(normal_words(t)) == c for c, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(2).filter(pa.array(keep))], ["rid", "text"])
 
@@ -269,7 +270,7 @@ def _tile_links(cut: tuple[int, int], steps, part: int, whole: int):
             links = _linked(rid, root, side, sig, held[4], kind == "r" and t0 == t1, band, cut, steps, part, whole, known)
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
-        for b in batches:
+        for b in sliced(batches):
             for g, *row in zip(zip(*(c.to_pylist() for c in b.columns[:5])), *(c.to_pylist() for c in b.columns[5:])):
                 if g != group:
                     if group is not None:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import fresh, stage
+from .common import fresh, sliced, stage
 
 #: Labelled rows that a model is fitted on at most (smallest hashes first).
 MAX_LABELS = 200_000
@@ -34,7 +34,7 @@ MAX_STEMS = 2_000
 MIN_RATIO = 20.0
 STEMS = (4, 5, 6)
 #: Words of the text a task remembers.
-TASK_WORDS = 400_000
+TASK_WORDS = 100_000
 NEAR, BURST = 5, 50
 #: Code points whose class is kept in a table; those beyond are looked at one by one.
 TABLE = 0x3000
@@ -173,7 +173,7 @@ def learn_lexicon(labelled: DataFrame, text: str = "text", toxic: str = "toxic")
 
     def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
-        for b in batches:
+        for b in sliced(batches):
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if len(known) >= TASK_WORDS:
                     known.clear()
@@ -208,7 +208,7 @@ def with_features(docs: DataFrame, text: str, lexicon: dict[str, float], name: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = WordInfo(words.value)
-        for b in batches:
+        for b in sliced(batches):
             rows = [features(t or "", info) for t in b.column(at).to_pylist()]
             kept = [c.cast(t) for c, t in zip(b.columns, types)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, pa.list_(pa.float64()))], fields)

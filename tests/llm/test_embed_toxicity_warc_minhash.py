@@ -372,3 +372,20 @@ def test_at_most_the_bound_of_labels(spark):
     assert kept.count() == 500
     smallest = labels.where(toxicity.fold_of("doc_id") != 0).orderBy(F.xxhash64("doc_id")).limit(500)
     assert {r.label_key for r in kept.collect()} == {r.doc_id for r in smallest.collect()}
+
+
+def test_tasks_hold_few_texts_and_words_at_a_time():
+    import pyarrow as pa
+
+    from sitesift.llm import toxicity
+    from sitesift.llm.common import SLICE
+
+    n = 3 * SLICE + 5
+    texts = [None if i % 7 == 0 else f"w{i} one two three four five six" for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], ["key", "rk", "text"])
+    out = list(minhash._sign(pa.int64())(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= SLICE
+    got = pa.Table.from_batches(out)
+    assert got["key"].to_pylist() == list(range(n))
+    assert got["n"].to_pylist() == [0 if t is None else 3 for t in texts]
+    assert max(minhash.TASK_WORDS, toxicity.TASK_WORDS) <= 100_000  # a remembered word is some 180 bytes of a worker
