@@ -226,3 +226,15 @@ def test_work_is_about_linear(spark):
         seconds.append(time.time() - t0)
         assert got[0] == "a" * n and got[2] == "- i\n" * n + "\n"
     assert seconds[1] < 12 * seconds[0] + 3, seconds
+
+
+def test_folds_collect_in_pieces_and_do_not_copy_what_they_collected(spark):
+    for n in (0, 1, T._PIECE - 1, T._PIECE, T._PIECE + 1, 2 * T._PIECE, 2 * T._PIECE + 1, 5 * T._PIECE):
+        df = spark.createDataFrame([("<p>a</p>" * (n // 2) + "<b>" * (n % 2),)], "html string")
+        df = T.with_tree(df, "html", "q_")
+        row = df.select(F.col("q_n"), F.transform("q_nodes", lambda x: x["closes"]).alias("closes"), "q_singles").first()
+        assert row.q_n == n
+        assert row.closes == [i - 1 if i % 2 else -1 for i in range(n)]
+        assert row.q_singles == list(range(0, n - n % 2, 2))
+    # the state as a whole was cast at every tag
+    assert "as struct<state" not in df._jdf.queryExecution().analyzed().toString()
