@@ -26,12 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stage
+from .common import sliced, stage
 
 HEAD_SIZE = 1 << 17
 HEAD_CHARS = 64
-#: Distinct words a task holds before it hands its counts on.
-TASK_WORDS = 400_000
+#: Distinct words a task holds before it hands its counts on, and characters
+#: of the texts it has taken them from.
+TASK_WORDS, TASK_CHARS = 200_000, 1 << 25
+#: Longer words are split anew each time they occur.
+KEPT_CHARS = 256
+#: Rows of a batch that a task hands on (a document's rows stay together).
+TASK_ROWS = 20_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split(), but not sure to be so for the tokenizer.
@@ -71,7 +76,9 @@ class PreTokenizer:
         return [word[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)]
 
     def pieces(self, pre_tokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(pre_tokens, add_special_tokens=False)]
+        """One by one: the library's batches start a thread for each core of
+        the machine, all with memory of their own, in every Python worker."""
+        return [len(self.tokenizer.encode(p, add_special_tokens=False)) for p in pre_tokens]
 
 
 @lru_cache(maxsize=4)
@@ -85,6 +92,7 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = pre_tokenizer(path)
         held: Counter[str] = Counter()
+        chars = 0
 
         def flush() -> pa.RecordBatch:
             pre: Counter[str] = Counter()
@@ -94,21 +102,22 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(pre), pa.string()), pa.array(list(pre.values()), pa.int64())], ["pre_token", "n"])
 
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(0).to_pylist():
                 if t:
                     held.update(split.words(t))
-                    if len(held) >= TASK_WORDS:
+                    chars += len(t)
+                    if len(held) >= TASK_WORDS or chars >= TASK_CHARS:
                         yield flush()
+                        chars = 0
         if held:
             yield flush()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = pre_tokenizer(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(split.pieces(b.column(0).to_pylist()), pa.int64())], ["pre_token", "n", "pieces"]
-            )
+            pieces = [n for x in sliced([b]) for n in split.pieces(x.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pieces, pa.int64())], ["pre_token", "n", "pieces"])
 
     counts = docs.select(text).mapInArrow(count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
     return counts.mapInArrow(measure, "pre_token string, n long, pieces long")
@@ -154,7 +163,7 @@ def token_counts(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
         split, known = pre_tokenizer(path), head.value
         seen: dict[str, int | tuple[int, list[str]]] = {}
         row = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in sliced(batches):
             rows, keys, sizes, pre, ns = [], [], [], [], []
 
             def batch() -> pa.RecordBatch:
@@ -172,9 +181,10 @@ def token_counts(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
                         rest = [p for p in parts if p not in known]
                         v = sum(known[p] for p in parts if p in known)
                         v = (v, rest) if rest else v
-                        if len(seen) >= TASK_WORDS:
-                            seen.clear()
-                        seen[w] = v
+                        if len(w) <= KEPT_CHARS:
+                            if len(seen) >= TASK_WORDS:
+                                seen.clear()
+                            seen[w] = v
                     if v.__class__ is int:
                         total += v
                     else:
@@ -187,7 +197,7 @@ def token_counts(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
                 pre += tail.keys()
                 ns += tail.values()
                 row += 1
-                if len(rows) >= 100_000:
+                if len(rows) >= TASK_ROWS:
                     yield batch()
                     rows, keys, sizes, pre, ns = [], [], [], [], []
             if rows:

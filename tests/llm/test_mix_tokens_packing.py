@@ -2,6 +2,8 @@
 
 import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from oracle_harness import compare
+from sitesift.llm import tokens
 from sitesift.llm.common import WORD, file_row, free, scratch_of, stage
 from sitesift.llm.minhash import one_of_each
 from sitesift.llm.mix import capped_targets, mix, mixed_documents, schedule_segments, training_order
@@ -172,6 +175,31 @@ def test_token_counts_of_nothing(odd_docs, no_docs):
     assert token_counts(odd_docs, WORDS).columns == ["doc_id", "n_bytes", "n_tokens"]
 
 
+def test_pieces_are_counted_without_threads():
+    """A Python worker keeps to its core: threads for all cores of the machine took memory in each worker."""
+    code = (
+        "import os, sys; from sitesift.llm.tokens import PreTokenizer; split = PreTokenizer(sys.argv[1])\n"
+        "before = len(os.listdir('/proc/self/task')); split.pieces([f'word{i}' for i in range(5000)])\n"
+        "print(len(os.listdir('/proc/self/task')) - before)"
+    )
+    env = os.environ | {"RAYON_NUM_THREADS": "4", "TOKENIZERS_PARALLELISM": "true", "PYTHONPATH": os.pathsep.join(sys.path)}
+    assert subprocess.run([sys.executable, "-c", code, WORDS], env=env, capture_output=True, text=True, check=True).stdout == "0\n"
+
+
+def test_token_counts_of_small_holdings(spark, monkeypatch):
+    """What a task holds is bounded by words and by characters; counts handed on early are the same."""
+    whole = Tokenizer.from_file(WORDS)
+    rows = [(i, t) for i, t in enumerate([*ODD_TEXTS, "z\u00e9bra" * 300 + " a z\u00e9bra", "many words " * 900, None])]
+    want = Counter((i, len((t or "").encode()), len(whole.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for words_held, chars_held in ((3, 1 << 25), (1000, 20)):
+        monkeypatch.setattr(tokens, "TASK_WORDS", words_held)
+        monkeypatch.setattr(tokens, "TASK_CHARS", chars_held)
+        monkeypatch.setattr(tokens, "KEPT_CHARS", 4)
+        monkeypatch.setattr(tokens, "TASK_ROWS", 5)
+        assert Counter(map(tuple, token_counts(docs, WORDS, head_size=5).collect())) == want
+
+
 def test_byte_ids_equal_the_library():
     fast, whole = ByteTokenizer(BYTES, RANKS), Tokenizer.from_file(BYTES)
     for t in [*ODD_TEXTS, "The Quick, brown\nfox's 12 caf\u00e9s \u00e0 la carte.\nEnd", "caf\u00e9<|endoftext|>", "plain words of all kinds " * 200 + "\u4e2d"]:
