@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SLICE, fresh, sliced, stage
+from .common import KEPT_CHARS, SLICE, fresh, sliced, stage
 from .graph import components
 
 SHINGLE = 5
@@ -49,9 +49,11 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= TASK_WORDS:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        got = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= TASK_WORDS:
+                self.clear()
+            self[word] = got
         return got
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,20 +61,25 @@ def capped_targets(sizes: Sequence[int], weights: Sequence[float], total: int, m
     return out
 
 
+SEGMENT = ("t0", "w0", "slope", "a0", "a1")
+PLAN = pa.schema({
+    "sid": pa.int32(), "source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "quota": pa.int64(), "buckets": pa.int32(),
+    "segments": pa.list_(pa.struct(dict.fromkeys(SEGMENT, pa.float64()))),
+})
+
+
 def _plan(spark: SparkSession, totals: list, schedule_of, total: int | None, max_repeat: int) -> DataFrame:
     totals = sorted(totals, key=lambda r: (r.source is None, r.source or ""))
     schedules = [schedule_segments(schedule_of(i, r.source)) for i, r in enumerate(totals)]
     sizes = [int(r.source_size) for r in totals]
     targets = capped_targets(sizes, [s[-1][4] for s in schedules], sum(sizes) if total is None else total, max_repeat)
     rows = [
-        (i, r.source, sizes[i], targets[i], math.floor(targets[i] + 0.5), max(1, round(r.rows ** 0.5)), schedules[i])
+        (i, r.source, sizes[i], float(targets[i]), math.floor(targets[i] + 0.5), max(1, round(r.rows ** 0.5)),
+         [dict(zip(SEGMENT, map(float, s))) for s in schedules[i]])
         for i, r in enumerate(totals)
     ]
-    return spark.createDataFrame(
-        rows,
-        "sid int, source string, source_size long, target double, quota long, buckets int, "
-        "segments array<struct<t0:double,w0:double,slope:double,a0:double,a1:double>>",
-    )
+    # as Arrow: a list of rows would start Python workers
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(PLAN.names, r)) for r in rows], PLAN))
 
 
 def _position(queued: Column) -> Column:

@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stage
+from .common import KEPT_CHARS, sliced, stage
 
 MAX_SOURCES = 10_000
 #: Rows of the table of queue offsets (parts x sources) that may be broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
-CACHE_WORDS = 500_000
+#: Words of the text a worker remembers, and keeps for later stages.
+CACHE_WORDS = 100_000
 
 # Here tiktoken and tokenizers agree: characters of ASCII and the Latin blocks, no special string.
 _LATIN = r"\x21-\x7e\xa1-\xac\xae-\u024f"
@@ -76,9 +77,11 @@ class _Words(dict):
         return array(self.code, self.encode(text)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        got = self[word] = self.pack(word if word[0] == "\n" else " " + word)
+        got = self.pack(word if word[0] == "\n" else " " + word)
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -153,11 +156,7 @@ class Plan:
                     done, at, run = done + n, at + n, run - n
 
 
-def tokenise(docs: DataFrame, path: str, ranks: str | None, *, key: str, source: str, text: str, end: int) -> DataFrame:
-    """Staged rows (key, source, part, queued, n, ids): ids end with ``end``;
-    ``queued`` counts the tokens of the same source earlier in the same part.
-    Null or empty text: ``end`` alone."""
-    arrow_key = to_arrow_type(docs.schema[key].dataType)
+def _encode(path: str, ranks: str | None, end: int, key_type: pa.DataType):
     names = ["key", "source", "part", "queued", "n", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +164,7 @@ def tokenise(docs: DataFrame, path: str, ranks: str | None, *, key: str, source:
 
         encode, part, queued = byte_tokenizer(path, ranks), TaskContext.get().partitionId(), {}
         stop = array(encode.code, [end]).tobytes()
-        for b in batches:
+        for b in sliced(batches):
             sources = b.column(1).to_pylist()
             ids = [encode(t or "") + stop for t in b.column(2).to_pylist()]
             ns, starts = [len(i) // len(stop) for i in ids], []
@@ -173,13 +172,44 @@ def tokenise(docs: DataFrame, path: str, ranks: str | None, *, key: str, source:
                 starts.append(queued.get(s, 0))
                 queued[s] = starts[-1] + n
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(arrow_key), pa.array(sources, pa.string()), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()),
+                [b.column(0).cast(key_type), pa.array(sources, pa.string()), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()),
                  pa.array(ns, pa.int64()), pa.array(ids, pa.binary())], names)
 
+    return run
+
+
+def tokenise(docs: DataFrame, path: str, ranks: str | None, *, key: str, source: str, text: str, end: int) -> DataFrame:
+    """Staged rows (key, source, part, queued, n, ids): ids end with ``end``;
+    ``queued`` counts the tokens of the same source earlier in the same part.
+    Null or empty text: ``end`` alone."""
+    run = _encode(path, ranks, end, to_arrow_type(docs.schema[key].dataType))
     schema = f"key {docs.schema[key].dataType.simpleString()}, source string, part int, queued long, n long, ids binary"
     return stage(docs.select(F.col(key), F.col(source).cast("string"), F.col(text)).mapInArrow(run, schema), "token-queues")
 
 
+def _cut(plan: Plan, names: Mapping[str | None, int], key_type: pa.DataType):
+    columns = [("key", key_type), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
+               ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            out: list[list] = [[] for _ in columns]
+            size = 0
+            for k, s, n, ids, at in zip(*(c.to_pylist() for c in b.columns)):
+                wide = np.frombuffer(ids, np.uint16 if len(ids) == 2 * n else np.uint32).astype("<u4").tobytes()
+                for start, length, seq, offset in plan.pieces(names[s], at, n):
+                    for c, v in zip(out, (k, s, start, length, wide[4 * start: 4 * (start + length)], n, seq, offset)):
+                        c.append(v)
+                size += len(wide)
+                if size >= 16 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, columns)], [c for c, _ in columns])
+                    out, size = [[] for _ in columns], 0
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, columns)], [c for c, _ in columns])
+
+    return run
+
+
 def pack(docs: DataFrame, path: str, *, ranks: str | None = None, weights: Mapping[str | None, float] | None = None, sequence: int = 1024,
          window_sequences: int = 32, end: int = 0, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per piece: key, source, start (in the document), length, ids
@@ -217,25 +247,6 @@ def pack(docs: DataFrame, path: str, *, ranks: str | None = None, weights: Mappi
     placed = rows.join(base, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select(
         "key", "source", "n", "ids", (F.col("base") + F.col("queued")).alias("at")
     )
-    arrow_key = to_arrow_type(docs.schema[key].dataType)
-    columns = [("key", arrow_key), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
-               ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[] for _ in columns]
-            size = 0
-            for k, s, n, ids, at in zip(*(c.to_pylist() for c in b.columns)):
-                wide = np.frombuffer(ids, np.uint16 if len(ids) == 2 * n else np.uint32).astype("<u4").tobytes()
-                for start, length, seq, offset in plan.pieces(names[s], at, n):
-                    for c, v in zip(out, (k, s, start, length, wide[4 * start: 4 * (start + length)], n, seq, offset)):
-                        c.append(v)
-                size += len(wide)
-                if size >= 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, columns)], [c for c, _ in columns])
-                    out, size = [[] for _ in columns], 0
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, columns)], [c for c, _ in columns])
-
+    cut = _cut(plan, names, to_arrow_type(docs.schema[key].dataType))
     schema = f"key {docs.schema[key].dataType.simpleString()}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return placed.mapInArrow(cut, schema).withColumnRenamed("key", key)

@@ -26,15 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import sliced, stage
+from .common import KEPT_CHARS, sliced, stage
 
 HEAD_SIZE = 1 << 17
 HEAD_CHARS = 64
 #: Distinct words a task holds before it hands its counts on, and characters
 #: of the texts it has taken them from.
 TASK_WORDS, TASK_CHARS = 200_000, 1 << 25
-#: Longer words are split anew each time they occur.
-KEPT_CHARS = 256
 #: Rows of a batch that a task hands on (a document's rows stay together).
 TASK_ROWS = 20_000
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import fresh, sliced, stage
+from .common import KEPT_CHARS, fresh, sliced, stage
 
 #: Labelled rows that a model is fitted on at most (smallest hashes first).
 MAX_LABELS = 200_000
@@ -105,9 +105,11 @@ class WordInfo(dict):
         if stem is None and masked and (stem := self.find(unmasked(word))):
             flags |= 16
         flags |= (stem is not None) | 2 * (base in SECOND_PERSON) | 4 * (len(inner) > 1 and inner.isupper()) | 8 * mixed
-        if len(self) >= TASK_WORDS:
-            self.clear()
-        self[word] = code = flags + 32 * self.number[stem]
+        code = flags + 32 * self.number[stem]
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= TASK_WORDS:
+                self.clear()
+            self[word] = code
         return code
 
     def __call__(self, word: str) -> tuple[int, float, str | None]:
@@ -181,6 +183,9 @@ def learn_lexicon(labelled: DataFrame, text: str = "text", toxic: str = "toxic")
                 for w in words.difference(known):
                     known[w] = [s for s in stems_of(plain(w)) if s]
                 own = sorted({s for w in words for s in known[w]})
+                for w in words:
+                    if len(w) > KEPT_CHARS:
+                        del known[w]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], ["stem", "y"])
 
     total = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(toxic).cast("long")).alias("y")).first()

@@ -389,3 +389,16 @@ def test_tasks_hold_few_texts_and_words_at_a_time():
     assert got["key"].to_pylist() == list(range(n))
     assert got["n"].to_pylist() == [0 if t is None else 3 for t in texts]
     assert max(minhash.TASK_WORDS, toxicity.TASK_WORDS) <= 100_000  # a remembered word is some 180 bytes of a worker
+
+
+def test_tasks_remember_no_long_words(spark):
+    from sitesift.llm import toxicity
+    from sitesift.llm.common import KEPT_CHARS
+
+    long = "y" * (KEPT_CHARS + 1)
+    info, known = toxicity.WordInfo({"yyyy": 3.0}), minhash._WordHashes()
+    assert info(long) == info(long) and info(long)[2] == "yyyy" and long not in info
+    assert known[long.encode()] == known[long.encode()] and not known
+    assert info("yyyyy")[2] == "yyyy" and "yyyyy" in info
+    rows = [(f"{long} word{i} {'vile' if i % 2 else 'kind'} {long}", i % 2) for i in range(200)]
+    assert set(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))) == {"vile"}

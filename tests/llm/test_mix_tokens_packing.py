@@ -18,7 +18,7 @@ from sitesift.llm import tokens
 from sitesift.llm.common import WORD, file_row, free, scratch_of, stage
 from sitesift.llm.minhash import one_of_each
 from sitesift.llm.mix import capped_targets, mix, mixed_documents, schedule_segments, training_order
-from sitesift.llm.packing import ByteTokenizer, Plan, pack
+from sitesift.llm.packing import CACHE_WORDS, ByteTokenizer, Plan, pack
 from sitesift.llm.q01_mix import curriculum
 from sitesift.llm.queries import oracle_sql, queries
 from sitesift.llm.tokens import PreTokenizer, token_counts
@@ -260,3 +260,56 @@ def test_pack_round_trip(spark, odd_docs, no_docs):
         assert at == 64 or at & (at - 1) == 0
     assert pack(no_docs, BYTES, ranks=RANKS).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_packing_holds_few_rows_and_words_at_a_time(monkeypatch):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from sitesift.llm import packing
+    from sitesift.llm.common import KEPT_CHARS, SLICE
+
+    class Task:
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: Task))
+    n, long = 3 * SLICE + 5, "x" * (KEPT_CHARS + 1)
+    texts = [None if i % 7 == 0 else f"w{i} one two {long} {long}" for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["ab"[i % 2] for i in range(n)]), pa.array(texts)], ["key", "source", "text"])
+    out = list(packing._encode(BYTES, RANKS, 0, pa.int64())(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= SLICE
+    got, whole = pa.Table.from_batches(out), Tokenizer.from_file(BYTES)
+    want = [whole.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in got["ids"].to_pylist()] == want
+    assert got["n"].to_pylist() == [len(w) for w in want] and got["part"].to_pylist() == [3] * n
+    assert got["queued"].to_pylist() == [sum(map(len, want[i % 2: i: 2])) for i in range(n)]
+    words = packing.byte_tokenizer(BYTES, RANKS).words
+    assert "one" in words and long not in words
+    monkeypatch.setattr(packing, "CACHE_WORDS", 10)
+    assert all(words[w] == words.pack(" " + w) for w in (f"v{i}" for i in range(30))) and len(words) <= 10
+    assert CACHE_WORDS <= 100_000
+
+    totals = [sum(map(len, want[j::2])) for j in range(2)]
+    at = pa.RecordBatch.from_arrays(
+        [got["key"].combine_chunks(), got["source"].combine_chunks(), got["n"].combine_chunks(), got["ids"].combine_chunks(), got["queued"].combine_chunks()],
+        ["key", "source", "n", "ids", "at"])
+    pieces = list(packing._cut(Plan(totals, None, 4096, 1024), {"a": 0, "b": 1}, pa.int64())(iter([at])))
+    assert len(pieces) == 4  # one a slice
+    joined = defaultdict(list)
+    for p in pa.Table.from_batches(pieces).to_pylist():
+        joined[p["key"]] += np.frombuffer(p["ids"], "<u4").tolist()
+    assert [joined[i] for i in range(n)] == want
+
+
+def test_small_local_tables_start_no_python_workers(spark, odd_docs, tmp_path, capsys):
+    from sitesift.llm import mix as module
+    from sitesift.llm.secret_scan import Ledger
+
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    totals = odd_docs.selectExpr("source", "cast(n_chars as long) as n").groupBy("source").agg({"n": "sum", "*": "count"}).toDF("source", "source_size", "rows").collect()
+    for t in (ledger.scanned(), ledger.findings(), module._plan(spark, totals, curriculum, None, 3)):
+        t.explain()
+        assert "ExistingRDD" not in capsys.readouterr().out
+    assert ledger.scanned().isEmpty() and ledger.findings().dtypes == [
+        ("blob", "string"), ("rule_version", "string"), ("kind", "string"), ("start", "bigint"), ("end", "bigint")]
+    assert module._plan(spark, [], curriculum, None, 3).count() == 0
