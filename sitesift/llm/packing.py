@@ -35,7 +35,7 @@ MAX_SOURCES = 10_000
 #: Rows of the table of queue offsets (parts x sources) that may be broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 #: Words of the text a worker remembers, and keeps for later stages.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 
 # Here tiktoken and tokenizers agree: characters of ASCII and the Latin blocks, no special string.
 _LATIN = r"\x21-\x7e\xa1-\xac\xae-\u024f"
